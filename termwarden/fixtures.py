@@ -194,7 +194,6 @@ def _languagerefsets(lines: DataFrame) -> DataFrame:
         "l_partkey",
         "l_suppkey",
         "l_extendedprice",
-        "l_linenumber",
     )
 
 

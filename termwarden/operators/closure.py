@@ -35,6 +35,15 @@ def is_a_edges(relationships_snap: DataFrame, ctx: CheckContext) -> DataFrame:
     )
 
 
+def selves(concepts_snap: DataFrame) -> DataFrame:
+    """Every active concept paired with itself, at length 0."""
+    return concepts_snap.where(F.col("active") == 1).select(
+        F.col("id").alias("subtypeId"),
+        F.col("id").alias("supertypeId"),
+        F.lit(0).alias("pathLength"),
+    )
+
+
 def transitive_closure(
     concepts_snap: DataFrame,
     relationships_snap: DataFrame,
@@ -51,16 +60,11 @@ def transitive_closure(
     would shuffle the whole closure in every round. The regular comparison is what ends
     the loop on a cyclic graph.
     """
-    selves = concepts_snap.where(F.col("active") == 1).select(
-        F.col("id").alias("subtypeId"),
-        F.col("id").alias("supertypeId"),
-        F.lit(0).alias("pathLength"),
-    )
     edges, edge_count = _write(work, "edges", is_a_edges(relationships_snap, ctx))
     steps = edges.select(
         F.col("subtypeId").alias("supertypeId"), F.col("supertypeId").alias("next")
     )
-    levels = [selves, edges.withColumn("pathLength", F.lit(1))]
+    levels = [selves(concepts_snap), edges.withColumn("pathLength", F.lit(1))]
 
     frontier, found, length = edges, edge_count, 1
     while found:

@@ -1,0 +1,203 @@
+"""The registered queries: every operator and check on tables of a scale folder.
+
+Checks read a release that is built once per session and folder, as a loaded database
+would be: tables are stored on first use. Operators are run on its full tables, or on
+packages written from the raw rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termwarden import fixtures
+from termwarden.fixture_packages import FixturePackages
+from termwarden.functions.dates import previous_base_release_column, release_date_column
+from termwarden.operators import closure, hierarchies, names, refsets, versions
+from termwarden.plans import report
+from termwarden.plans.catalogue import CATALOGUE, STATISTICS
+from termwarden.plans.release import Release
+from termwarden.schemas import FULL_TABLES, SNAPSHOT_PACKAGE_TABLES
+from termwarden.sources.packages import load_full, load_snapshot, package_columns
+from termwarden.sources.store import matching_releases
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Values the nested checks are asked for.
+PARAMETERS = {
+    "concept-refset-inactive": 20001000052105,
+    "concept-duplicate": "red widget (economy)",
+    "multi-desc-lang-refset": 1000052105,
+}
+
+_releases: dict[tuple[str, str], Release] = {}
+_packages: dict[tuple[str, str], FixturePackages] = {}
+
+
+def release_of(spark: SparkSession, sf_dir: str) -> Release:
+    """The release of a folder, shared by the queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _releases:
+        _releases[key] = fixtures.release(spark, sf_dir)
+    return _releases[key]
+
+
+def packages_of(spark: SparkSession, sf_dir: str) -> FixturePackages:
+    """The packages of a folder, shared by the queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _packages:
+        _packages[key] = FixturePackages(spark, sf_dir)
+    return _packages[key]
+
+
+def queries() -> dict[str, Query]:
+    registered: dict[str, Query] = {}
+    for table in FULL_TABLES:
+        registered[f"load_full_{table}"] = partial(_load_full, table)
+        if table != "owlrefsets":
+            registered[f"snapshot_{table}"] = _on_release(
+                lambda r, table=table: versions.snapshot(r.table(table))
+            )
+    for table in SNAPSHOT_PACKAGE_TABLES:
+        registered[f"load_snapshot_{table}"] = partial(_load_snapshot, table)
+    registered["keyed_descriptions"] = lambda spark, sf_dir: fixtures.full_table(
+        spark, sf_dir, "descriptions"
+    )
+    registered["release_packages"] = _release_packages
+    registered["package_concepts_named"] = _package_concepts
+    registered |= {name: _on_release(run) for name, run in _OPERATORS.items()}
+    for check in CATALOGUE:
+        registered[check.id.replace("-", "_")] = _on_release(
+            lambda r, check=check: CATALOGUE.run(check.id, r, PARAMETERS.get(check.id))
+        )
+    for check in STATISTICS:
+        registered[f"stat_{check.id.replace('-', '_')}"] = _on_release(check.build)
+    return registered
+
+
+def _on_release(run: Callable[[Release], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(release_of(spark, sf_dir))
+
+
+def _load_full(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = packages_of(spark, sf_dir).provide(table, "Full")
+    return load_full(spark, table, packages.base, packages.extension)
+
+
+def _load_snapshot(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = packages_of(spark, sf_dir).provide(table, "Snapshot")
+    return load_snapshot(spark, table, packages.base, packages.extension)
+
+
+def _release_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages the concept rows come from, as their file paths tell."""
+    packages = packages_of(spark, sf_dir).provide("concepts", "Full")
+    paths = [
+        path for p in (packages.base, packages.extension) for path in p.files("concepts", "Full")
+    ]
+    rows = spark.read.schema(FULL_TABLES["concepts"]).option("sep", "\t").option("header", True)
+    columns = package_columns(F.col("_metadata.file_path"))
+    return (
+        rows.csv(paths)
+        .select(*(column.alias(name) for name, column in columns.items()))
+        .groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("ct"))
+    )
+
+
+def _package_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of the snapshot packages with names, tags and descendant counts."""
+    concepts, descriptions, relationships = (
+        _load_snapshot(table, spark, sf_dir)
+        for table in ("concepts", "descriptions", "relationships")
+    )
+    release = release_of(spark, sf_dir)
+    pairs = closure.transitive_closure(
+        concepts, relationships, release.context, release.work()
+    )
+    named = names.with_package_names(concepts, descriptions, release.context)
+    return closure.with_descendants(named, pairs)
+
+
+def _release_dates(release: Release) -> DataFrame:
+    """Release names made of the dates in the concepts, and what follows from them."""
+    dates = release.table("concepts").select("effectiveTime").distinct()
+    named = dates.select(
+        F.concat(F.lit("snomed_full_SE1000052_"), "effectiveTime").alias("release")
+    )
+    date = release_date_column(F.col("release"))
+    return named.select(
+        "release",
+        date.alias("releaseDate"),
+        previous_base_release_column(date).alias("baseReleaseDate"),
+    )
+
+
+def _matching_releases(release: Release) -> DataFrame:
+    """Which of several kinds of names are names of releases."""
+    dates = release.table("concepts").select("effectiveTime").distinct()
+    kind = F.expr("effectiveTime div 10000 % 4")
+    prefix = (
+        F.when(kind == 0, "snomed_full_")
+        .when(kind == 1, "xsnomed_full_SE1000052_")
+        .when(kind == 2, "x_beta_snomed_ext_full_")
+        .otherwise("snomed_")
+    )
+    return matching_releases(dates.select(F.concat(prefix, "effectiveTime").alias("release")))
+
+
+def _semantic_tags(release: Release) -> DataFrame:
+    return release.table("concepts_snap2").groupBy("semtag").agg(F.count(F.lit(1)).alias("ct"))
+
+
+def _closure_selves(release: Release) -> DataFrame:
+    return closure.selves(release.table("concepts_snap"))
+
+
+_OPERATORS: dict[str, Callable[[Release], DataFrame]] = {
+    "release_dates": _release_dates,
+    "matching_releases": _matching_releases,
+    "named_concepts": lambda r: names.with_names(
+        r.table("concepts_snap"), r.table("descriptions_snap"), r.context
+    ),
+    "ambiguous_names": lambda r: names.ambiguous_names(
+        r.table("descriptions_snap"), r.context
+    ),
+    "semantic_tags": _semantic_tags,
+    "closure_selves": _closure_selves,
+    "closure_edges": lambda r: closure.is_a_edges(r.table("relationships_snap"), r.context),
+    "transitive_closure": lambda r: closure.transitive_closure(
+        r.table("concepts_snap"), r.table("relationships_snap"), r.context, r.work()
+    ),
+    "descendant_counts": lambda r: closure.descendant_counts(r.table("transitiveclosure")),
+    "top_concepts": lambda r: hierarchies.top_concepts(
+        r.spark, r.table("relationships_snap"), r.context
+    ),
+    "hierarchies": lambda r: hierarchies.hierarchies(
+        r.spark,
+        r.table("relationships_snap"),
+        r.table("descriptions_snap"),
+        r.table("languagerefsets_snap"),
+        r.context,
+        r.work(),
+    ),
+    "version_counts": lambda r: versions.extension_changes(
+        r.table("concepts"), r.context.release_date, r.context.extension_module
+    ),
+    "refsets_in_use": lambda r: refsets.refsets_in_use(
+        {
+            "language": r.table("languagerefsets_snap"),
+            "simple": r.table("simplerefsets_snap"),
+        }
+    ),
+    "all_envelopes": report.all_envelopes,
+    "check_counts": report.check_counts,
+    "drill_inactive_concepts": lambda r: report.drill_down(r, "inactive-concepts-in-refsets"),
+    "drill_duplicate_terms": lambda r: report.drill_down(r, "duplicate-descriptions"),
+    "drill_repeated_members": lambda r: report.drill_down(
+        r, "active-langrefset-multiple-descriptions"
+    ),
+}
