@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwarden.functions.dates import previous_base_release, release_date_of
@@ -53,3 +54,16 @@ class CheckContext:
     def text_key(self, col: Column) -> Column:
         """`col` as a comparison key: binary, or under the configured collation."""
         return F.collate(col, self.collation) if self.collation else col
+
+    def group_by_text(
+        self, df: DataFrame, keys: Sequence[str], text: str, *aggregates: Column
+    ) -> DataFrame:
+        """Aggregate by `keys` and a text, which a collated group shows its least form of.
+
+        Only the latter costs an aggregate over strings.
+        """
+        if not self.collation:
+            return df.groupBy(*keys, text).agg(*aggregates)
+        key = self.text_key(F.col(text)).alias("_text")
+        shown = F.min(text).alias(text)
+        return df.groupBy(*keys, key).agg(shown, *aggregates).drop("_text")

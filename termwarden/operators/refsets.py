@@ -51,3 +51,11 @@ def refset_terms(
     return preferred_terms(
         described, languagerefsets_snap, ctx, active_members_only=False
     ).select(F.col("conceptId").alias("refsetId"), "term")
+
+
+def refset_concepts(refsets: DataFrame, concepts_snap2: DataFrame) -> DataFrame:
+    """Named concepts that are refsets in use, `(refsetId, fsn, active)`."""
+    used = refsets.select(F.col("refsetId").alias("id")).distinct()
+    return concepts_snap2.join(used, "id", "left_semi").select(
+        F.col("id").alias("refsetId"), "fsn", "active"
+    )

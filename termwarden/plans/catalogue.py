@@ -22,13 +22,13 @@ class CheckSpec:
     """A check of the catalogue.
 
     A nested check builds a relation with a `param` column and is asked for one value
-    of it, or for all values another check's rows hold. `param_type` converts what
-    callers pass, typically text.
+    of it, or, as a second argument, for the values of a frame with that column.
+    `param_type` converts what callers pass, typically text.
     """
 
     id: str
     description: str
-    build: Callable[[Release], DataFrame]
+    build: Callable[..., DataFrame]
     nested: bool = False
     param_type: type = str
     collated_param: bool = False

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwarden.functions.text import has_irregular_characters, has_stray_spaces
+from termwarden.operators.skew import split_join
 from termwarden.plans.release import Release
 
 
@@ -166,26 +167,42 @@ def duplicate_terms(release: Release) -> DataFrame:
         .where("active = 1")
         .select(F.col("id").alias("conceptId"), "semtag")
     )
+    counts = ctx.group_by_text(
+        per_concept.join(tags, "conceptId"), ["term"], "semtag", F.sum("n").alias("ct")
+    )
     return (
-        per_concept.join(tags, "conceptId")
-        .groupBy("term", ctx.text_key(F.col("semtag")).alias("tag_key"))
-        .agg(F.min("semtag").alias("semtag"), F.sum("n").alias("ct"))
-        .where("ct > 1")
+        counts.where("ct > 1")
         .select("term", "semtag", "ct")
         .orderBy(F.desc("ct"), "term", "semtag")
     )
 
 
-def concepts_with_term(release: Release) -> DataFrame:
+def concepts_with_term(release: Release, params: DataFrame | None = None) -> DataFrame:
     """Active concepts by active extension term, `(param, id, term, fsn)`."""
+    terms = _active_extension_terms(release).select("id", "conceptId", "term")
+    if params is not None:
+        terms = _having_terms(release, terms, params)
     concepts = (
         release.table("concepts_snap2")
         .where("active = 1")
-        .select("id", "fsn")
+        .select(F.col("id").alias("conceptId"), "fsn")
+    )
+    joined = split_join(
+        terms, concepts, ["conceptId"], release.hot("hot_concepts_described"), spread="id"
+    )
+    return joined.select(
+        F.col("term").alias("param"), F.col("conceptId").alias("id"), "term", "fsn"
     )
-    terms = _active_extension_terms(release).select("conceptId", "term")
-    return concepts.join(terms, concepts["id"] == terms["conceptId"]).select(
-        F.col("term").alias("param"), "id", "term", "fsn"
+
+
+def _having_terms(release: Release, terms: DataFrame, params: DataFrame) -> DataFrame:
+    """`terms` with a term among `params`, under the configured comparison."""
+    if release.context.collation:
+        key = release.context.text_key
+        return terms.join(params, key(terms["term"]) == key(params["param"]), "left_semi")
+    wanted = params.select(F.col("param").alias("term"))
+    return split_join(
+        terms, wanted, ["term"], release.hot("hot_terms"), spread="id", how="left_semi"
     )
 
 

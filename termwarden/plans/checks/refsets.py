@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termwarden.operators.skew import split_join
 from termwarden.plans.release import Release
 
 
@@ -28,37 +29,56 @@ def refsets_with_or_without_inactive(release: Release) -> DataFrame:
 def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     """Inactive concepts among the active members of named refsets, by refset.
 
-    `(refsetId, term, id)`. Members are cut to the named refsets first. That and the
-    last join are with a small stored table; the join in between splits at run time
-    where one concept holds many members.
+    `(refsetId, term, id)`. Members are cut to the named refsets first; that and the
+    last join are with a small stored table. Members are part of the order, so that
+    equal rows do not have to meet in one sort partition.
     """
     terms = release.table("refset_terms")
     members = (
         release.table("simplerefsets_snap")
         .where("active = 1")
-        .select("refsetId", F.col("referencedComponentId").alias("id"))
+        .select(F.col("id").alias("member"), "refsetId", "referencedComponentId")
         .join(terms, "refsetId", "left_semi")
     )
-    inactive = release.table("concepts_snap").where("active = 0").select("id")
+    inactive = (
+        release.table("concepts_snap")
+        .where("active = 0")
+        .select(F.col("id").alias("referencedComponentId"))
+    )
     return (
-        members.join(inactive, "id", "left_semi")
+        split_join(
+            members,
+            inactive,
+            ["referencedComponentId"],
+            release.hot("hot_simple_members"),
+            spread="member",
+            how="left_semi",
+        )
         .join(terms, "refsetId")
-        .select("refsetId", "term", "id")
-        .orderBy("refsetId", "term", "id")
+        .orderBy("refsetId", "term", "referencedComponentId", "member")
+        .select("refsetId", "term", F.col("referencedComponentId").alias("id"))
     )
 
 
-def concept_descriptions(release: Release) -> DataFrame:
+def concept_descriptions(release: Release, params: DataFrame | None = None) -> DataFrame:
     """Extension descriptions of a concept with its name, `(param, id, term, fsn)`."""
-    concepts = release.table("concepts_snap2").select("id", "fsn")
+    concepts = release.table("concepts_snap2").select(
+        F.col("id").alias("conceptId"), "fsn"
+    )
+    if params is not None:
+        concepts = concepts.join(
+            params, concepts["conceptId"] == params["param"], "left_semi"
+        )
     terms = (
         release.table("descriptions_snap")
         .where(F.col("moduleId") == release.context.extension_module)
-        .select("conceptId", "term")
+        .select("id", "conceptId", "term")
     )
-    return concepts.join(terms, concepts["id"] == terms["conceptId"]).select(
-        F.col("id").alias("param"), "id", "term", "fsn"
+    joined = split_join(
+        terms, concepts, ["conceptId"], release.hot("hot_concepts_described"), spread="id"
     )
+    concept = F.col("conceptId")
+    return joined.select(concept.alias("param"), concept.alias("id"), "term", "fsn")
 
 
 def base_language_members(release: Release) -> DataFrame:
@@ -72,7 +92,7 @@ def base_language_members(release: Release) -> DataFrame:
         .where(
             (F.col("active") == 1) & ~F.col("refsetId").isin(*ctx.excluded_language_refsets)
         )
-        .select("referencedComponentId", "refsetId")
+        .select("id", "referencedComponentId", "refsetId")
     )
     descriptions = (
         release.table("descriptions_snap")
@@ -83,9 +103,14 @@ def base_language_members(release: Release) -> DataFrame:
         )
         .select(F.col("id").alias("referencedComponentId"), "term")
     )
-    return members.join(descriptions, "referencedComponentId").select(
-        "term", "referencedComponentId", "refsetId"
+    joined = split_join(
+        members,
+        descriptions,
+        ["referencedComponentId"],
+        release.hot("hot_language_members"),
+        spread="id",
     )
+    return joined.select("term", "referencedComponentId", "refsetId")
 
 
 def members_on_inactive_descriptions(release: Release) -> DataFrame:
@@ -121,32 +146,46 @@ def repeated_members(release: Release) -> DataFrame:
         .where("active = 1")
         .select(F.col("id").alias("referencedComponentId"), "term")
     )
+    refset_names = release.table("refset_concepts").where("active = 1")
     return (
-        repeated.join(_language_refset_names(release), "refsetId")
+        repeated.join(refset_names.select("refsetId", "fsn"), "refsetId")
         .join(descriptions, "referencedComponentId")
         .select("refsetId", "fsn", "referencedComponentId", "term")
     )
 
 
-def members_of_repeated_components(release: Release) -> DataFrame:
+def members_of_repeated_components(
+    release: Release, params: DataFrame | None = None
+) -> DataFrame:
     """Active members and descriptions of components a refset holds more than once.
 
     `(param, member_*, desc_*)`; whether a component is held more than once does not
-    depend on the members being active.
+    depend on the members being active. Descriptions are joined with the repeated
+    components, one row each, before the members are.
     """
     members = release.table("languagerefsets_snap")
+    descriptions = release.table("descriptions_snap")
     key = ["refsetId", "referencedComponentId"]
+    counted = members
+    if params is not None:
+        counted = members.join(params, members["refsetId"] == params["param"], "left_semi")
     repeated = (
-        members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+        counted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    )
+    desc_side = descriptions.where("active = 1").select(
+        F.col("id").alias("referencedComponentId"), *_prefixed(descriptions, "desc_")
     )
-    descriptions = release.table("descriptions_snap").where("active = 1")
-    active = members.where("active = 1").join(repeated, key, "left_semi")
-    member_side = active.select(
-        F.col("refsetId").alias("param"), *_prefixed(members, "member_")
+    joined = split_join(
+        members.where("active = 1"),
+        repeated.join(desc_side, "referencedComponentId"),
+        key,
+        release.hot("hot_language_members"),
+        spread="id",
     )
-    desc_side = descriptions.select(*_prefixed(descriptions, "desc_"))
-    return member_side.join(
-        desc_side, F.col("member_referencedComponentId") == F.col("desc_id")
+    return joined.select(
+        F.col("refsetId").alias("param"),
+        *_prefixed(members, "member_"),
+        *(f"desc_{name}" for name in descriptions.columns),
     )
 
 
@@ -157,9 +196,8 @@ def refsets_without_descriptor(release: Release) -> DataFrame:
         .select(F.col("referencedComponentId").alias("id"))
         .distinct()
     )
-    used = release.table("refsets").select(F.col("refsetId").alias("id")).distinct()
-    names = release.table("concepts_snap2").select("id", "fsn")
-    return names.join(used.join(described, "id", "left_anti"), "id", "left_semi")
+    named = release.table("refset_concepts").select(F.col("refsetId").alias("id"), "fsn")
+    return named.join(described, "id", "left_anti")
 
 
 def refsets_not_concepts(release: Release) -> DataFrame:
@@ -200,23 +238,9 @@ def _inactive_members(release: Release) -> DataFrame:
 
 def _term_counts(release: Release) -> DataFrame:
     """Terms of named refsets with the number of rows that mark them."""
-    key = F.col("term")
-    return (
-        release.table("refset_terms")
-        .groupBy("refsetId", release.context.text_key(key).alias("term_key"))
-        .agg(F.min("term").alias("term"), F.count(F.lit(1)).alias("marks"))
-        .drop("term_key")
-    )
-
-
-def _language_refset_names(release: Release) -> DataFrame:
-    """Active concepts that are language refsets, `(refsetId, fsn)`."""
-    used = release.table("refsets").where("kind = 'language'").select("refsetId")
-    return (
-        release.table("concepts_snap2")
-        .where("active = 1")
-        .select(F.col("id").alias("refsetId"), "fsn")
-        .join(used, "refsetId", "left_semi")
+    marks = F.count(F.lit(1)).alias("marks")
+    return release.context.group_by_text(
+        release.table("refset_terms"), ["refsetId"], "term", marks
     )
 
 

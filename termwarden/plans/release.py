@@ -6,9 +6,10 @@ from collections.abc import Callable, Mapping
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from termwarden.context import CheckContext
-from termwarden.operators import closure, hierarchies, names, refsets, versions
+from termwarden.operators import closure, hierarchies, names, refsets, skew, versions
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.packages import Package, load_full, release_name
 from termwarden.sources.scratch import WorkFolder, shared_folder
@@ -47,10 +48,22 @@ _DERIVED: dict[str, Callable[[Release], DataFrame]] = {
         r.context,
         r.work(),
     ),
+    "refset_concepts": lambda r: refsets.refset_concepts(
+        r.table("refsets"), r.table("concepts_snap2")
+    ),
+}
+
+#: Columns that checks join row by row, and of which one value may hold many rows.
+_HOT_COLUMNS = {
+    "hot_concepts_described": ("descriptions_snap", "conceptId"),
+    "hot_terms": ("descriptions_snap", "term"),
+    "hot_language_members": ("languagerefsets_snap", "referencedComponentId"),
+    "hot_simple_members": ("simplerefsets_snap", "referencedComponentId"),
 }
 
-#: Everything a complete release holds, in an order that derives nothing twice.
-TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED)
+#: Everything a complete release holds, in an order that derives nothing twice. Hot terms
+#: are for drill-downs only and cost a shuffle of all terms, so they wait until asked for.
+TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED, *(n for n in _HOT_COLUMNS if n != "hot_terms"))
 
 _PARTITIONS = (
     dict.fromkeys(FULL_TABLES, ("effectiveTime",))
@@ -74,13 +87,16 @@ class Release:
         full: Mapping[str, DataFrame | Callable[[], DataFrame]],
         context: CheckContext | None = None,
         store: ReleaseStore | None = None,
+        rows_per_task: int = skew.ROWS_PER_TASK,
     ) -> None:
         self.spark = spark
         self.name = name
         self.context = context or CheckContext.for_release(name)
         self.store = store or ReleaseStore(spark, WorkFolder(spark).path)
+        self.rows_per_task = rows_per_task
         self._full = full
         self._tables: dict[str, DataFrame] = {}
+        self._hot: dict[str, DataFrame | None] = {}
         self._lock = RLock()
 
     @classmethod
@@ -109,7 +125,7 @@ class Release:
             store.spark, name, {}, CheckContext.for_release(name, **overrides), store
         )
         for table in TABLES:
-            release._tables[table] = store.read(table, name, FULL_TABLES.get(table))
+            release._tables[table] = store.read(table, name, _schema_of(table))
         return release
 
     def table(self, name: str) -> DataFrame:
@@ -120,6 +136,14 @@ class Release:
                 )
             return self._tables[name]
 
+    def hot(self, name: str) -> DataFrame | None:
+        """A table of hot keys, or nothing where no value holds that many rows."""
+        with self._lock:
+            if name not in self._hot:
+                keys = self.table(name)
+                self._hot[name] = None if keys.isEmpty() else keys
+            return self._hot[name]
+
     def build(self) -> Release:
         """Derive and store every table, then list the release as complete."""
         for name in TABLES:
@@ -138,4 +162,15 @@ class Release:
             return versions.snapshot(self.table(_SNAPSHOTS[name]))
         if name in _DERIVED:
             return _DERIVED[name](self)
+        if name in _HOT_COLUMNS:
+            table, column = _HOT_COLUMNS[name]
+            return skew.hot_keys(self.table(table), column, self.rows_per_task)
         raise KeyError(f"no such table: {name}; there are {', '.join(TABLES)}")
+
+
+def _schema_of(table: str) -> StructType | None:
+    """Schema of a table whose columns are in the order of a component table."""
+    if table == "concepts_snap2":
+        named = (StructField(name, StringType()) for name in ("fsn", "semtag"))
+        return StructType([*FULL_TABLES["concepts"], *named])
+    return FULL_TABLES.get(_SNAPSHOTS.get(table, table))

@@ -100,21 +100,16 @@ def drill_down(
 ) -> DataFrame:
     """The nested check behind `parent` for all values its rows hold, in one job.
 
-    The parent's distinct values are joined with the nested relation, whose `param`
-    column tells them apart.
+    The parent's distinct values are stored first: the nested relation is cut to them
+    where that is cheapest, and the planner knows how many there are. The `param` column
+    of the result tells them apart.
     """
     link = next((d for d in DRILL_DOWNS if d.parent == parent), None)
     if link is None:
         raise KeyError(f"nothing behind {parent}")
-    child = catalogue.get(link.child)
-    key = release.context.text_key if child.collated_param else (lambda col: col)
-    values = catalogue.run(parent, release).select(
-        key(F.col(link.column)).alias("wanted")
-    )
-    relation = child.build(release)
-    return relation.join(
-        values.distinct(), key(relation["param"]) == F.col("wanted"), "left_semi"
-    )
+    rows = catalogue.get(parent).build(release)
+    values = rows.select(F.col(link.column).alias("param")).distinct()
+    return catalogue.get(link.child).build(release, release.work().write("values", values))
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
