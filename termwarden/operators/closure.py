@@ -18,7 +18,7 @@ from termwarden.sources.scratch import WorkFolder
 PAIR = ("subtypeId", "supertypeId")
 
 #: Rounds between two checks of the frontier against all pairs known so far.
-KNOWN_EVERY = 8
+KNOWN_EVERY = 16
 
 
 def is_a_edges(relationships_snap: DataFrame, ctx: CheckContext) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termwarden.context import CheckContext
@@ -13,8 +14,11 @@ from termwarden.operators import closure, hierarchies, names, refsets, skew, ver
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.packages import Package, load_full, release_name
 from termwarden.sources.scratch import WorkFolder, shared_folder
+from termwarden.sources.catalog import CatalogStore
 from termwarden.sources.store import ReleaseStore
 
+Store = ReleaseStore | CatalogStore
+
 _SNAPSHOTS = {f"{table}_snap": table for table in FULL_TABLES if table != "owlrefsets"}
 
 _DERIVED: dict[str, Callable[[Release], DataFrame]] = {
@@ -86,7 +90,7 @@ class Release:
         name: str,
         full: Mapping[str, DataFrame | Callable[[], DataFrame]],
         context: CheckContext | None = None,
-        store: ReleaseStore | None = None,
+        store: Store | None = None,
         rows_per_task: int = skew.ROWS_PER_TASK,
     ) -> None:
         self.spark = spark
@@ -105,7 +109,7 @@ class Release:
         spark: SparkSession,
         base: Package,
         extension: Package | None = None,
-        store: ReleaseStore | None = None,
+        store: Store | None = None,
         **overrides,
     ) -> Release:
         """Release from package folders; `overrides` go to its context."""
@@ -117,9 +121,9 @@ class Release:
         return cls(spark, name, full, CheckContext.for_release(name, **overrides), store)
 
     @classmethod
-    def open(cls, store: ReleaseStore, name: str, **overrides) -> Release:
+    def open(cls, store: Store, name: str, **overrides) -> Release:
         """A release the store holds complete."""
-        if store.releases(pattern=None).where(f"release = '{name}'").isEmpty():
+        if store.releases(pattern=None).where(F.col("release") == name).isEmpty():
             raise KeyError(f"no such release: {name}")
         release = cls(
             store.spark, name, {}, CheckContext.for_release(name, **overrides), store

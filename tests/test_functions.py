@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from termwarden.context import CheckContext
+from termwarden.functions import dates, text
+
+
+def values(spark, column_of, inputs, kind="string"):
+    df = spark.createDataFrame([(x,) for x in inputs], f"x {kind}")
+    return [row[0] for row in df.select(column_of(F.col("x"))).collect()]
+
+
+def test_semantic_tag(spark):
+    names = ["Asthma (disorder)", "no tag", "a (b) (c)", "odd (tag))", "", "open ("]
+    assert values(spark, text.semantic_tag, names) == [
+        "disorder", "no tag", "c", "tag", "", "",
+    ]
+
+
+@pytest.mark.parametrize(
+    ("term", "irregular"),
+    [
+        ("plain Åäö éÉüÜ 09", False),
+        ("ok +*", False),
+        ("x[y]{z}", False),
+        ("it's <5% /µg^2; a=b, c:d", False),
+        ("", False),
+        ("bad!", True),
+        ("a&b", True),
+        ("a\\b", True),
+        ('say "x"', True),
+        ("a_b", True),
+        ("tab\there", True),
+        ("line\n", True),
+        ("ø", True),
+    ],
+)
+def test_irregular_characters(spark, term, irregular):
+    assert values(spark, text.has_irregular_characters, [term]) == [irregular]
+
+
+def test_stray_spaces(spark):
+    terms = [" a", "a ", "a  b", "a\t b", "a b", "", " "]
+    assert values(spark, text.has_stray_spaces, terms) == [
+        True, True, True, True, False, False, True,
+    ]
+
+
+def test_namespace_of_long_identifiers(spark):
+    ids = [123456781000052105, 1000052, 900000000000207008, 51000057104, 100005]
+    found = values(
+        spark, lambda c: text.in_namespace(c, ("1000052", "1000057")), ids, "bigint"
+    )
+    assert found == [True, True, False, True, False]
+
+
+def test_release_dates(spark):
+    assert dates.release_date_of("xsnomed_full_SE1000052_20180531") == 20180531
+    assert dates.release_date_of("20180531") == 20180531
+    cases = {20180531: 20170731, 20181130: 20180131, 20180131: 20180131}
+    assert {d: dates.previous_base_release(d) for d in cases} == cases
+    column = values(spark, dates.previous_base_release_column, list(cases), "int")
+    assert column == list(cases.values())
+
+
+def test_context_of_a_release():
+    ctx = CheckContext.for_release("snomed_full_SE1000052_20181130", root_concept=7)
+    assert (ctx.release_date, ctx.base_release_date, ctx.root_concept) == (
+        20181130, 20180131, 7,
+    )
+    with pytest.raises(ValueError):
+        CheckContext.for_release("snomed_full_latest")
