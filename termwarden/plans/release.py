@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termwarden.context import CheckContext
@@ -123,7 +122,7 @@ class Release:
     @classmethod
     def open(cls, store: Store, name: str, **overrides) -> Release:
         """A release the store holds complete."""
-        if store.releases(pattern=None).where(F.col("release") == name).isEmpty():
+        if not store.has(name):
             raise KeyError(f"no such release: {name}")
         release = cls(
             store.spark, name, {}, CheckContext.for_release(name, **overrides), store

@@ -60,7 +60,11 @@ class CatalogStore:
     def add_release(self, release: str) -> None:
         """A release is listed as soon as its database exists."""
 
+    def has(self, release: str) -> bool:
+        """Whether there is a database for a release."""
+        return self.spark.catalog.databaseExists(release)
+
     def releases(self, pattern: str | None = RELEASE_NAME) -> DataFrame:
-        """Names of databases that look like releases."""
+        """Names of databases that look like releases; the catalog keeps them in lower case."""
         names = self.spark.sql("SHOW DATABASES").select(F.col("namespace").alias("release"))
         return matching_releases(names, pattern)

@@ -81,12 +81,11 @@ def release_name(base: Package, extension: Package | None = None) -> str:
 
 def package_columns(path: Column) -> dict[str, Column]:
     """What the package folder in a file path says, as columns."""
-    parts = {
+    return {
         "package": F.regexp_extract(path, PACKAGE_NAME, 2),
-        "packageDate": F.regexp_extract(path, PACKAGE_NAME, 3).cast("int"),
+        "packageDate": F.regexp_extract(path, PACKAGE_NAME, 3).try_cast("int"),
         "beta": F.regexp_extract(path, PACKAGE_NAME, 1) == "x",
     }
-    return parts
 
 
 def load_full(

@@ -59,10 +59,15 @@ class ReleaseStore:
 
     def add_release(self, release: str) -> None:
         """List a release as complete; called once all its tables are stored."""
-        if self.releases(pattern=None).where(F.col("release") == release).isEmpty():
+        if not self.has(release):
             row = self.spark.range(1).select(F.lit(release).alias("release"))
             row.write.mode("append").parquet(f"{self.root}/releases")
 
+    def has(self, release: str) -> bool:
+        """Whether a release is complete."""
+        names = self.releases(pattern=None)
+        return not names.where(F.col("release") == release).isEmpty()
+
     def releases(self, pattern: str | None = RELEASE_NAME) -> DataFrame:
         """Names of complete releases."""
         try:
