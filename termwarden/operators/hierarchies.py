@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termwarden.context import CheckContext
 from termwarden.operators.names import preferred_terms
+from termwarden.operators.ranking import numbered
 from termwarden.sources.scratch import WorkFolder
 
 
 def top_concepts(
-    spark: SparkSession, relationships_snap: DataFrame, ctx: CheckContext
+    spark: SparkSession, relationships_snap: DataFrame, ctx: CheckContext, work: WorkFolder
 ) -> DataFrame:
-    """`(conceptId, displayOrder)`: the root with 1, its children by id from 2.
-
-    The numbering window has no partition key; it runs over the distinct children of
-    one concept only.
-    """
+    """`(conceptId, displayOrder)`: the root with 1, its children by id from 2."""
     children = (
         relationships_snap.where(
             (F.col("destinationId") == ctx.root_concept)
@@ -27,13 +24,10 @@ def top_concepts(
         .select(F.col("sourceId").alias("conceptId"))
         .distinct()
     )
-    numbered = children.withColumn(
-        "displayOrder", F.row_number().over(Window.orderBy("conceptId")) + 1
-    )
     root = spark.range(1).select(
         F.lit(ctx.root_concept).alias("conceptId"), F.lit(1).alias("displayOrder")
     )
-    return root.unionByName(numbered)
+    return root.unionByName(numbered(children, "conceptId", "displayOrder", 2, work))
 
 
 def hierarchies(
@@ -49,7 +43,7 @@ def hierarchies(
     Small steps are stored before they meet a large table, so that their known size
     lets the planner broadcast them instead of shuffling all descriptions.
     """
-    tops = work.write("top_concepts", top_concepts(spark, relationships_snap, ctx))
+    tops = work.write("top_concepts", top_concepts(spark, relationships_snap, ctx, work))
     described = work.write(
         "top_descriptions",
         descriptions_snap.where(F.col("active") == 1).join(

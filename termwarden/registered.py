@@ -174,7 +174,7 @@ _OPERATORS: dict[str, Callable[[Release], DataFrame]] = {
     ),
     "descendant_counts": lambda r: closure.descendant_counts(r.table("transitiveclosure")),
     "top_concepts": lambda r: hierarchies.top_concepts(
-        r.spark, r.table("relationships_snap"), r.context
+        r.spark, r.table("relationships_snap"), r.context, r.work()
     ),
     "hierarchies": lambda r: hierarchies.hierarchies(
         r.spark,

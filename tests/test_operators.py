@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termwarden.operators import closure, hierarchies, names, refsets, skew, versions
+from termwarden.operators import closure, hierarchies, names, ranking, refsets, skew, versions
 from termwarden.sources.scratch import WorkFolder
 from tests.micro import (
     CORE, FSN, R, ROOT, SE, SYN, concept, description, frame, is_a, language, make_release, rows,
@@ -189,10 +189,22 @@ def test_hierarchies(spark):
     assert rows(found) == [
         (ROOT, "Root (root)", None, 1), (5, "Five (tag)", "rotben", 2), (7, None, None, 3),
     ]
-    tops = hierarchies.top_concepts(spark, release.table("relationships_snap"), release.context)
+    tops = hierarchies.top_concepts(
+        spark, release.table("relationships_snap"), release.context, release.work()
+    )
     assert sorted(rows(tops)) == [(5, 2), (7, 3), (ROOT, 1)]
 
 
+def test_numbers_are_consecutive_over_ranges(spark):
+    ids = spark.range(0, 3000, 3).select((F.col("id") * 7919 % 3001).alias("k"))
+    ids = ids.repartition(4)
+    found = ranking.numbered(ids, "k", "place", 2, WorkFolder(spark))
+    expected = [(k, place) for place, k in enumerate(sorted(r.k for r in ids.collect()), 2)]
+    assert sorted(rows(found)) == expected
+    empty = ranking.numbered(ids.where("k < 0"), "k", "place", 2, WorkFolder(spark))
+    assert rows(empty) == []
+
+
 def test_refsets_in_use(spark):
     members = {
         "language": frame(spark, "languagerefsets", [language("a", 1, 2), language("b", 1, 3, 0)]),
