@@ -135,7 +135,11 @@ class Release:
         with self._lock:
             if name not in self._tables:
                 self._tables[name] = self.store.write(
-                    name, self.name, self._derive(name), _PARTITIONS.get(name, ())
+                    name,
+                    self.name,
+                    self._derive(name),
+                    _PARTITIONS.get(name, ()),
+                    gather=name in FULL_TABLES,
                 )
             return self._tables[name]
 

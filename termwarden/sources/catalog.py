@@ -33,7 +33,12 @@ class CatalogStore:
         self.buckets = buckets
 
     def write(
-        self, table: str, release: str, df: DataFrame, partition_by: Sequence[str] = ()
+        self,
+        table: str,
+        release: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        gather: bool = False,
     ) -> DataFrame:
         """Store a table, replacing an earlier copy, and return it as stored."""
         schema = df.schema
@@ -43,7 +48,7 @@ class CatalogStore:
         bucket = BUCKET_COLUMNS.get(table)
         if bucket:
             df = df.repartition(self.buckets, bucket)
-        elif partition_by:
+        elif gather:
             df = df.hint("rebalance", *partition_by)
         writer = df.write.mode("overwrite").format("parquet")
         if partition_by:

@@ -37,15 +37,21 @@ class ReleaseStore:
         return f"{self.root}/{table}/release={release}"
 
     def write(
-        self, table: str, release: str, df: DataFrame, partition_by: Sequence[str] = ()
+        self,
+        table: str,
+        release: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        gather: bool = False,
     ) -> DataFrame:
         """Store a table, replacing an earlier copy, and return it as stored.
 
-        Rows are brought together by partition value first, so that a task does not
-        open a file per value; the rebalance splits values that hold many rows.
+        `gather` is for columns of many values: rows are brought together by value
+        first, so that a task does not open a file for each of them. The rebalance
+        splits values that hold many rows.
         """
         schema = df.schema
-        if partition_by:
+        if gather:
             df = df.hint("rebalance", *partition_by)
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(
             self.path(table, release)
