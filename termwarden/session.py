@@ -19,6 +19,26 @@ SETTINGS = {
 }
 
 
+#: Input of one shuffle task, and how many tasks a shuffle has at most: beyond that, its
+#: number of blocks costs more than larger tasks do.
+BYTES_PER_TASK = 512 << 20
+MOST_TASKS = 40_000
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a release of about that size, on that many cores.
+
+    Shuffles start with enough partitions for the largest table; adaptive execution
+    merges them where less data arrives.
+    """
+    tasks = min(MOST_TASKS, max(cores, -(-input_bytes // BYTES_PER_TASK)))
+    return SETTINGS | {
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+    }
+
+
 def local_session(app_name: str = "termwarden", cpus: int | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     cpus = cpus or os.cpu_count() or 1
