@@ -8,9 +8,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters a term may consist of, as a bracket expression. `)-.`
-# is a range, so `*` and `+` belong to it.
-ALLOWED_CHARACTERS = r"\[\]0-9A-Za-zÅÄÖåäöÜüÉé ())-.,=;:%/<>^µ'{}"
+# Fixed value: the characters a term may consist of.
+ALLOWED_CHARACTERS = (
+    "0123456789"
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    "abcdefghijklmnopqrstuvwxyz"
+    "ÅÄÖåäöÜüÉé"
+    " ()*+,-.=;:%/<>^µ'{}[]"
+)
 
 # Blank at either end, or two blanks in a row.
 STRAY_SPACES = r"^\s|\s$|\s{2,}"
@@ -22,8 +27,12 @@ def semantic_tag(fsn: Column) -> Column:
 
 
 def has_irregular_characters(term: Column) -> Column:
-    """True where some character lies outside the allowed ones."""
-    return term.rlike(f"[^{ALLOWED_CHARACTERS}]")
+    """True where some character lies outside the allowed ones.
+
+    Removing the allowed ones is several times as fast as searching with a bracket
+    expression that has this many parts.
+    """
+    return F.translate(term, ALLOWED_CHARACTERS, "") != ""
 
 
 def has_stray_spaces(term: Column) -> Column:
