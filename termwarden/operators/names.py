@@ -69,19 +69,21 @@ def preferred_terms(
     ctx: CheckContext,
     active_members_only: bool,
 ) -> DataFrame:
-    """Active extension-language terms marked as preferred: `(conceptId, id, term)`.
+    """Active extension-language terms marked as preferred: `(conceptId, id, term, marks)`.
 
-    A term comes once per language-refset row that marks it.
+    `marks` is the number of language-refset rows that mark the term; they are counted
+    before the join, as one description may have any number of them.
     """
     terms = descriptions_snap.where(
         (F.col("active") == 1) & (F.col("languageCode") == ctx.extension_language)
     ).select("conceptId", "id", "term")
-    marks = languagerefsets_snap.where(F.col("acceptabilityId") == ctx.preferred)
+    members = languagerefsets_snap.where(F.col("acceptabilityId") == ctx.preferred)
     if active_members_only:
-        marks = marks.where(F.col("active") == 1)
-    return terms.join(
-        marks.select(F.col("referencedComponentId").alias("id")), "id"
-    ).select("conceptId", "id", "term")
+        members = members.where(F.col("active") == 1)
+    marks = members.groupBy(F.col("referencedComponentId").alias("id")).agg(
+        F.count(F.lit(1)).alias("marks")
+    )
+    return terms.join(marks, "id").select("conceptId", "id", "term", "marks")
 
 
 def _active_names(descriptions_snap: DataFrame, ctx: CheckContext) -> DataFrame:

@@ -38,9 +38,9 @@ def refset_terms(
     ctx: CheckContext,
     work: WorkFolder,
 ) -> DataFrame:
-    """Preferred terms of simple refsets with active members, `(refsetId, term)`.
+    """Preferred terms of simple refsets with active members, `(refsetId, term, marks)`.
 
-    A term comes once per language-refset row that marks it, inactive rows included.
+    `marks` counts the language-refset rows that mark the term, inactive ones included.
     """
     used = refsets.where("kind = 'simple' AND activeMembers > 0").select(
         F.col("refsetId").alias("conceptId")
@@ -48,9 +48,10 @@ def refset_terms(
     described = work.write(
         "refset_descriptions", descriptions_snap.join(used, "conceptId", "left_semi")
     )
-    return preferred_terms(
-        described, languagerefsets_snap, ctx, active_members_only=False
-    ).select(F.col("conceptId").alias("refsetId"), "term")
+    terms = preferred_terms(described, languagerefsets_snap, ctx, active_members_only=False)
+    return terms.groupBy(F.col("conceptId").alias("refsetId"), "term").agg(
+        F.sum("marks").alias("marks")
+    )
 
 
 def refset_concepts(refsets: DataFrame, concepts_snap2: DataFrame) -> DataFrame:

@@ -56,3 +56,21 @@ def split_join(
         .join(sliced_right.drop("slices"), [*keys, "_slice"], how)
         .drop("_slice")
     )
+
+
+def repeat_rows(df: DataFrame, times: str, place: str, chunk: int = 10_000) -> DataFrame:
+    """Every row as often as its column `times` says, numbered in column `place`.
+
+    Rows are repeated in chunks, as the array behind a large number would not fit.
+    """
+    chunks = F.floor((F.col(times) - 1) / chunk)
+    left = F.col(times) - F.col("_chunk") * chunk
+    return (
+        df.where(F.col(times) > 0)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks)))
+        .withColumn(
+            place, F.explode(F.sequence(F.lit(1).cast("long"), F.least(left, F.lit(chunk))))
+        )
+        .withColumn(place, F.col("_chunk") * chunk + F.col(place))
+        .drop("_chunk")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.operators.skew import split_join
+from termwarden.operators.skew import repeat_rows, split_join
 from termwarden.plans.release import Release
 
 
@@ -29,33 +29,42 @@ def refsets_with_or_without_inactive(release: Release) -> DataFrame:
 def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     """Inactive concepts among the active members of named refsets, by refset.
 
-    `(refsetId, term, id)`. Members are cut to the named refsets first; that and the
-    last join are with a small stored table. Members are part of the order, so that
-    equal rows do not have to meet in one sort partition.
+    `(refsetId, term, id)`, once per language-refset row that marks the term. Members
+    are cut to the named refsets first. Members and repetitions are part of the order,
+    so that equal rows do not have to meet in one sort partition.
     """
     terms = release.table("refset_terms")
+    large_refsets = release.hot("hot_simple_refsets")
     members = (
         release.table("simplerefsets_snap")
         .where("active = 1")
         .select(F.col("id").alias("member"), "refsetId", "referencedComponentId")
-        .join(terms, "refsetId", "left_semi")
+    )
+    named = split_join(
+        members,
+        terms.select("refsetId").distinct(),
+        ["refsetId"],
+        large_refsets,
+        spread="member",
+        how="left_semi",
     )
     inactive = (
         release.table("concepts_snap")
         .where("active = 0")
         .select(F.col("id").alias("referencedComponentId"))
     )
+    found = split_join(
+        named,
+        inactive,
+        ["referencedComponentId"],
+        release.hot("hot_simple_members"),
+        spread="member",
+        how="left_semi",
+    )
+    labelled = split_join(found, terms, ["refsetId"], large_refsets, spread="member")
     return (
-        split_join(
-            members,
-            inactive,
-            ["referencedComponentId"],
-            release.hot("hot_simple_members"),
-            spread="member",
-            how="left_semi",
-        )
-        .join(terms, "refsetId")
-        .orderBy("refsetId", "term", "referencedComponentId", "member")
+        repeat_rows(labelled, "marks", "place")
+        .orderBy("refsetId", "term", "referencedComponentId", "member", "place")
         .select("refsetId", "term", F.col("referencedComponentId").alias("id"))
     )
 
@@ -238,10 +247,11 @@ def _inactive_members(release: Release) -> DataFrame:
 
 def _term_counts(release: Release) -> DataFrame:
     """Terms of named refsets with the number of rows that mark them."""
-    marks = F.count(F.lit(1)).alias("marks")
-    return release.context.group_by_text(
-        release.table("refset_terms"), ["refsetId"], "term", marks
-    )
+    terms = release.table("refset_terms")
+    if not release.context.collation:
+        return terms
+    marks = F.sum("marks").alias("marks")
+    return release.context.group_by_text(terms, ["refsetId"], "term", marks)
 
 
 def _prefixed(df: DataFrame, prefix: str) -> list:

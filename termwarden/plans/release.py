@@ -62,6 +62,7 @@ _HOT_COLUMNS = {
     "hot_terms": ("descriptions_snap", "term"),
     "hot_language_members": ("languagerefsets_snap", "referencedComponentId"),
     "hot_simple_members": ("simplerefsets_snap", "referencedComponentId"),
+    "hot_simple_refsets": ("simplerefsets_snap", "refsetId"),
 }
 
 #: Everything a complete release holds, in an order that derives nothing twice. Hot terms

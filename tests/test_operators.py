@@ -229,6 +229,15 @@ def test_split_join_gives_the_rows_of_a_plain_join(spark, how):
     assert sorted(rows(split)) == sorted(rows(plain))
 
 
+def test_rows_are_repeated_in_chunks(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 0), ("d", 6)], "k string, n long")
+    found = skew.repeat_rows(df, "n", "place", chunk=3)
+    assert found.columns == ["k", "n", "place"]
+    assert sorted((r.k, r.place) for r in found.collect()) == [
+        *(("a", i) for i in range(1, 8)), ("b", 1), *(("d", i) for i in range(1, 7)),
+    ]
+
+
 def test_hot_rows_are_spread_over_slices(spark):
     left = spark.range(1000).select("id", F.lit(1).alias("k"))
     hot = skew.hot_keys(left, "k", rows_per_task=100)
