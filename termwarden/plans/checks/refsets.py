@@ -42,7 +42,7 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     )
     named = split_join(
         members,
-        terms.select("refsetId").distinct(),
+        terms.select("refsetId"),
         ["refsetId"],
         large_refsets,
         spread="member",

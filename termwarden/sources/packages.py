@@ -162,10 +162,12 @@ def _read(
         for field in schema
         if isinstance(field.dataType, StringType)
     }
+    # Paths are only compared, and then shuffled with the rows, where there are several.
+    several = len(rows.inputFiles()) > 1
     position = {
         "_package": F.lit(package),
         "_file": F.lit(file),
-        "_path": F.col("_metadata.file_path"),
+        "_path": F.col("_metadata.file_path") if several else F.lit(""),
         "_block": F.col("_metadata.file_block_start"),
         "_row": F.monotonically_increasing_id(),
     }
