@@ -42,7 +42,9 @@ LOAD_ORDER = {
 def release(spark: SparkSession, sf_dir: str) -> Release:
     """A release over the derived tables."""
     full = {table: lambda table=table: full_table(spark, sf_dir, table) for table in FULL_TABLES}
-    return Release(spark, RELEASE, full, CONTEXT)
+    made = Release(spark, RELEASE, full, CONTEXT)
+    full["relationships"] = lambda: _typed(_relationships(made.table("concepts")), "relationships")
+    return made
 
 
 def full_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
