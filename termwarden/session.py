@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 #: Settings that matter at scale. Joins on keys that one value may dominate rely on
 #: the adaptive skew split; joins against small stored tables on the size check that
-#: `autoBroadcastJoinThreshold` makes against their files.
+#: `autoBroadcastJoinThreshold` makes against their files. Identifiers compress well, so
+#: that check has to count files at several times their size.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
