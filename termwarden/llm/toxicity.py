@@ -35,7 +35,7 @@ from termwarden.llm.common import fold_of, pieces, texts_of
 #: looked at, candidates kept and entries taken.
 LABELLED, FREQUENT, CANDIDATES, TERMS = 200_000, 50_000, 5_000, 500
 #: A term's least toxic documents, their least share of all toxic ones, least log odds.
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.01, 3.0
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.003, 2.0
 #: Lengths of the word beginnings that can be terms besides whole words.
 PREFIXES = range(3, 9)
 
