@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termwarden.llm import (
+    chunking,
     decontamination,
     exact_dedup,
+    language_model,
     mixing,
+    secrets,
     sharding,
     simhash,
     toxicity,
+    urls,
 )
 from termwarden.llm.common import fold_of, work_folder
 
@@ -24,12 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a model of the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id")) == 1
+    model = language_model.train(docs.where(~held_out))
+    return language_model.scored(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, with how much of each."""
     docs = table(spark, sf_dir, "documents")
     return decontamination.leaked_items(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url, by the rules or its host's place in the link graph."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,11 +65,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that occur more than once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    passages = chunking.repeated_passages(rows, work_folder(docs))
+    return passages.select("doc_id", "start", "end", "chunks", "repeats", "kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document among 40 shards."""
     text = F.coalesce("text", F.lit(""))
@@ -84,9 +123,13 @@ def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
     return {
+        "op1_language_model": op1_language_model,
         "op2_decontamination": op2_decontamination,
+        "op3_url_filter": op3_url_filter,
         "op4_simhash": op4_simhash,
+        "op5_chunking": op5_chunking,
         "op6_mixing": op6_mixing,
+        "op7_secrets": op7_secrets,
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
