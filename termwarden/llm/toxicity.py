@@ -45,6 +45,8 @@ LOOK_ALIKES = str.maketrans(
     "abbresijkmhopctyxbdqwhabeiknoptuxw",
     "\u200b\u200c\u200d\u2060\ufeff\u00ad",
 )
+#: Full-width forms of the printable ASCII characters.
+FULL_WIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 #: Digits and signs written for letters.
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasii")
 
@@ -54,10 +56,12 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish")
 
 def folded(word: str) -> str:
     """A word without disguise: its letters, or nothing."""
-    word = word.lower()
-    if not word.isascii():
-        word = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in word)
-        word = word.lower().translate(LOOK_ALIKES)
+    if word.isascii():
+        word = word.lower()
+        if word.isalpha():
+            return word
+    else:
+        word = word.translate(FULL_WIDTH).lower().translate(LOOK_ALIKES)
     start, end = 0, len(word)
     while start < end and not word[start].isalnum() and word[start] not in "@$":
         start += 1
@@ -106,8 +110,9 @@ def term_pairs(words: FoldedWords, number_of: dict[str, int], grow: bool) -> np.
         else:
             ids = (number_of.get(t, -1) for t in names)
         term = np.fromiter(ids, np.int64, len(words.distinct))[number]
-        found.append(np.stack([row[term >= 0], term[term >= 0]], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+        found.append((row << 32 | term)[term >= 0])
+    pairs = np.unique(np.concatenate(found))
+    return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
 
 
 @dataclass
