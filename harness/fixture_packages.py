@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termwarden import fixtures
+from harness import fixtures
 from termwarden.context import CORE_MODULE
 from termwarden.operators.versions import snapshot
 from termwarden.schemas import FULL_TABLES
@@ -53,8 +53,6 @@ class FixturePackages:
     def _snapshot(self, table: str) -> Iterator[tuple[str, DataFrame, tuple[str, ...]]]:
         source = "relationships" if table == "stated" else table
         full = fixtures.full_table(self.spark, self.sf_dir, source)
-        if table == "stated":
-            full = full.where(f"id div {fixtures.PLACE} % 10 = 0")
         latest = snapshot(full)
         earlier = snapshot(
             full.where(

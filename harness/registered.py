@@ -8,21 +8,25 @@ packages written from the raw rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termwarden import fixtures
-from termwarden.fixture_packages import FixturePackages
+from harness import fixtures
+from harness.fixture_packages import FixturePackages
+from termwarden.context import CORE_MODULE
 from termwarden.functions.dates import previous_base_release_column, release_date_column
 from termwarden.operators import closure, hierarchies, names, refsets, versions
 from termwarden.plans import report
-from termwarden.plans.catalogue import CATALOGUE, STATISTICS
-from termwarden.plans.release import Release
+from termwarden.plans.catalogue import CATALOGUE, STATISTICS, Catalogue, sql_check
+from termwarden.plans.release import TABLES, Release
 from termwarden.schemas import FULL_TABLES, SNAPSHOT_PACKAGE_TABLES
 from termwarden.sources.packages import load_full, load_snapshot, package_columns
-from termwarden.sources.store import matching_releases
+from termwarden.sources.catalog import CatalogStore
+from termwarden.sources.scratch import WorkFolder
+from termwarden.sources.store import ReleaseStore, matching_releases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +37,11 @@ PARAMETERS = {
     "multi-desc-lang-refset": 1000052105,
 }
 
+#: Stored under other context than the fixtures', to see that it is kept.
+OTHER_MODULE = CORE_MODULE
+#: A hot key in the sliced form of the checks has more rows than this.
+SLICE = 20
+
 _releases: dict[tuple[str, str], Release] = {}
 _packages: dict[tuple[str, str], FixturePackages] = {}
 
@@ -73,11 +82,100 @@ def queries() -> dict[str, Query]:
         registered[check.id.replace("-", "_")] = _on_release(
             lambda r, check=check: CATALOGUE.run(check.id, r, PARAMETERS.get(check.id))
         )
+    for check_id in SLICED:
+        registered[f"sliced_{check_id.replace('-', '_')}"] = _on_release(
+            lambda r, check_id=check_id: CATALOGUE.run(check_id, _sliced(r), PARAMETERS.get(check_id))
+        )
     for check in STATISTICS:
         registered[f"stat_{check.id.replace('-', '_')}"] = _on_release(check.build)
     return registered
 
 
+#: Checks that join row by row on keys of which one value may hold many rows.
+SLICED = (
+    "inactive-concepts-in-refsets",
+    "concept-refset-inactive",
+    "concept-duplicate",
+    "active-langrefset-en-descriptions",
+    "active-langrefset-multiple-descriptions",
+    "multi-desc-lang-refset",
+)
+
+
+def _sliced(release: Release) -> Release:
+    """The release with so low a bound on the rows of a task that many keys are cut."""
+    sliced = Release(release.spark, release.name, {}, release.context, rows_per_task=SLICE)
+    sliced._tables |= {t: release.table(t) for t in TABLES if not t.startswith("hot_")}
+    return sliced
+
+
+def _stored(release: Release, store, name: str, **overrides) -> Release:
+    """The release's full tables under another name and context."""
+    full = {table: release.table(table) for table in FULL_TABLES}
+    return Release(release.spark, name, full, replace(release.context, **overrides), store)
+
+
+def _reopened_changes(release: Release) -> DataFrame:
+    """Changes of another module's concepts, from a release that was stored and opened."""
+    store = ReleaseStore(release.spark, WorkFolder(release.spark).path)
+    _stored(release, store, release.name, extension_module=OTHER_MODULE).build()
+    return CATALOGUE.run("changed-concepts", Release.open(store, release.name))
+
+
+def _listed_releases(release: Release, kind: str) -> DataFrame:
+    """Releases of a store in which of two one is complete, with their concepts."""
+    spark, folder = release.spark, WorkFolder(release.spark).path
+    # The catalog is shared by stores, so its names are this store's own.
+    mark = folder.rpartition("-")[2]
+    store = ReleaseStore(spark, folder) if kind == "files" else CatalogStore(spark, folder, 4)
+    complete, partial_name = f"a{mark}_snomed_full_one", f"a{mark}_snomed_full_two"
+    _stored(release, store, complete).build()
+    _stored(release, store, partial_name).table("concepts")
+    listed = store.releases().where(F.col("release").startswith(f"a{mark}"))
+    parts = [
+        store.read("concepts", row.release).agg(
+            F.lit(row.release == complete).alias("complete"), F.count(F.lit(1)).alias("concepts")
+        )
+        for row in listed.collect()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _run_all(release: Release) -> DataFrame:
+    """Rows of every listed check, written to a folder and counted as read back."""
+    folder = release.own_folder().path + "/all"
+    counts = report.run_all(release, folder)
+    read = [
+        release.spark.read.parquet(f"{folder}/{check.id}")
+        .agg(F.count(F.lit(1)).alias("stored"))
+        .select(F.lit(check.id).alias("check_id"), "stored")
+        for check in CATALOGUE.listed()
+    ]
+    stored = reduce(DataFrame.unionByName, read)
+    return counts.join(stored, "check_id").select("check_id", "rows", "stored")
+
+
+def _own_checks() -> Catalogue:
+    return Catalogue(
+        [
+            sql_check(
+                "published",
+                "Concepts by module",
+                "SELECT moduleId, count(*) AS ct FROM {concepts} "
+                "WHERE effectiveTime = :release GROUP BY moduleId",
+            ),
+            sql_check(
+                "terms-of",
+                "Terms of a concept before the release",
+                "SELECT conceptId AS param, id, term FROM {descriptions} "
+                "WHERE effectiveTime < :release",
+                nested=True,
+                param_type=int,
+            ),
+        ]
+    )
+
+
 def _on_release(run: Callable[[Release], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(release_of(spark, sf_dir))
 
@@ -158,6 +256,12 @@ def _closure_selves(release: Release) -> DataFrame:
 
 
 _OPERATORS: dict[str, Callable[[Release], DataFrame]] = {
+    "reopened_changed_concepts": _reopened_changes,
+    "listed_releases_files": lambda r: _listed_releases(r, "files"),
+    "listed_releases_catalog": lambda r: _listed_releases(r, "catalog"),
+    "run_all_checks": _run_all,
+    "sql_check_published": lambda r: _own_checks().run("published", r),
+    "sql_check_terms_of": lambda r: _own_checks().run("terms-of", r, 20001000052105),
     "release_dates": _release_dates,
     "matching_releases": _matching_releases,
     "named_concepts": lambda r: names.with_names(

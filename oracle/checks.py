@@ -98,6 +98,13 @@ CHECKS = {
         LEFT JOIN (FROM concepts c SELECT id, active WHERE {_PUBLISHED} AND {_VERSIONS} > 1) c
           ON c.active = flag
         GROUP BY label""",
+    "reopened_changed_concepts": f"""
+        SELECT label, count(c.id) AS ct
+        FROM (VALUES ('changed', 1), ('inactivated', 0)) AS wanted(label, flag)
+        LEFT JOIN (FROM concepts c SELECT id, active
+                   WHERE c.effectiveTime = {RELEASE} AND c.moduleId = {CORE} AND {_VERSIONS} > 1) c
+          ON c.active = flag
+        GROUP BY label""",
     "promoted_concepts": f"""
         SELECT c.id, c.fsn FROM concepts_snap2 c
         WHERE contains(CAST(c.id AS VARCHAR), '1000052')

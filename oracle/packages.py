@@ -28,8 +28,7 @@ def _full(table: str) -> str:
 def _snapshot(table: str) -> str:
     """Base package (core rows up to the base release), then the extension's."""
     source = "relationships" if table == "stated" else table
-    wanted = f"id // {PLACE} % 10 = 0" if table == "stated" else "true"
-    base = f"moduleId = {CORE} AND effectiveTime <= {BASE_RELEASE} AND {wanted}"
+    base = f"moduleId = {CORE} AND effectiveTime <= {BASE_RELEASE}"
     if table == "descriptions":
         in_base_file = "languageCode = 'en'"
     elif table == "languagerefsets":
@@ -43,7 +42,7 @@ def _snapshot(table: str) -> str:
         WHERE {in_base_file}
         UNION ALL
         SELECT *, 1 FROM
-            (SELECT {COLUMNS[source]} FROM {source} WHERE {wanted} QUALIFY {latest})"""
+            (SELECT {COLUMNS[source]} FROM {source} QUALIFY {latest})"""
     if table == "languagerefsets":
         return f"SELECT {COLUMNS[source]} FROM ({both})"
     return _first(f"({both})", COLUMNS[source], "package", "id")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from oracle.checks import NESTED
-from termwarden.fixtures import RELEASE
+from harness.fixtures import RELEASE
+from oracle.tables import RELEASE as RELEASE_DATE
 from termwarden.plans.catalogue import CATALOGUE
 
 _DRILLS = {
@@ -36,4 +37,29 @@ def reports(checks: dict[str, str]) -> dict[str, str]:
         f" WHERE param IN (SELECT {column} FROM ({checks[parent]}))"
         for name, (parent, column, child) in _DRILLS.items()
     }
-    return {"all_envelopes": envelopes, "check_counts": counts} | drills
+    run_all = f"SELECT check_id, rows, rows AS stored FROM ({counts})"
+    sliced = {
+        f"sliced_{name}": checks[name]
+        for name in (
+            "inactive_concepts_in_refsets",
+            "concept_refset_inactive",
+            "concept_duplicate",
+            "active_langrefset_en_descriptions",
+            "active_langrefset_multiple_descriptions",
+            "multi_desc_lang_refset",
+        )
+    }
+    stored = {
+        name: "SELECT true AS complete, count(*) AS concepts FROM concepts"
+        for name in ("listed_releases_files", "listed_releases_catalog")
+    }
+    own = {
+        "sql_check_published": f"""
+            SELECT moduleId, count(*) AS ct FROM concepts
+            WHERE effectiveTime = {RELEASE_DATE} GROUP BY moduleId""",
+        "sql_check_terms_of": f"""
+            SELECT id, term FROM descriptions
+            WHERE conceptId = 20001000052105 AND effectiveTime < {RELEASE_DATE}""",
+    }
+    all_of_them = {"all_envelopes": envelopes, "check_counts": counts, "run_all_checks": run_all}
+    return all_of_them | drills | sliced | stored | own

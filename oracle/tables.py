@@ -139,7 +139,7 @@ FULL = {
                {SE} AS moduleId, CAST(733073007 AS BIGINT) AS refsetId,
                {_concept_id('o_orderkey // 2')} AS referencedComponentId,
                'SubClassOf(:' || o_custkey || ')' AS owlExpression
-        FROM orders WHERE o_orderkey % 5 = 0""",
+        FROM orders""",
 }
 
 SNAPSHOTS = {

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from termwarden.functions.dates import previous_base_release, release_date_of
 EXTENSION_MODULE = 45991000052106
 CORE_MODULE = 900000000000207008
 NAMESPACES = ("1000052", "1000057")
+PROMOTED_NAMESPACES = ("1000052",)
 EXTENSION_LANGUAGE = "sv"
 BASE_LANGUAGE = "en"
 PREFERRED = 900000000000548007
@@ -25,6 +27,21 @@ FULLY_SPECIFIED_NAME = 900000000000003001
 ROOT_CONCEPT = 138875005
 
 
+#: Fields that stored tables are built with: another value needs another build.
+STORED_FIELDS = frozenset(
+    {
+        "release_date",
+        "extension_module",
+        "extension_language",
+        "base_language",
+        "preferred",
+        "is_a",
+        "fully_specified_name",
+        "root_concept",
+    }
+)
+
+
 @dataclass(frozen=True)
 class CheckContext:
     """Release dates and extension identifiers; every default can be overridden."""
@@ -34,6 +51,7 @@ class CheckContext:
     extension_module: int = EXTENSION_MODULE
     core_module: int = CORE_MODULE
     namespaces: tuple[str, ...] = NAMESPACES
+    promoted_namespaces: tuple[str, ...] = PROMOTED_NAMESPACES
     extension_language: str = EXTENSION_LANGUAGE
     base_language: str = BASE_LANGUAGE
     preferred: int = PREFERRED
@@ -51,6 +69,28 @@ class CheckContext:
         dates = {"release_date": date, "base_release_date": previous_base_release(date)}
         return cls(**(dates | overrides))
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> CheckContext:
+        values = json.loads(text)
+        for field in fields(cls):
+            if isinstance(values.get(field.name), list):
+                values[field.name] = tuple(values[field.name])
+        return cls(**values)
+
+    def reopened(self, overrides: dict) -> CheckContext:
+        """This context of stored tables with other values for what only checks read."""
+        differing = sorted(
+            name
+            for name in STORED_FIELDS & overrides.keys()
+            if overrides[name] != getattr(self, name)
+        )
+        if differing:
+            raise ValueError(f"the stored tables were built with another {', '.join(differing)}")
+        return replace(self, **overrides)
+
     def text_key(self, col: Column) -> Column:
         """`col` as a comparison key: binary, or under the configured collation."""
         return F.collate(col, self.collation) if self.collation else col

@@ -17,7 +17,7 @@ from termwarden.sources.scratch import WorkFolder
 
 PAIR = ("subtypeId", "supertypeId")
 
-#: Rounds between two checks of the frontier against all pairs known so far.
+#: Most rounds between two comparisons of the frontier with the pairs known so far.
 KNOWN_EVERY = 16
 
 
@@ -54,31 +54,40 @@ def transitive_closure(
     """`(subtypeId, supertypeId, pathLength)`: active concepts to themselves with
     length 0, and every pair joined by active edges with its shortest length.
 
-    A frontier holds the distinct pairs joined by a walk of one length. Pairs already
-    met at a shorter length are only dropped from it every `known_every` rounds, and
-    from the result by one final minimum: comparing each frontier with all known pairs
-    would shuffle the whole closure in every round. The regular comparison is what ends
-    the loop on a cyclic graph.
+    A frontier holds the distinct pairs joined by a walk of one length that can grow:
+    pairs that end in a concept without a supertype, the root above all, are results but
+    enter no further join. Known pairs are dropped from the frontier when the rounds since
+    the last comparison have found as many pairs as were known then, so that comparing
+    costs no more than the search did, and every `known_every` rounds at least, which is
+    what ends the loop on a cyclic graph. One final minimum gives the shortest length.
     """
-    edges, edge_count = _write(work, "edges", is_a_edges(relationships_snap, ctx))
+    edges, _ = _write(work, "edges", is_a_edges(relationships_snap, ctx))
+    growing = edges.select(F.col("subtypeId").alias("supertypeId")).distinct()
+    edges, known_count = _write(
+        work, "steps", edges.join(growing.withColumn("grows", F.lit(True)), "supertypeId", "left")
+    )
     steps = edges.select(
-        F.col("subtypeId").alias("supertypeId"), F.col("supertypeId").alias("next")
+        F.col("subtypeId").alias("supertypeId"), F.col("supertypeId").alias("next"), "grows"
     )
-    levels = [selves(concepts_snap), edges.withColumn("pathLength", F.lit(1))]
+    levels = [selves(concepts_snap), edges.select(*PAIR, F.lit(1).alias("pathLength"))]
 
-    frontier, found, length = edges, edge_count, 1
+    frontier, found, length, fresh = edges, known_count, 1, 0
     while found:
         length += 1
         candidates = (
-            frontier.join(steps, "supertypeId")
-            .select("subtypeId", F.col("next").alias("supertypeId"))
+            frontier.where("grows")
+            .select(*PAIR)
+            .join(steps, "supertypeId")
+            .select("subtypeId", F.col("next").alias("supertypeId"), "grows")
             .distinct()
         )
-        if length % known_every == 0:
+        if fresh >= known_count or length % known_every == 0:
             known = shortest(levels).select(*PAIR)
             candidates = candidates.join(known, list(PAIR), "left_anti")
+            known_count, fresh = known_count + fresh, 0
         frontier, found = _write(work, f"length_{length}", candidates)
-        levels.append(frontier.withColumn("pathLength", F.lit(length)))
+        fresh += found
+        levels.append(frontier.select(*PAIR, F.lit(length).alias("pathLength")))
     return shortest(levels)
 
 

@@ -68,3 +68,15 @@ def hierarchies(
         .join(terms, "conceptId", "left")
         .select("conceptId", "fsn", "term", "displayOrder")
     )
+
+
+def hierarchy_members(closure: DataFrame, hierarchies: DataFrame) -> DataFrame:
+    """`(conceptId, hierarchyId)`: concepts below each hierarchy, itself included.
+
+    Hierarchies are few and stored, so the planner cuts the closure without a shuffle;
+    checks per hierarchy read this instead of the closure.
+    """
+    tops = hierarchies.select(F.col("conceptId").alias("hierarchyId"))
+    return closure.join(tops, closure["supertypeId"] == tops["hierarchyId"]).select(
+        F.col("subtypeId").alias("conceptId"), "hierarchyId"
+    )

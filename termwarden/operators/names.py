@@ -72,7 +72,8 @@ def preferred_terms(
     """Active extension-language terms marked as preferred: `(conceptId, id, term, marks)`.
 
     `marks` is the number of language-refset rows that mark the term; they are counted
-    before the join, as one description may have any number of them.
+    before the join, as one description may have any number of them. Members are cut to
+    the terms before that: where those are few, the refset is not shuffled.
     """
     terms = descriptions_snap.where(
         (F.col("active") == 1) & (F.col("languageCode") == ctx.extension_language)
@@ -80,8 +81,11 @@ def preferred_terms(
     members = languagerefsets_snap.where(F.col("acceptabilityId") == ctx.preferred)
     if active_members_only:
         members = members.where(F.col("active") == 1)
-    marks = members.groupBy(F.col("referencedComponentId").alias("id")).agg(
-        F.count(F.lit(1)).alias("marks")
+    marks = (
+        members.select(F.col("referencedComponentId").alias("id"))
+        .join(terms.select("id"), "id", "left_semi")
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("marks"))
     )
     return terms.join(marks, "id").select("conceptId", "id", "term", "marks")
 

@@ -3,7 +3,7 @@
 Which values do is measured once, when a release is built, and kept as a small table:
 there are at most rows / `rows_per_task` of them. A join then cuts the rows of such a
 value into slices of about that size and repeats the partner row per slice; all other
-values are joined as usual. Without such values the join is a plain one.
+values have one slice.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def split_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    hot: DataFrame | None,
+    hot: DataFrame,
     spread: str,
     how: str = "inner",
 ) -> DataFrame:
@@ -41,8 +41,6 @@ def split_join(
     tells rows of one value apart; it decides the slice, so that a task that is run
     again makes the same choice.
     """
-    if hot is None:
-        return left.join(right, list(keys), how)
     hot_key = next(name for name in hot.columns if name != "slices")
     slices = F.coalesce("slices", F.lit(1))
     sliced_left = left.join(hot, hot_key, "left").withColumn(

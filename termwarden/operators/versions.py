@@ -38,21 +38,16 @@ def extension_changes(
 ) -> DataFrame:
     """Concepts the extension published at `release_date`, with their version count.
 
-    One pass over the full table and one shuffle of three narrow columns that is
-    combined map-side; a concept has at most one row per date, so the row of the
-    release can ride along as an aggregate.
+    The published rows lie in one date of the table, one per concept. The history is cut
+    to their ids before versions are counted.
     """
-    published = (F.col("effectiveTime") == release_date) & (
-        F.col("moduleId") == extension_module
-    )
-    return (
-        concepts.groupBy("id")
-        .agg(
-            F.count(F.lit(1)).alias("versions"),
-            F.max(F.when(published, F.col("active"))).alias("active"),
-            F.max(F.when(published, F.col("definitionStatusId"))).alias(
-                "definitionStatusId"
-            ),
-        )
-        .where("active IS NOT NULL")
+    published = concepts.where(
+        (F.col("effectiveTime") == release_date) & (F.col("moduleId") == extension_module)
+    ).select("id", "active", "definitionStatusId")
+    versions = (
+        concepts.select("id")
+        .join(published.select("id"), "id", "left_semi")
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("versions"))
     )
+    return versions.join(published, "id").where("active IS NOT NULL")

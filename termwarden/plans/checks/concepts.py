@@ -32,6 +32,7 @@ def new_concepts_by_status(release: Release) -> DataFrame:
 
 def changed_concepts(release: Release) -> DataFrame:
     """Changed and inactivated extension concepts, `(label, ct)` in that order."""
+    # The labels of the two counts.
     counts = release.table("extension_changes").agg(
         F.count_if(F.expr(CHANGED)).alias("changed"), F.count_if(F.expr(INACTIVATED)).alias("inactivated")
     )
@@ -54,30 +55,35 @@ def inactivated_concepts(release: Release) -> DataFrame:
 def promoted_concepts(release: Release) -> DataFrame:
     """Extension concepts the core module took over, `(id, fsn)`.
 
-    The history of an id is one conditional aggregate, instead of a semi and two anti
-    joins over the same table.
+    Candidates are what the core module holds since the last base release; the history
+    is cut to them, and is one conditional aggregate per id.
     """
     ctx = release.context
     time, module = F.col("effectiveTime"), F.col("moduleId")
     in_core = module == ctx.core_module
     in_extension = module == ctx.extension_module
+    now_core = (
+        release.table("concepts_snap2")
+        .where(
+            in_namespace(F.col("id"), ctx.promoted_namespaces)
+            & in_core
+            & (time > ctx.base_release_date)
+        )
+        .select("id", "fsn")
+    )
+    earlier = (time < ctx.release_date) | (time <= ctx.base_release_date)
     history = (
         release.table("concepts")
-        .where(in_namespace(F.col("id"), ctx.namespaces[:1]) & (in_core | in_extension))
+        .where(earlier & (in_core | in_extension))
+        .join(now_core.select("id"), "id", "left_semi")
         .groupBy("id")
         .agg(
             F.bool_or(in_core & (time <= ctx.base_release_date)).alias("core_before"),
             F.bool_or(in_extension & (time < ctx.release_date)).alias("extension_before"),
         )
         .where("extension_before AND NOT core_before")
-        .select("id")
     )
-    now_core = release.table("concepts_snap2").where(
-        in_namespace(F.col("id"), ctx.namespaces[:1])
-        & in_core
-        & (time > ctx.base_release_date)
-    )
-    return now_core.select("id", "fsn").join(history, "id", "left_semi")
+    return now_core.join(history.select("id"), "id", "left_semi")
 
 
 def non_translated(release: Release) -> DataFrame:
@@ -102,19 +108,13 @@ def _new_ids(release: Release) -> DataFrame:
 def _per_hierarchy(release: Release, ids: DataFrame, label: str) -> DataFrame:
     """Count concepts under every hierarchy they belong to, `(label, ct)` in order.
 
-    The closure is cut to the hierarchies before it is joined with the concepts; the
-    stored hierarchies are small enough for the planner to broadcast, so that cut needs
-    no shuffle. Labels come in after the count.
+    Which concepts those are is stored; labels come in after the count.
     """
     hierarchies = release.table("hierarchies")
-    below = release.table("transitiveclosure").join(
-        hierarchies.select(F.col("conceptId").alias("supertypeId")),
-        "supertypeId",
-        "left_semi",
-    )
+    below = release.table("hierarchy_members")
     counts = (
-        ids.join(below, ids["id"] == below["subtypeId"])
-        .groupBy(F.col("supertypeId").alias("conceptId"))
+        ids.join(below.select(F.col("conceptId").alias("id"), "hierarchyId"), "id")
+        .groupBy(F.col("hierarchyId").alias("conceptId"))
         .agg(F.count(F.lit(1)).alias("ct"))
     )
     return (

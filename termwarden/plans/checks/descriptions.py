@@ -29,25 +29,25 @@ def description_changes(release: Release) -> DataFrame:
 def new_translations(release: Release) -> DataFrame:
     """Translations the extension first published at the release, `(ct)`.
 
-    Only those of concepts some version of which lies outside the extension. Whether a
-    description had an earlier version is an aggregate over its id.
+    Only those of concepts some version of which lies outside the extension. The history
+    is cut to the descriptions of the release before it is searched for earlier versions.
     """
     ctx = release.context
     time = F.col("effectiveTime")
-    translation = (
+    own = release.table("descriptions").where(F.col("moduleId") == ctx.extension_module)
+    published = own.where(
         (time == ctx.release_date)
         & (F.col("languageCode") == ctx.extension_language)
         & (F.col("active") == 1)
+    ).select("id", "conceptId")
+    earlier = (
+        own.where(time < ctx.release_date)
+        .select("id")
+        .join(published.select("id"), "id", "left_semi")
+        .distinct()
     )
     per_concept = (
-        release.table("descriptions")
-        .where((F.col("moduleId") == ctx.extension_module) & (time <= ctx.release_date))
-        .groupBy("id")
-        .agg(
-            F.max(F.when(translation, F.col("conceptId"))).alias("conceptId"),
-            F.bool_or(time < ctx.release_date).alias("earlier"),
-        )
-        .where("conceptId IS NOT NULL AND NOT earlier")
+        published.join(earlier, "id", "left_anti")
         .groupBy("conceptId")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -188,7 +188,7 @@ def concepts_with_term(release: Release, params: DataFrame | None = None) -> Dat
         .select(F.col("id").alias("conceptId"), "fsn")
     )
     joined = split_join(
-        terms, concepts, ["conceptId"], release.hot("hot_concepts_described"), spread="id"
+        terms, concepts, ["conceptId"], release.table("hot_concepts_described"), spread="id"
     )
     return joined.select(
         F.col("term").alias("param"), F.col("conceptId").alias("id"), "term", "fsn"
@@ -196,14 +196,20 @@ def concepts_with_term(release: Release, params: DataFrame | None = None) -> Dat
 
 
 def _having_terms(release: Release, terms: DataFrame, params: DataFrame) -> DataFrame:
-    """`terms` with a term among `params`, under the configured comparison."""
-    if release.context.collation:
-        key = release.context.text_key
-        return terms.join(params, key(terms["term"]) == key(params["param"]), "left_semi")
-    wanted = params.select(F.col("param").alias("term"))
-    return split_join(
-        terms, wanted, ["term"], release.hot("hot_terms"), spread="id", how="left_semi"
-    )
+    """`terms` with a term among `params`, under the configured comparison.
+
+    Spellings are told apart by how often each occurs, so under a collation a hot term is
+    split by the spelling it has most rows in.
+    """
+    key = release.context.text_key
+    wanted = params.select(key(F.col("param")).alias("_key")).distinct()
+    hot = (
+        release.table("hot_terms")
+        .groupBy(key(F.col("term")).alias("_key"))
+        .agg(F.max("slices").alias("slices"))
+    )
+    keyed = terms.withColumn("_key", key(F.col("term")))
+    return split_join(keyed, wanted, ["_key"], hot, spread="id", how="left_semi").drop("_key")
 
 
 def _active_extension_terms(release: Release) -> DataFrame:

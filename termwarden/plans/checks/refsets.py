@@ -34,7 +34,7 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     so that equal rows do not have to meet in one sort partition.
     """
     terms = release.table("refset_terms")
-    large_refsets = release.hot("hot_simple_refsets")
+    large_refsets = release.table("hot_simple_refsets")
     members = (
         release.table("simplerefsets_snap")
         .where("active = 1")
@@ -57,7 +57,7 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
         named,
         inactive,
         ["referencedComponentId"],
-        release.hot("hot_simple_members"),
+        release.table("hot_simple_members"),
         spread="member",
         how="left_semi",
     )
@@ -84,7 +84,7 @@ def concept_descriptions(release: Release, params: DataFrame | None = None) -> D
         .select("id", "conceptId", "term")
     )
     joined = split_join(
-        terms, concepts, ["conceptId"], release.hot("hot_concepts_described"), spread="id"
+        terms, concepts, ["conceptId"], release.table("hot_concepts_described"), spread="id"
     )
     concept = F.col("conceptId")
     return joined.select(concept.alias("param"), concept.alias("id"), "term", "fsn")
@@ -116,7 +116,7 @@ def base_language_members(release: Release) -> DataFrame:
         members,
         descriptions,
         ["referencedComponentId"],
-        release.hot("hot_language_members"),
+        release.table("hot_language_members"),
         spread="id",
     )
     return joined.select("term", "referencedComponentId", "refsetId")
@@ -156,9 +156,15 @@ def repeated_members(release: Release) -> DataFrame:
         .select(F.col("id").alias("referencedComponentId"), "term")
     )
     refset_names = release.table("refset_concepts").where("active = 1")
+    named = split_join(
+        repeated,
+        refset_names.select("refsetId", "fsn"),
+        ["refsetId"],
+        release.table("hot_language_refsets"),
+        spread="referencedComponentId",
+    )
     return (
-        repeated.join(refset_names.select("refsetId", "fsn"), "refsetId")
-        .join(descriptions, "referencedComponentId")
+        named.join(descriptions, "referencedComponentId")
         .select("refsetId", "fsn", "referencedComponentId", "term")
     )
 
@@ -177,7 +183,11 @@ def members_of_repeated_components(
     key = ["refsetId", "referencedComponentId"]
     counted = members
     if params is not None:
-        counted = members.join(params, members["refsetId"] == params["param"], "left_semi")
+        wanted = params.select(F.col("param").alias("refsetId"))
+        large_refsets = release.table("hot_language_refsets")
+        counted = split_join(
+            members, wanted, ["refsetId"], large_refsets, spread="id", how="left_semi"
+        )
     repeated = (
         counted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
     )
@@ -188,7 +198,7 @@ def members_of_repeated_components(
         members.where("active = 1"),
         repeated.join(desc_side, "referencedComponentId"),
         key,
-        release.hot("hot_language_members"),
+        release.table("hot_language_members"),
         spread="id",
     )
     return joined.select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Mapping
-from threading import RLock
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -12,46 +14,51 @@ from termwarden.context import CheckContext
 from termwarden.operators import closure, hierarchies, names, refsets, skew, versions
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.packages import Package, load_full, release_name
-from termwarden.sources.scratch import WorkFolder, shared_folder
+from termwarden.session import configure
 from termwarden.sources.catalog import CatalogStore
+from termwarden.sources.scratch import WorkFolder, shared_folder
 from termwarden.sources.store import ReleaseStore
 
 Store = ReleaseStore | CatalogStore
 
 _SNAPSHOTS = {f"{table}_snap": table for table in FULL_TABLES if table != "owlrefsets"}
 
-_DERIVED: dict[str, Callable[[Release], DataFrame]] = {
-    "concepts_snap2": lambda r: names.with_names(
+#: Derived tables, with the folder for steps of the derivation.
+_DERIVED: dict[str, Callable[[Release, WorkFolder], DataFrame]] = {
+    "concepts_snap2": lambda r, work: names.with_names(
         r.table("concepts_snap"), r.table("descriptions_snap"), r.context
     ),
-    "transitiveclosure": lambda r: closure.transitive_closure(
-        r.table("concepts_snap"), r.table("relationships_snap"), r.context, r.work()
+    "transitiveclosure": lambda r, work: closure.transitive_closure(
+        r.table("concepts_snap"), r.table("relationships_snap"), r.context, work
     ),
-    "hierarchies": lambda r: hierarchies.hierarchies(
+    "hierarchies": lambda r, work: hierarchies.hierarchies(
         r.spark,
         r.table("relationships_snap"),
         r.table("descriptions_snap"),
         r.table("languagerefsets_snap"),
         r.context,
-        r.work(),
+        work,
+    ),
+    "hierarchy_members": lambda r, work: hierarchies.hierarchy_members(
+        r.table("transitiveclosure"), r.table("hierarchies")
     ),
-    "extension_changes": lambda r: versions.extension_changes(
+    "extension_changes": lambda r, work: versions.extension_changes(
         r.table("concepts"), r.context.release_date, r.context.extension_module
     ),
-    "refsets": lambda r: refsets.refsets_in_use(
+    "refsets": lambda r, work: refsets.refsets_in_use(
         {
             "language": r.table("languagerefsets_snap"),
             "simple": r.table("simplerefsets_snap"),
         }
     ),
-    "refset_terms": lambda r: refsets.refset_terms(
+    "refset_terms": lambda r, work: refsets.refset_terms(
         r.table("refsets"),
         r.table("descriptions_snap"),
         r.table("languagerefsets_snap"),
         r.context,
-        r.work(),
+        work,
     ),
-    "refset_concepts": lambda r: refsets.refset_concepts(
+    "refset_concepts": lambda r, work: refsets.refset_concepts(
         r.table("refsets"), r.table("concepts_snap2")
     ),
 }
@@ -61,13 +68,13 @@ _HOT_COLUMNS = {
     "hot_concepts_described": ("descriptions_snap", "conceptId"),
     "hot_terms": ("descriptions_snap", "term"),
     "hot_language_members": ("languagerefsets_snap", "referencedComponentId"),
+    "hot_language_refsets": ("languagerefsets_snap", "refsetId"),
     "hot_simple_members": ("simplerefsets_snap", "referencedComponentId"),
     "hot_simple_refsets": ("simplerefsets_snap", "refsetId"),
 }
 
-#: Everything a complete release holds, in an order that derives nothing twice. Hot terms
-#: are for drill-downs only and cost a shuffle of all terms, so they wait until asked for.
-TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED, *(n for n in _HOT_COLUMNS if n != "hot_terms"))
+#: Everything a complete release holds, in an order that derives nothing twice.
+TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED, *_HOT_COLUMNS)
 
 _PARTITIONS = (
     dict.fromkeys(FULL_TABLES, ("effectiveTime",))
@@ -93,15 +100,17 @@ class Release:
         store: Store | None = None,
         rows_per_task: int = skew.ROWS_PER_TASK,
     ) -> None:
+        configure(spark)
         self.spark = spark
         self.name = name
         self.context = context or CheckContext.for_release(name)
-        self.store = store or ReleaseStore(spark, WorkFolder(spark).path)
+        self._own: WorkFolder | None = None
+        self.store = store or ReleaseStore(spark, self.own_folder().path)
         self.rows_per_task = rows_per_task
         self._full = full
         self._tables: dict[str, DataFrame] = {}
-        self._hot: dict[str, DataFrame | None] = {}
-        self._lock = RLock()
+        self._locks: defaultdict[str, Lock] = defaultdict(Lock)
+        self._withdrawn = False
 
     @classmethod
     def load(
@@ -122,54 +131,81 @@ class Release:
 
     @classmethod
     def open(cls, store: Store, name: str, **overrides) -> Release:
-        """A release the store holds complete."""
-        if not store.has(name):
+        """A release the store holds complete, with the context it was built with.
+
+        `overrides` may change what only checks read; another value for a field that
+        stored tables depend on raises.
+        """
+        context = store.context(name)
+        if context is None:
             raise KeyError(f"no such release: {name}")
-        release = cls(
-            store.spark, name, {}, CheckContext.for_release(name, **overrides), store
-        )
+        context = CheckContext.from_json(context).reopened(overrides)
+        release = cls(store.spark, name, {}, context, store)
         for table in TABLES:
             release._tables[table] = store.read(table, name, _schema_of(table))
         return release
 
     def table(self, name: str) -> DataFrame:
-        with self._lock:
+        """A stored table; the first caller derives it, others wait for that table only."""
+        with self._locks[name]:
             if name not in self._tables:
+                with self._locks[""]:
+                    if not self._withdrawn:
+                        self.store.withdraw(self.name)
+                        self._withdrawn = True
+                work = self.work()
                 self._tables[name] = self.store.write(
                     name,
                     self.name,
-                    self._derive(name),
+                    self._derive(name, work),
                     _PARTITIONS.get(name, ()),
                     gather=name in FULL_TABLES,
                 )
+                work.delete()
             return self._tables[name]
 
-    def hot(self, name: str) -> DataFrame | None:
-        """A table of hot keys, or nothing where no value holds that many rows."""
-        with self._lock:
-            if name not in self._hot:
-                keys = self.table(name)
-                self._hot[name] = None if keys.isEmpty() else keys
-            return self._hot[name]
-
-    def build(self) -> Release:
-        """Derive and store every table, then list the release as complete."""
-        for name in TABLES:
-            self.table(name)
-        self.store.add_release(self.name)
+    def build(self, parallel: int = 4) -> Release:
+        """Derive and store every table, then list the release as complete.
+
+        Tables are started in an order in which each comes after those it reads, so some
+        can be made side by side without a wait that never ends.
+        """
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(self.table, TABLES))
+        self.store.add_release(self.name, self.context.to_json())
         return self
 
     def work(self) -> WorkFolder:
+        """A fresh folder for the steps of one derivation."""
         return WorkFolder(self.spark, shared_folder(self.spark))
 
-    def _derive(self, name: str) -> DataFrame:
+    def own_folder(self) -> WorkFolder:
+        """The folder of what lives as long as this object."""
+        if self._own is None:
+            self._own = self.work()
+        return self._own
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result stored beside the release, made when first asked for."""
+        with self._locks[f"kept {name}"]:
+            if name not in self._tables:
+                self._tables[name] = self.own_folder().write(name, make())
+            return self._tables[name]
+
+    def close(self) -> None:
+        """Remove what was stored for this object alone."""
+        if self._own is not None:
+            self._own.delete()
+            self._own = None
+
+    def _derive(self, name: str, work: WorkFolder) -> DataFrame:
         if name in self._full:
             source = self._full[name]
             return source() if callable(source) else source
         if name in _SNAPSHOTS:
             return versions.snapshot(self.table(_SNAPSHOTS[name]))
         if name in _DERIVED:
-            return _DERIVED[name](self)
+            return _DERIVED[name](self, work)
         if name in _HOT_COLUMNS:
             table, column = _HOT_COLUMNS[name]
             return skew.hot_keys(self.table(table), column, self.rows_per_task)

@@ -20,27 +20,40 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+#: Values that Spark has where nobody set one.
+DEFAULTS = {"spark.sql.sources.fileCompressionFactor": "1.0"}
 
-#: Input of one shuffle task, and how many tasks a shuffle has at most: beyond that, its
-#: number of blocks costs more than larger tasks do.
+#: Input of one shuffle task.
 BYTES_PER_TASK = 512 << 20
-MOST_TASKS = 40_000
 
 
-def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+def settings_for(input_bytes: int, cores: int, most_tasks: int | None = None) -> dict[str, str]:
     """Settings for a release of about that size, on that many cores.
 
     Shuffles start with enough partitions for the largest table; adaptive execution
-    merges them where less data arrives.
+    merges them where less data arrives. `most_tasks` bounds their number where a cluster
+    cannot serve so many blocks; tasks are larger then.
     """
-    tasks = min(MOST_TASKS, max(cores, -(-input_bytes // BYTES_PER_TASK)))
+    tasks = max(cores, -(-input_bytes // BYTES_PER_TASK))
     return SETTINGS | {
-        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.shuffle.partitions": str(min(tasks, most_tasks or tasks)),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.files.maxPartitionBytes": "256m",
     }
 
 
+def configure(spark: SparkSession, settings: dict[str, str] | None = None) -> None:
+    """Set what the engine relies on and a running session lets be changed.
+
+    Without `settings` only what the session has not set itself; pass `settings_for(...)`
+    to size shuffles for a release.
+    """
+    for key, value in (settings or SETTINGS).items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            if settings or spark.conf.get(key, None) in (None, DEFAULTS.get(key)):
+                spark.conf.set(key, value)
+
+
 def local_session(app_name: str = "termwarden", cpus: int | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     cpus = cpus or os.cpu_count() or 1

@@ -1,9 +1,9 @@
 """Releases as databases of the session catalog, with tables bucketed on their ids.
 
 Each release is a database named after it, so that its tables can also be queried with
-SQL as `<release>.<table>`. Snapshots are bucketed by component id and the closure by
-subtype: joins on those columns need no shuffle of the bucketed side, and none at all
-between two of them. Only columns that no single value can fill a bucket with are used.
+SQL as `<release>.<table>`. Snapshots are bucketed by component id, language refsets by the component they refer to
+and the closure by subtype: joins on those columns need no shuffle of the bucketed side,
+and none at all between two of them. A column is left out if one value may fill a bucket.
 """
 
 from __future__ import annotations
@@ -20,9 +20,13 @@ BUCKET_COLUMNS = {
     "concepts_snap": "id",
     "concepts_snap2": "id",
     "descriptions_snap": "id",
+    "languagerefsets_snap": "referencedComponentId",
     "transitiveclosure": "subtypeId",
 }
 
+#: Table of a complete release that holds its context.
+LISTING = "release_info"
+
 
 class CatalogStore:
     """Tables of one or more releases in databases below one location."""
@@ -62,14 +66,28 @@ class CatalogStore:
         df = self.spark.table(f"`{release}`.{table}")
         return df.select(*schema.names) if schema else df
 
-    def add_release(self, release: str) -> None:
-        """A release is listed as soon as its database exists."""
+    def add_release(self, release: str, context: str) -> None:
+        """List a release as complete; called once all its tables are stored."""
+        row = self.spark.range(1).select(F.lit(context).alias("context"))
+        self.write(LISTING, release, row)
+
+    def withdraw(self, release: str) -> None:
+        """Take a release off the list; called before any of its tables is replaced."""
+        if self.has(release):
+            self.spark.sql(f"DROP TABLE `{release}`.{LISTING}")
 
     def has(self, release: str) -> bool:
-        """Whether there is a database for a release."""
-        return self.spark.catalog.databaseExists(release)
+        """Whether a release is complete."""
+        return self.spark.catalog.tableExists(f"`{release}`.{LISTING}")
+
+    def context(self, release: str) -> str | None:
+        """The context a complete release was built with, as JSON."""
+        if not self.has(release):
+            return None
+        return self.read(LISTING, release).first().context
 
     def releases(self, pattern: str | None = RELEASE_NAME) -> DataFrame:
-        """Names of databases that look like releases; the catalog keeps them in lower case."""
-        names = self.spark.sql("SHOW DATABASES").select(F.col("namespace").alias("release"))
-        return matching_releases(names, pattern)
+        """Names of complete releases; the catalog keeps them in lower case."""
+        names = [row.namespace for row in self.spark.sql("SHOW DATABASES").collect()]
+        complete = [(name,) for name in names if self.has(name)]
+        return matching_releases(self.spark.createDataFrame(complete, "release string"), pattern)

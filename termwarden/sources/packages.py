@@ -7,11 +7,11 @@ header line, no quoting and no escapes.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -32,9 +32,6 @@ FILE_OF_TABLE = {
     "simplerefsets": "Refset/Content/{beta}der2_Refset_*",
 }
 
-#: Tables whose files a package may lack.
-OPTIONAL_TABLES = frozenset({"owlrefsets", "simplerefsets"})
-
 # The package folder is named product_kind_status_scope, the scope being
 # a date or, for an extension, a namespace and a date; beta packages start with x.
 PACKAGE_NAME = r"(?:^|/)(x?)[^_/]+_[^_/]+_[^_/]+_((?:[A-Z]{2}\d+_)?(\d{8}))T[^/]*(?:/|$)"
@@ -51,19 +48,33 @@ class Package:
     date: int
     beta: str
     languages: tuple[str, ...] = ("en",)
+    without: frozenset[str] = frozenset()
 
     @classmethod
-    def base(cls, path: str, languages: Sequence[str] = ("en",)) -> Package:
+    def base(
+        cls, path: str, languages: Sequence[str] = ("en",), without: Iterable[str] = ()
+    ) -> Package:
+        """A base package; `without` names tables it has no files of.
+
+        A missing file is an error otherwise: an empty table in its place would let checks
+        find nothing wrong.
+        """
         beta, date = _identify(path)
-        return cls(path, f"INT_{date}", int(date[-8:]), beta, tuple(languages))
+        date_only = int(date[-8:])
+        return cls(path, f"INT_{date}", date_only, beta, tuple(languages), frozenset(without))
 
     @classmethod
-    def extension(cls, path: str, languages: Sequence[str] = ("en", "sv")) -> Package:
+    def extension(
+        cls, path: str, languages: Sequence[str] = ("en", "sv"), without: Iterable[str] = ()
+    ) -> Package:
         beta, scope = _identify(path)
-        return cls(path, scope, int(scope[-8:]), beta, tuple(languages))
+        date_only = int(scope[-8:])
+        return cls(path, scope, date_only, beta, tuple(languages), frozenset(without))
 
     def files(self, table: str, kind: str) -> list[str]:
         """Paths of a table's files in load order, one per language if it has several."""
+        if table in self.without:
+            return []
         pattern = f"{self.path}/{kind}/{FILE_OF_TABLE[table]}"
         languages = self.languages if "{language}" in pattern else ("",)
         return [
@@ -124,10 +135,9 @@ def read_files(
     place in it, so splitting large files over tasks keeps it.
     """
     parts = [
-        part
+        _read(spark, path, schema, package, file)
         for package, source in enumerate(filter(None, (base, extension)))
         for file, path in enumerate(source.files(table, kind))
-        if (part := _read(spark, path, schema, table in OPTIONAL_TABLES, package, file))
     ]
     if not parts:
         empty = spark.createDataFrame([], schema)
@@ -139,10 +149,9 @@ def _read(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    optional: bool,
     package: int,
     file: int,
-) -> DataFrame | None:
+) -> DataFrame:
     reader = (
         spark.read.schema(schema)
         .option("sep", "\t")
@@ -151,23 +160,20 @@ def _read(
         .option("escape", "")
         .option("mode", "FAILFAST")
     )
-    try:
-        rows = reader.csv(path)
-    except AnalysisException as error:
-        if optional and error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    rows = reader.csv(path)
     blanks = {
         field.name: F.coalesce(field.name, F.lit(""))
         for field in schema
         if isinstance(field.dataType, StringType)
     }
-    # Paths are only compared, and then shuffled with the rows, where there are several.
-    several = len(rows.inputFiles()) > 1
+    # A pattern's files are in one folder. A name's place among the sorted ones stands for
+    # the file in the shuffle; listed paths are escaped as in URLs.
+    names = sorted(unquote(path).rpartition("/")[2] for path in rows.inputFiles())
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("_metadata.file_name"))
     position = {
         "_package": F.lit(package),
         "_file": F.lit(file),
-        "_path": F.col("_metadata.file_path") if several else F.lit(""),
+        "_path": place,
         "_block": F.col("_metadata.file_block_start"),
         "_row": F.monotonically_increasing_id(),
     }

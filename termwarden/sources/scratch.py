@@ -37,6 +37,12 @@ class WorkFolder:
         self.spark = spark
         self.path = f"{parent or shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
+    def delete(self) -> None:
+        """Remove the folder; what was read from it must have been stored elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(path, True)
+
     def write(
         self, name: str, df: DataFrame, partition_by: Sequence[str] = ()
     ) -> DataFrame:

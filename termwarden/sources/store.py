@@ -5,7 +5,7 @@ Layout below the root:
     <table>/release=<name>/effectiveTime=<date>/   full tables
     <table>/release=<name>/active=<0|1>/           snapshots
     <table>/release=<name>/                        other derived tables
-    releases/                                      one row per complete release
+    releases/release=<name>/                       whether it is complete, and its context
 
 Checks on what a release published touch one date of a full table, and most checks on
 snapshots want either active or inactive rows, so both are pruned by partition.
@@ -18,12 +18,18 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Fixed value: how names of release databases look; not anchored at either end.
 RELEASE_NAME = r"x?(_beta_)?snomed_.*full_"
 
-REGISTRY_SCHEMA = StructType([StructField("release", StringType(), False)])
+REGISTRY_SCHEMA = StructType(
+    [
+        StructField("complete", BooleanType()),
+        StructField("context", StringType()),
+        StructField("release", StringType()),
+    ]
+)
 
 
 class ReleaseStore:
@@ -63,26 +69,42 @@ class ReleaseStore:
         df = reader.parquet(self.path(table, release))
         return df.select(*schema.names) if schema else df
 
-    def add_release(self, release: str) -> None:
+    def add_release(self, release: str, context: str) -> None:
         """List a release as complete; called once all its tables are stored."""
-        if not self.has(release):
-            row = self.spark.range(1).select(F.lit(release).alias("release"))
-            row.write.mode("append").parquet(f"{self.root}/releases")
+        self._list(release, True, context)
 
-    def has(self, release: str) -> bool:
-        """Whether a release is complete."""
-        names = self.releases(pattern=None)
-        return not names.where(F.col("release") == release).isEmpty()
+    def withdraw(self, release: str) -> None:
+        """Take a release off the list; called before any of its tables is replaced."""
+        if self.has(release):
+            self._list(release, False, None)
 
-    def releases(self, pattern: str | None = RELEASE_NAME) -> DataFrame:
-        """Names of complete releases."""
+    def _list(self, release: str, complete: bool, context: str | None) -> None:
+        row = self.spark.range(1).select(
+            F.lit(complete).alias("complete"), F.lit(context).cast("string").alias("context")
+        )
+        row.write.mode("overwrite").parquet(f"{self.root}/releases/release={release}")
+
+    def _listed(self) -> DataFrame:
         try:
-            names = self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/releases")
+            rows = self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/releases")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            names = self.spark.createDataFrame([], REGISTRY_SCHEMA)
-        return matching_releases(names, pattern)
+            rows = self.spark.createDataFrame([], REGISTRY_SCHEMA)
+        return rows.where("complete")
+
+    def has(self, release: str) -> bool:
+        """Whether a release is complete."""
+        return self.context(release) is not None
+
+    def context(self, release: str) -> str | None:
+        """The context a complete release was built with, as JSON."""
+        row = self._listed().where(F.col("release") == release).select("context").first()
+        return row and row.context
+
+    def releases(self, pattern: str | None = RELEASE_NAME) -> DataFrame:
+        """Names of complete releases."""
+        return matching_releases(self._listed().select("release"), pattern)
 
 
 def matching_releases(names: DataFrame, pattern: str | None = RELEASE_NAME) -> DataFrame:

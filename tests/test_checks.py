@@ -263,7 +263,7 @@ def language_tables():
 @pytest.mark.parametrize("rows_per_task", [None, 1])
 def test_language_refsets(spark, language_tables, rows_per_task):
     release = make_release(spark, rows_per_task=rows_per_task, **language_tables)
-    assert (release.hot("hot_language_members") is None) == (rows_per_task is None)
+    assert release.table("hot_language_members").isEmpty() == (rows_per_task is None)
     assert check(release, "active-langrefset-en-descriptions") == [("english", 1, 7)] * 2
     assert check(release, "active-langrefset-inactive-descriptions") == [(2,)]
     # Refset 8 is inactive, and the second member on 3 is not the extension's.
@@ -308,12 +308,12 @@ def test_identifiers_outside_the_namespace(spark):
 
 def test_hot_keys_do_not_change_results(spark, release):
     """With one row per task every repeated key is split."""
-    from termwarden import fixtures
+    from harness import fixtures
     from tests.conftest import SMALL
 
     split = fixtures.release(spark, SMALL)
     split.rows_per_task = 2
-    assert split.hot("hot_concepts_described") is not None
+    assert not split.table("hot_concepts_described").isEmpty()
     for check_id, param in [
         ("inactive-concepts-in-refsets", None), ("active-langrefset-en-descriptions", None),
         ("concept-duplicate", "red widget (economy)"), ("concept-refset-inactive", 20001000052105),

@@ -8,7 +8,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from termwarden import registered
+from harness import registered
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS
 from termwarden.plans.release import TABLES
 from termwarden.session import settings_for
@@ -95,4 +95,5 @@ def test_shuffle_sizes_follow_the_data():
     partitions = "spark.sql.shuffle.partitions"
     assert settings_for(1 << 30, cores=64)[partitions] == "64"
     assert settings_for(1 << 40, cores=64)[partitions] == "2048"
-    assert settings_for(100 << 40, cores=8000)[partitions] == "40000"
+    assert settings_for(100 << 40, cores=8000)[partitions] == "204800"
+    assert settings_for(100 << 40, 8000, most_tasks=40_000)[partitions] == "40000"

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from termwarden.plans.catalogue import CATALOGUE
 from termwarden.plans.release import TABLES, Release
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.catalog import CatalogStore
@@ -12,7 +15,7 @@ from termwarden.sources.packages import (
 )
 from termwarden.sources.scratch import shared_folder
 from termwarden.sources.store import ReleaseStore
-from tests.micro import FSN, IS, PREF, R, ROOT, SE, concept, make_release, rows
+from tests.micro import CORE, FSN, IS, PREF, R, ROOT, SE, concept, make_release, rows
 
 BASE = "Terms_InternationalRF2_PRODUCTION_20180131T120000Z"
 EXTENSION = "Terms_ManagedServiceSE_PRODUCTION_SE1000052_20180531T120000Z"
@@ -72,7 +75,8 @@ def folders(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def packages(folders):
-    return Package.base(folders[0]), Package.extension(folders[1])
+    base = Package.base(folders[0], without={"owlrefsets", "simplerefsets"})
+    return base, Package.extension(folders[1], without={"owlrefsets"})
 
 
 def test_packages_are_named_by_their_folder(packages):
@@ -130,6 +134,9 @@ def test_simple_refsets_are_loaded_in_file_order(spark, packages):
 
 def test_missing_files(spark, packages):
     assert load_full(spark, "owlrefsets", *packages).count() == 0
+    # What is not said to be absent has to be there.
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        load_full(spark, "simplerefsets", Package.base(packages[0].path))
     assert load_full(spark, "owlrefsets", *packages).schema.names == FULL_TABLES["owlrefsets"].names
     with pytest.raises(AnalysisException):
         load_full(spark, "concepts", Package.base("/none/" + BASE))
@@ -180,10 +187,10 @@ def test_stores(spark, release, tmp_path, kind):
     full = {table: release.table(table) for table in FULL_TABLES}
     assert not store.has(release.name)
     Release(spark, release.name, full, release.context, store).build()
-    store.add_release(release.name)
     listed = [r.release.lower() for r in store.releases().collect()]
     assert listed.count(release.name.lower()) == 1
-    opened = Release.open(store, release.name, root_concept=release.context.root_concept)
+    opened = Release.open(store, release.name)
+    assert opened.context == release.context
     for table in TABLES:
         assert opened.table(table).columns == release.table(table).columns
         assert opened.table(table).dtypes == release.table(table).dtypes
@@ -191,6 +198,28 @@ def test_stores(spark, release, tmp_path, kind):
         assert opened.table(table).count() == release.table(table).count()
     with pytest.raises(KeyError):
         Release.open(store, "snomed_full_20990101")
+    # What only checks read may differ; what stored tables depend on may not.
+    assert Release.open(store, release.name, core_module=1).context.core_module == 1
+    with pytest.raises(ValueError, match="extension_module"):
+        Release.open(store, release.name, extension_module=CORE)
+    # A rebuild takes the release off the list until it is complete again.
+    again = Release(spark, release.name, full, release.context, store)
+    again.table("concepts")
+    assert not store.has(release.name)
+    assert release.name.lower() not in [r.release.lower() for r in store.releases().collect()]
+
+
+@pytest.mark.parametrize("kind", ["files", "catalog"])
+def test_open_keeps_the_context_of_the_build(spark, release, tmp_path, kind):
+    root = str(tmp_path / "other")
+    store = ReleaseStore(spark, root) if kind == "files" else CatalogStore(spark, root, 4)
+    name = "snomed_full_core_20000531"
+    full = {table: release.table(table) for table in FULL_TABLES}
+    other = replace(release.context, extension_module=CORE)
+    built = Release(spark, name, full, other, store).build()
+    opened = rows(CATALOGUE.run("changed-concepts", Release.open(store, name)))
+    assert opened == rows(CATALOGUE.run("changed-concepts", built))
+    assert opened != rows(CATALOGUE.run("changed-concepts", release))
 
 
 def test_dates_and_flags_are_pruned_by_partition(spark, release, capsys):
@@ -221,7 +250,7 @@ def test_releases_are_found_by_name(spark, tmp_path):
     store = ReleaseStore(spark, str(tmp_path / "names"))
     assert store.releases().count() == 0
     for name in ("snomed_full_20180131", "xsnomed_full_SE_20180531", "other", "a_snomed_b_full_c"):
-        store.add_release(name)
+        store.add_release(name, "{}")
     assert sorted(rows(store.releases())) == [
         ("a_snomed_b_full_c",), ("snomed_full_20180131",), ("xsnomed_full_SE_20180531",),
     ]
