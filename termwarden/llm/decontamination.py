@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates with typed slots.
 
 Words lose their case and outer punctuation; numbers, units of measure and names (words
-with a capital inside a sentence) become typed placeholders. Windows of eight such tokens
+inside a sentence whose only capital is the first letter) become typed placeholders. Windows of eight such tokens
 of documents and benchmark items are hash-joined, so a question with other numbers or
 names in it still matches. For every document, item and alignment (the difference of the
 two positions) the slots are then compared: a benchmark value must always stand for the
@@ -17,8 +17,8 @@ benchmark's hashes. The bitmap has a fixed size (`BITS`), whatever the benchmark
 many windows fill it, more rows reach the join, and none is lost. The join shuffles or
 broadcasts as Spark sees fit, and a frequent passage is split by the adaptive skew join.
 
-Null and empty texts contain nothing and no item. Repeated rows are judged each by
-itself. Null ids are kept. An empty benchmark or table gives an empty result.
+Null and empty texts contain nothing and no item. Repeated rows and equal texts share
+their fate. Null ids are kept. An empty benchmark or table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import mixed, numbered, pieces, texts_of, without_rows, work_folder
+from termwarden.llm.common import mixed, pieces, texts_of, work_folder
 from termwarden.sources.scratch import WorkFolder
 
 WINDOW, SHORTEST, BITS = 8, 4, 22
@@ -66,7 +66,7 @@ class Tokens:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in plain), np.uint64, len(plain))
         kind = np.where(_mask(pc.match_substring_regex(cores, NUMBER)), NUMERIC, LITERAL)
         kind[np.fromiter((w in UNITS for w in plain), bool, len(plain))] = UNIT
-        capital = _mask(pc.match_substring_regex(cores, r"^\p{Lu}")) & (kind == LITERAL)
+        capital = _mask(pc.match_substring_regex(cores, r"^\p{Lu}[^\p{Lu}]*$")) & (kind == LITERAL)
         ends = _mask(pc.match_substring_regex(words, r"[.!?:]\W*$"))
         index = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         filled = np.fromiter((bool(w) for w in plain), bool, len(plain))[index] if len(index) else np.zeros(0, bool)
@@ -143,13 +143,12 @@ def _windows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | No
     return rows.mapInArrow(cut, _WINDOWS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, work: WorkFolder, row: str = "_row") -> DataFrame:
-    """`(<row>, item_id, matched, windows, coverage, reparameterised)` per contained item.
+def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame:
+    """`(row, item_id, matched, windows, coverage, reparameterised)` per contained item.
 
-    `docs` has a long column that numbers its rows. `reparameterised` tells that a slot
-    has another value in the document than in the item.
+    `texts` has `text` and a long `row` that equal texts may share. `reparameterised`
+    tells that a slot has another value in the document than in the item.
     """
-    spark = docs.sparkSession
     items = (
         benchmark.where(F.col("text").isNotNull())
         .groupBy("text")
@@ -163,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: WorkFolder, row: str = "_
     positions = wanted.select(high.alias("p")).distinct().toArrow()["p"].to_numpy()
     np.bitwise_or.at(bitmap, positions >> 3, np.left_shift(1, positions & 7).astype(np.uint8))
     found = work.write(
-        "found", _windows(docs.select(F.col(row).alias("row"), "text"), lengths or [WINDOW], bitmap)
+        "found", _windows(texts.select("row", "text"), lengths or [WINDOW], bitmap)
     )
     matched = found.select(
         "row", "hash", F.col("place").alias("_at"), F.col("slots").alias("_slots")
@@ -201,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: WorkFolder, row: str = "_
     )
     enough = (F.col("matched") >= F.ceil(F.col("windows") * SHARE)) | (F.col("matched") >= ENOUGH)
     return whole.where(enough).select(
-        F.col("row").alias(row),
+        "row",
         "item_id",
         "matched",
         "windows",
@@ -210,18 +209,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: WorkFolder, row: str = "_
     )
 
 
+def _by_text(docs: DataFrame) -> DataFrame:
+    """What a text contains depends on nothing else, so its hash stands for the rows."""
+    return docs.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`(doc_id, item_id, matched, windows, coverage, reparameterised)`."""
     work = work_folder(docs)
-    ids = work.write(
-        "rows", docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    )
-    return leaks(ids, benchmark, work).join(ids.select("_row", "doc_id"), "_row").drop("_row")
+    rows = _by_text(docs.select("doc_id", "text"))
+    found = work.write("leaks", leaks(rows, benchmark, work))
+    return rows.select("doc_id", "row").join(found, "row").drop("row")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, work: WorkFolder | None = None
+) -> DataFrame:
     """The rows of `docs` that contain no benchmark item."""
-    work = work_folder(docs)
-    stored = numbered(docs, work)
-    flagged = work.write("flagged", leaks(stored, benchmark, work).select("_row").distinct())
-    return without_rows(stored, flagged)
+    work = work or work_folder(docs)
+    flagged = leaks(_by_text(docs.select("text")), benchmark, work).select("row").distinct()
+    flagged = work.write("flagged", flagged).withColumnRenamed("row", "_leaked")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(flagged, F.col("_text_hash") == F.col("_leaked"), "left_anti")
+    return kept.drop("_text_hash")

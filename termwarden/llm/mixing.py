@@ -80,9 +80,10 @@ def _mixed(
     share: float,
     most_epochs: int,
     seed: int,
+    work: WorkFolder | None = None,
 ) -> DataFrame:
     """`_doc` (the carried columns) with size, source_size, target, copies and cut."""
-    work = work_folder(docs)
+    work = work or work_folder(docs)
     text = F.coalesce("text", F.lit(""))
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
     keyed = docs.select(
@@ -132,13 +133,14 @@ def mixed_documents(
     share: float = 1.5,
     most_epochs: int = 2,
     seed: int = 17,
+    work: WorkFolder | None = None,
 ) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, each text whole.
 
     The document that a budget cuts through is taken once more if the cut leaves at least
     half of it in, so a source misses its target by half a document at most.
     """
-    rows = _mixed(docs, docs.columns, weights, share, most_epochs, seed)
+    rows = _mixed(docs, docs.columns, weights, share, most_epochs, seed, work)
     once_more = (F.col("cut") > 0) & (F.col("cut") * 2 >= F.col("size"))
     times = F.col("copies") + once_more.cast("long")
     return (

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwarden.llm.common import mixed, running_sums, work_folder
+from termwarden.sources.scratch import WorkFolder
 
 ROUNDS = 6
 
@@ -43,13 +44,15 @@ def feistel(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sharded(docs: DataFrame, shards: int, key: int = 2024) -> DataFrame:
+def sharded(
+    docs: DataFrame, shards: int, key: int = 2024, work: WorkFolder | None = None
+) -> DataFrame:
     """The rows with `shard` and `slot`; columns of these names are replaced.
 
     `docs` has `doc_id` and either `text` or its digest in `text_digest`, which is
     dropped.
     """
-    work = work_folder(docs)
+    work = work or work_folder(docs)
     docs = docs.drop("shard", "slot")
     if "text_digest" not in docs.columns:
         docs = docs.withColumn("text_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
