@@ -45,6 +45,19 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def beside(self, groups: DataFrame) -> DataFrame:
+        """Rows with one digest each, dealt as the index is, so that it is not shuffled."""
+        return groups.repartition(self.buckets, "digest")
+
+    def unknown(self, groups: DataFrame) -> DataFrame:
+        """The rows whose digest is not in the index.
+
+        An anti join written as an outer one: Spark would move the former below the
+        dealing, and then shuffle the index.
+        """
+        marked = self.read().select("digest", F.lit(True).alias("_known"))
+        return self.beside(groups).join(marked, "digest", "left").where("_known IS NULL").drop("_known")
+
     def append(self, new: DataFrame) -> None:
         """Add `(digest, keep_id)` rows whose digests the index does not hold."""
         (
@@ -80,10 +93,13 @@ def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
             F.max("doc_id").alias("_largest"), F.sum("_copies").alias("group_size")
         ),
     )
-    new = groups.join(index.read(), "digest", "left_anti")
-    index.append(work.write("new", new.select("digest", F.col("_largest").alias("keep_id"))))
+    new = index.unknown(groups).select("digest", F.col("_largest").alias("keep_id"))
+    index.append(work.write("new", new))
     known = work.write(
-        "known", groups.join(index.read(), "digest").select("digest", "keep_id", "group_size")
+        "known",
+        index.beside(groups)
+        .join(index.read(), "digest")
+        .select("digest", "keep_id", "group_size"),
     )
     first = F.col("_copy") == 1
     return (
