@@ -150,6 +150,8 @@ def without_repeats(docs: DataFrame, work: WorkFolder) -> DataFrame:
 
     @F.udf("string")
     def rest(text, spans):
+        if spans is None:
+            return text
         data, last, parts = text.encode("utf-8", "surrogatepass"), 0, []
         for start, end in spans:
             while start < end and data[start] & 0xC0 == 0x80:
@@ -161,5 +163,4 @@ def without_repeats(docs: DataFrame, work: WorkFolder) -> DataFrame:
         return b"".join([*parts, data[last:]]).decode("utf-8", "surrogatepass")
 
     cut = docs.join(work.write("spans", spans), "_row", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans"))
-    return cut.withColumn("text", text).drop("_spans")
+    return cut.withColumn("text", rest("text", "_spans")).drop("_spans")

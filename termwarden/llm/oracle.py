@@ -50,6 +50,78 @@ SELECT doc_id, size, source_size, target, (copies * size + cut)::BIGINT AS taken
 FROM final
 """
 
+OP7 = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+-- Kinds in the order of the result, with the pattern and the part that is measured.
+kinds(kind, name, pattern, part, least) AS (VALUES
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    (1, 'access', 'AKIA[A-Z0-9]{16,}', 0, 20),
+    (2, 'hex', '[0-9a-f]{24,}', 0, 24),
+    (3, 'run', '[A-Za-z0-9+/_=-]{20,}', 0, 20)
+),
+found AS (
+    SELECT r, kind, name, least, text,
+        regexp_split_to_array(text, pattern) AS gaps,
+        regexp_extract_all(text, pattern, 0) AS matches,
+        CASE part WHEN 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern, 0) END AS parts
+    FROM texts, kinds
+),
+placed AS (
+    SELECT r, kind, name, least, unnest(matches) AS match, unnest(parts) AS part,
+        unnest(list_transform(range(1, len(matches) + 1), lambda i: CAST(
+            coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+            + coalesce(list_sum(list_transform(matches[1:i - 1], lambda m: length(m))), 0) AS BIGINT))) AS start
+    FROM found
+),
+spans AS (
+    SELECT r, kind, name, match, start, start + length(match) AS stop
+    FROM placed WHERE length(part) >= least
+),
+base AS (SELECT r, kind, name, start, stop FROM spans WHERE kind < 3),
+runs AS (
+    SELECT r, match, start,
+        CASE WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') THEN 3
+            WHEN regexp_full_match(match, '[A-Za-z0-9]+') THEN 4 ELSE 5 END AS kind
+    FROM spans
+    WHERE kind = 3 AND regexp_matches(match, '[0-9]') AND NOT regexp_matches(lower(match),
+        'example|sample|placeholder|changeme|dummy|lorem|xxxx|0000000|1234567|abcdefg|deadbeef|sha(1|256|384|512)-|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
+),
+windows AS (
+    SELECT r, kind, start AS run, start + i AS start,
+        list_entropy(string_split(substr(match, i + 1, 20), '')) AS bits
+    FROM (SELECT *, unnest(range(0, length(match) - 19)) AS i FROM runs)
+),
+dense AS (
+    SELECT r, kind, run, start,
+        sum(fresh) OVER (PARTITION BY r, run ORDER BY start) AS part
+    FROM (
+        SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY r, run ORDER BY start) <= 20 THEN 0 ELSE 1 END AS fresh
+        FROM windows WHERE bits >= [3.05, 3.55, 3.75][kind - 2]
+    )
+),
+added AS (
+    SELECT r, kind, ['entropy_hex', 'entropy_alnum', 'entropy_base64'][kind - 2] AS name, min(start) AS start, max(start) + 20 AS stop
+    FROM dense GROUP BY r, kind, run, part
+),
+everything AS (
+    SELECT *, true AS based FROM base
+    UNION ALL
+    SELECT *, false FROM added a
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.start <= a.start AND a.stop <= b.stop)
+),
+joined AS (
+    SELECT r,
+        count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access,
+        count(*) FILTER (name = 'hex') AS n_hex,
+        string_agg(concat(name, ':', start, ':', stop), ',' ORDER BY start, kind, stop) FILTER (based) AS base,
+        string_agg(concat(name, ':', start, ':', stop), ',' ORDER BY start, kind, stop) AS spans
+    FROM everything GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (r)
+"""
+
 OP10 = f"""
 WITH rows AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
 kept AS (
@@ -64,4 +136,4 @@ FROM rows JOIN kept USING (text_sha256)
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op6_mixing": OP6, "op10_exact_dedup": OP10}
+    return {"op6_mixing": OP6, "op7_secrets": OP7, "op10_exact_dedup": OP10}
