@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
+import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import redirect_stdout
 from dataclasses import dataclass, field
 from string import Formatter
 
@@ -94,13 +93,15 @@ class Catalogue:
         mode: str = "formatted",
     ) -> str:
         """What will be run: the SQL of a check written in it, and the plan."""
-        shown = io.StringIO()
         check = self.get(check_id)
-        if check.sql:
-            shown.write(check.sql.strip() + "\n\n")
-        with redirect_stdout(shown):
-            self.run(check_id, release, param).explain(mode)
-        return shown.getvalue()
+        rows = self.run(check_id, release, param)
+        view = f"explained_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(view)
+        try:
+            plan = release.spark.sql(f"EXPLAIN {mode.upper()} SELECT * FROM {view}").first()[0]
+        finally:
+            release.spark.catalog.dropTempView(view)
+        return f"{check.sql.strip()}\n\n{plan}" if check.sql else plan
 
 
 def sql_check(
@@ -129,6 +130,7 @@ def sql_check(
     return CheckSpec(check_id, description, build, nested, param_type, sql=sql)
 
 
+# The ids of the checks.
 CATALOGUE = Catalogue(
     [
         CheckSpec(

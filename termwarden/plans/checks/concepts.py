@@ -117,9 +117,8 @@ def _per_hierarchy(release: Release, ids: DataFrame, label: str) -> DataFrame:
         .groupBy(F.col("hierarchyId").alias("conceptId"))
         .agg(F.count(F.lit(1)).alias("ct"))
     )
-    return (
-        counts.join(hierarchies, "conceptId").orderBy("displayOrder").select(label, "ct")
-    )
+    labelled = counts.join(hierarchies, "conceptId")
+    return release.in_order(labelled, "displayOrder").select(label, "ct")
 
 
 def identifiers_outside_namespace(release: Release) -> DataFrame:

@@ -23,7 +23,7 @@ def description_changes(release: Release) -> DataFrame:
         for place, (label, df) in enumerate(parts.items())
     ]
     result = labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
-    return result.orderBy("place").select("label", "ct")
+    return release.in_order(result, "place").select("label", "ct")
 
 
 def new_translations(release: Release) -> DataFrame:
@@ -123,12 +123,12 @@ def inactivated_descriptions(release: Release) -> DataFrame:
 
 def irregular_characters(release: Release) -> DataFrame:
     """Terms with characters that terms should not have."""
-    return (
+    found = (
         _active_extension_terms(release)
         .where(has_irregular_characters(F.col("term")))
         .select("id", "conceptId", "term", "languageCode")
-        .orderBy("languageCode", "term", "id")
     )
+    return release.in_order(found, "languageCode", "term", "id")
 
 
 def stray_spaces(release: Release) -> DataFrame:
@@ -170,11 +170,8 @@ def duplicate_terms(release: Release) -> DataFrame:
     counts = ctx.group_by_text(
         per_concept.join(tags, "conceptId"), ["term"], "semtag", F.sum("n").alias("ct")
     )
-    return (
-        counts.where("ct > 1")
-        .select("term", "semtag", "ct")
-        .orderBy(F.desc("ct"), "term", "semtag")
-    )
+    repeated = counts.where("ct > 1").select("term", "semtag", "ct")
+    return release.in_order(repeated, F.desc("ct"), "term", "semtag")
 
 
 def concepts_with_term(release: Release, params: DataFrame | None = None) -> DataFrame:

@@ -62,10 +62,10 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
         how="left_semi",
     )
     labelled = split_join(found, terms, ["refsetId"], large_refsets, spread="member")
-    return (
-        repeat_rows(labelled, "marks", "place")
-        .orderBy("refsetId", "term", "referencedComponentId", "member", "place")
-        .select("refsetId", "term", F.col("referencedComponentId").alias("id"))
+    repeated = repeat_rows(labelled, "marks", "place")
+    order = ("refsetId", "term", "referencedComponentId", "member", "place")
+    return release.in_order(repeated, *order).select(
+        "refsetId", "term", F.col("referencedComponentId").alias("id")
     )
 
 
@@ -236,7 +236,7 @@ def refsets_not_concepts(release: Release) -> DataFrame:
         .select(F.col("id").alias("refsetId"))
         .join(used, "refsetId", "left_semi")
     )
-    return used.join(concepts, "refsetId", "left_anti").orderBy("refsetId")
+    return release.in_order(used.join(concepts, "refsetId", "left_anti"), "refsetId")
 
 
 def _inactive_members(release: Release) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from copy import copy
 from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termwarden.context import CheckContext
@@ -107,6 +108,7 @@ class Release:
         self._own: WorkFolder | None = None
         self.store = store or ReleaseStore(spark, self.own_folder().path)
         self.rows_per_task = rows_per_task
+        self.ordered = True
         self._full = full
         self._tables: dict[str, DataFrame] = {}
         self._locks: defaultdict[str, Lock] = defaultdict(Lock)
@@ -175,6 +177,15 @@ class Release:
         self.store.add_release(self.name, self.context.to_json())
         return self
 
+    def unordered(self) -> Release:
+        """This release for reports that have no use for the order of a check's rows."""
+        other = copy(self)
+        other.ordered = False
+        return other
+
+    def in_order(self, rows: DataFrame, *order: Column | str) -> DataFrame:
+        return rows.orderBy(*order) if self.ordered else rows
+
     def work(self) -> WorkFolder:
         """A fresh folder for the steps of one derivation."""
         return WorkFolder(self.spark, shared_folder(self.spark))

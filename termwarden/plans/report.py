@@ -30,7 +30,8 @@ def envelope(
 
 
 def all_envelopes(release: Release, catalogue: Catalogue = CATALOGUE) -> DataFrame:
-    """Rows of all checks that need no parameter, in one frame."""
+    """Rows of all checks that need no parameter, in one frame without an order."""
+    release = release.unordered()
     return _union(
         envelope(check.build(release), check.id, release.name)
         for check in catalogue.listed()
@@ -39,6 +40,7 @@ def all_envelopes(release: Release, catalogue: Catalogue = CATALOGUE) -> DataFra
 
 def check_counts(release: Release, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """Rows each listed check returns, `(check_id, description, rows)`."""
+    release = release.unordered()
     return _union(
         check.build(release)
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -107,9 +109,12 @@ def drill_down(
     link = next((d for d in DRILL_DOWNS if d.parent == parent), None)
     if link is None:
         raise KeyError(f"nothing behind {parent}")
-    rows = catalogue.get(parent).build(release)
-    values = rows.select(F.col(link.column).alias("param")).distinct()
-    return catalogue.get(link.child).build(release, release.work().write("values", values))
+
+    def values() -> DataFrame:
+        rows = catalogue.get(parent).build(release.unordered())
+        return rows.select(F.col(link.column).alias("param")).distinct()
+
+    return catalogue.get(link.child).build(release, release.kept(f"behind-{parent}", values))
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:

@@ -28,6 +28,6 @@ def spark(tmp_path_factory) -> SparkSession:
 @pytest.fixture(scope="session")
 def release(spark):
     """The release derived from the smallest scale folder."""
-    from termwarden.registered import release_of
+    from harness.registered import release_of
 
     return release_of(spark, SMALL)
