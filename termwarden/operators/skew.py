@@ -1,9 +1,10 @@
 """Joins on keys of which one value may hold a large share of the rows.
 
 Which values do is measured once, when a release is built, and kept as a small table:
-there are at most rows / `rows_per_task` of them. A join then cuts the rows of such a
-value into slices of about that size and repeats the partner row per slice; all other
-values have one slice.
+there are at most rows / `rows_per_task` of them. A join takes the rows of all other
+values as usual, so that a small partner is broadcast; the rows of such values are cut
+into slices of about that size, and their partner rows repeated per slice. Without such
+values the second part is found empty before it is started.
 """
 
 from __future__ import annotations
@@ -35,25 +36,26 @@ def split_join(
     spread: str,
     how: str = "inner",
 ) -> DataFrame:
-    """Join on `keys`, with the rows of hot values on the left spread over slices.
+    """Join on `keys`, inner or semi, with the rows of hot values spread over slices.
 
     `hot` comes from `hot_keys` for one of the keys. `spread` is a left column that
     tells rows of one value apart; it decides the slice, so that a task that is run
     again makes the same choice.
     """
     hot_key = next(name for name in hot.columns if name != "slices")
-    slices = F.coalesce("slices", F.lit(1))
-    sliced_left = left.join(hot, hot_key, "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(spread), slices).cast("int")
+    usual = left.join(hot.select(hot_key), hot_key, "left_anti").join(right, list(keys), how)
+    sliced_left = left.join(hot, hot_key).withColumn(
+        "_slice", F.pmod(F.xxhash64(spread), "slices").cast("int")
     )
-    sliced_right = right.join(hot, hot_key, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
+    sliced_right = right.join(hot, hot_key).withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     )
-    return (
+    sliced = (
         sliced_left.drop("slices")
         .join(sliced_right.drop("slices"), [*keys, "_slice"], how)
         .drop("_slice")
     )
+    return usual.unionByName(sliced)
 
 
 def repeat_rows(df: DataFrame, times: str, place: str, chunk: int = 10_000) -> DataFrame:

@@ -29,12 +29,10 @@ def refsets_with_or_without_inactive(release: Release) -> DataFrame:
 def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     """Inactive concepts among the active members of named refsets, by refset.
 
-    `(refsetId, term, id)`, once per language-refset row that marks the term. Members
-    are cut to the named refsets first. Members and repetitions are part of the order,
+    `(refsetId, term, id)`, once per language-refset row that marks the term. Members are
+    cut to the named refsets first. Members and repetitions are part of the order,
     so that equal rows do not have to meet in one sort partition.
     """
-    terms = release.table("refset_terms")
-    large_refsets = release.table("hot_simple_refsets")
     members = (
         release.table("simplerefsets_snap")
         .where("active = 1")
@@ -42,18 +40,17 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
     )
     named = split_join(
         members,
-        terms.select("refsetId"),
+        release.table("refset_terms"),
         ["refsetId"],
-        large_refsets,
+        release.table("hot_simple_refsets"),
         spread="member",
-        how="left_semi",
     )
     inactive = (
         release.table("concepts_snap")
         .where("active = 0")
         .select(F.col("id").alias("referencedComponentId"))
     )
-    found = split_join(
+    labelled = split_join(
         named,
         inactive,
         ["referencedComponentId"],
@@ -61,7 +58,6 @@ def inactive_concepts_in_refsets(release: Release) -> DataFrame:
         spread="member",
         how="left_semi",
     )
-    labelled = split_join(found, terms, ["refsetId"], large_refsets, spread="member")
     repeated = repeat_rows(labelled, "marks", "place")
     order = ("refsetId", "term", "referencedComponentId", "member", "place")
     return release.in_order(repeated, *order).select(

@@ -246,3 +246,22 @@ def test_hot_rows_are_spread_over_slices(spark):
     assert joined.count() == 1000
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_slice" in plan
+
+
+def test_known_pairs_leave_the_frontier(spark):
+    """A ladder with many path lengths: rows entering a round stay below all pairs."""
+    edges = [(i, i - 1) for i in range(2, 31)] + [(i, i - 2) for i in range(3, 31)]
+    work = WorkFolder(spark)
+    found = closure.transitive_closure(
+        frame(spark, "concepts", [concept(i) for i in range(1, 31)]),
+        frame(spark, "relationships", [is_a(i, a, b) for i, (a, b) in enumerate(edges)]),
+        make_release(spark).context,
+        work,
+    )
+    assert sorted(rows(found)) == shortest_paths(range(1, 31), edges)
+    entered = [
+        spark.read.parquet(f"{work.path}/length_{n}").where("grows").count() for n in range(2, 15)
+    ]
+    # Without comparisons each round would hold hundreds of pairs met before.
+    assert sum(entered) < 3 * len(shortest_paths(range(1, 31), edges))
+    assert entered[-1] < max(entered)

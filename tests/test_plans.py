@@ -68,10 +68,10 @@ def test_only_totals_meet_in_one_partition(plan_of, check_id):
         ("changed-concepts", 0),
         ("inactivated-descriptions", 0),
         ("new-synonyms", 1),
-        ("promoted-concepts", 2),
+        ("promoted-concepts", 3),
         ("active-langrefset-inactive-descriptions", 2),
-        ("active-langrefset-en-descriptions", 2),
-        ("inactive-concepts-in-refsets", 2),
+        # Twice what the usual rows need: the second half is for hot values.
+        ("active-langrefset-en-descriptions", 4),
         ("non-translated", 4),
     ],
 )
@@ -80,8 +80,7 @@ def test_number_of_shuffles(plan_of, check_id, shuffles):
 
 
 def test_small_stored_tables_are_broadcast(plan_of):
-    assert plan_of("non-translated").count("BroadcastExchange") == 2
-    assert plan_of("inactive-concepts-in-refsets").count("BroadcastExchange") == 2
+    assert plan_of("non-translated").count("BroadcastExchange") == 1
 
 
 def test_scans_read_what_is_needed(plan_of):
@@ -97,3 +96,68 @@ def test_shuffle_sizes_follow_the_data():
     assert settings_for(1 << 40, cores=64)[partitions] == "2048"
     assert settings_for(100 << 40, cores=8000)[partitions] == "204800"
     assert settings_for(100 << 40, 8000, most_tasks=40_000)[partitions] == "40000"
+
+
+@pytest.fixture
+def checked_plan(spark, plan_of):
+    """Plans under Spark's own size check."""
+    spark.conf.unset(THRESHOLD)
+    yield plan_of
+    spark.conf.set(THRESHOLD, "15000")
+
+
+def test_histories_are_cut_before_they_are_shuffled(checked_plan):
+    """Candidates of the release are broadcast; nothing else of the history is exchanged."""
+    for check_id in ("promoted-concepts", "descriptions"):
+        lines = checked_plan(check_id).splitlines()
+        for above, below in zip(lines, lines[1:]):
+            if "Exchange hashpartitioning(id" in above:
+                assert "partial_" in below or "HashAggregate" in below or "keys=[id" in below, above
+
+
+@pytest.mark.parametrize("check_id", ["new-concepts", "non-translated", "new-concepts-by-term"])
+def test_hierarchies_are_counted_without_the_closure(plan_of, check_id):
+    assert "transitiveclosure" not in plan_of(check_id)
+
+
+def test_marks_are_counted_without_a_shuffle_of_the_refset(spark, checked_plan):
+    from termwarden.operators.names import preferred_terms
+
+    release = registered.release_of(spark, MEDIUM)
+    few = release.table("descriptions_snap").where("conceptId = 20001000052105")
+    few = release.work().write("few", few)
+    terms = preferred_terms(few, release.table("languagerefsets_snap"), release.context, True)
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for above, below in zip(lines, lines[1:]):
+        assert "Exchange hashpartitioning" not in above or "partial_count" in below
+
+
+def test_envelopes_keep_no_order(spark):
+    from termwarden.plans import report
+
+    release = registered.release_of(spark, MEDIUM)
+    plan = report.all_envelopes(release)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_a_hot_refset_is_split_without_broadcasts(spark, plan_of):
+    release = registered._sliced(registered.release_of(spark, MEDIUM))
+    assert not release.table("hot_language_refsets").isEmpty()
+    spark.conf.set(THRESHOLD, "-1")
+    try:
+        for check_id in ("active-langrefset-multiple-descriptions", "multi-desc-lang-refset"):
+            df = CATALOGUE.run(check_id, release, registered.PARAMETERS.get(check_id))
+            assert "_slice" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(THRESHOLD, "15000")
+
+
+def test_without_hot_values_only_the_usual_rows_are_joined(spark):
+    release = registered.release_of(spark, MEDIUM)
+    assert release.table("hot_simple_refsets").isEmpty()
+    df = CATALOGUE.run("inactive-concepts-in-refsets", release)
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    final = execution.executedPlan().toString().partition("Initial Plan")[0]
+    assert "_slice" not in final and "Union" not in final
