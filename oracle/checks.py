@@ -117,6 +117,7 @@ CHECKS = {
         SELECT 'new translations' AS label, ct FROM ({_TRANSLATIONS})
         UNION ALL SELECT 'new synonyms', ct FROM ({_synonyms("descriptions_snap")})
         UNION ALL SELECT 'inactivated descriptions', ct FROM ({_INACTIVATED_DESCRIPTIONS})""",
+    # Fixed value: the characters that terms may hold.
     "funky_chars": rf"""
         SELECT id, conceptId, term, languageCode FROM descriptions_snap
         WHERE active = 1 AND moduleId = {SE}
