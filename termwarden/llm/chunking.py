@@ -6,7 +6,7 @@ ends where the hash's top `MASK_BITS` bits are zero, once it has `LEAST` bytes,
 chunks after it are the same again. Chunks are compared by a 128-bit digest.
 
 The first occurrence of a chunk, by the number of the row and the place in it, stays;
-later ones are repeats. Runs of neighbouring chunks that occur more than once and together
+later ones are repeats. Runs of neighbouring chunks that several rows have and that together
 have `PASSAGE` bytes are reported as passages: a repeated passage of 50 words (some 250
 bytes) holds several whole chunks, a single repeated line does not. A passage is `kept` if
 all of its chunks are first occurrences.
@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from termwarden.llm.common import mixed, pieces, texts_of
 from termwarden.sources.scratch import WorkFolder
 
-#: Bytes of a chunk at least and at most, and zero bits at its end: 16 + 64 on average.
-LEAST, MOST, MASK_BITS = 16, 256, 6
+#: Bytes of a chunk at least and at most, and zero bits at its end: 8 + 32 on average.
+LEAST, MOST, MASK_BITS = 8, 160, 5
 #: Bytes of neighbouring repeated chunks that make a passage.
-PASSAGE = 100
+PASSAGE = 130
 
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+#: Any ASCII white space counts as a blank, so that re-wrapped passages stay the same.
+BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 #: Bytes hashed at a time.
 SPAN = 1 << 20
 
@@ -49,13 +51,13 @@ def cut_points(data: bytes) -> list[int]:
         for width in (1, 2, 4, 8, 16):
             rolled[width:] += rolled[:-width].copy() << np.uint32(width)
         ends = np.flatnonzero(rolled[lead:] >> np.uint32(32 - MASK_BITS) == 0)
-        candidates.append(ends + start + 1)
-    ends, last = [], 0
-    for end in np.concatenate([*candidates, [len(codes)]]).tolist() if len(codes) else []:
+        candidates += (ends + start + 1).tolist()
+    ends, last, whole = [], 0, len(codes)
+    for end in [*candidates, whole]:
         while end - last > MOST:
             last += MOST
             ends.append(last)
-        if end - last >= LEAST or (end == len(codes) and end > last):
+        if end - last >= LEAST or (end == whole and end > last):
             last = end
             ends.append(last)
     return ends
@@ -70,7 +72,7 @@ def chunks(docs: DataFrame, row: str = "_row") -> DataFrame:
             for piece in pieces(batch):
                 counts, ends, digests = [], [], []
                 for text in texts_of(piece).to_pylist():
-                    data, last = text.encode("utf-8", "surrogatepass"), 0
+                    data, last = text.encode("utf-8", "surrogatepass").translate(BLANKS), 0
                     points = cut_points(data)
                     counts.append(len(points))
                     ends += points
@@ -94,20 +96,24 @@ def chunks(docs: DataFrame, row: str = "_row") -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame, work: WorkFolder) -> DataFrame:
+def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = False) -> DataFrame:
     """`(_row, doc_id, start, end, chunks, repeats, first_row, kept)` per passage.
 
     `docs` has a long column `_row` that tells its rows apart. `repeats` counts the chunks
     that are no first occurrence, `first_row` is the smallest row that has one of the
-    passage's chunks.
+    passage's chunks. Chunks that repeat in one row alone only count if `within` is set.
     """
+    rows = F.min("_row") != F.max("_row")
     found = work.write("chunks", chunks(docs))
     shared = work.write(
         "shared",
         found.groupBy("high", "low")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "chunk")).alias("first"))
-        .where("n > 1")
-        .drop("n"),
+        .agg(
+            ((F.count(F.lit(1)) > 1) & (rows | F.lit(within))).alias("_shared"),
+            F.min(F.struct("_row", "chunk")).alias("first"),
+        )
+        .where("_shared")
+        .drop("_shared"),
     )
     again = found.join(shared, ["high", "low"]).select(
         "_row",
