@@ -59,8 +59,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """For every word the row it is in, and the lower-cased words, all in order."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    """For every word the row it is in, and the words, all in order."""
+    lists = pc.ascii_split_whitespace(texts)
     rows, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
     filled = pc.greater(pc.binary_length(words), 0)
     return (

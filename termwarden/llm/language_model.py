@@ -65,8 +65,10 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of all tokens, an end after the words of each row."""
     rows, words = split_words(texts)
     encoded = words.dictionary_encode()
-    distinct = encoded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    # Distinct words are lower-cased in Python: Arrow's ascii_lower spoils longer letters
+    # in some sliced arrays.
+    distinct = (w.encode("utf-8", "surrogatepass").lower() for w in encoded.dictionary.to_pylist())
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(encoded.dictionary))
     at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = len(texts)
     place = np.arange(len(rows)) + rows
