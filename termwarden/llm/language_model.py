@@ -107,34 +107,56 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[starts], *(np.add.reduceat(v[order], starts, axis=0) for v in values))
 
 
-def _packed(keys: np.ndarray, ranges: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and columns as one row of compressed arrays per range."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1)
+def _ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """The part of sorted keys in each range that has some."""
     bounds = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
     for r in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[r], bounds[r + 1]
-        blob = pack.compress(b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in (keys, *columns)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r], pa.int32()), pa.array([b - a], pa.int64()), pa.array([blob], pa.binary())],
-            names=["range", "n", "data"],
-        )
+        yield r, slice(bounds[r], bounds[r + 1])
+
+
+def _row(r: int, n: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """Compressed arrays of a range as one row."""
+    import zstandard
+
+    blob = zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    columns = [pa.array([r], pa.int32()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "n", "data"])
+
+
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """Small numbers byte by byte: the high bytes, mostly zero, come together."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _packed_pairs(
+    r: int, before: np.ndarray, token: np.ndarray, counts: np.ndarray
+) -> pa.RecordBatch:
+    """Bigrams in the order of their contexts, words as places in a list of those in use."""
+    words, at = np.unique(np.concatenate([before, token]), return_inverse=True)
+    n = len(before)
+    order = np.argsort(at[:n], kind="stable")
+    context, token, counts = at[:n][order], at[n:][order], counts[order]
+    steps = np.diff(context, prepend=0)
+    return _row(r, n, np.array([len(words)]), words, *map(_planes, (steps, token, counts)))
+
+
+def _unpacked_pairs(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    words = np.frombuffer(data, np.uint64, size, 8)
+    planes = np.frombuffer(data, np.uint8, 12 * n, 8 + 8 * size).reshape(3, 4, n)
+    steps, token, counts = (np.ascontiguousarray(p.T).view("<u4")[:, 0] for p in planes)
+    return words[np.cumsum(steps)], words[token], counts.astype(np.int64)
 
 
-def _unpacked(batch: pa.RecordBatch, *kinds: tuple[str, int]) -> Iterator[list[np.ndarray]]:
-    """The arrays of each row; a kind is a type and the number of its columns."""
+def _unpacked_words(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor()
-    for n, blob in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
-        data, at, arrays = unpack.decompress(blob), 0, []
-        for kind, width in kinds:
-            size = np.dtype(kind).itemsize * n * width
-            array = np.frombuffer(data, kind, n * width, at)
-            arrays.append(array.reshape(n, width) if width > 1 else array)
-            at += size
-        yield arrays
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    stats = np.frombuffer(data, np.int64, n * len(STATS), 8 * n)
+    return np.frombuffer(data, np.uint64, n), stats.reshape(n, len(STATS))
 
 
 def _saved(path: str, array: np.ndarray) -> None:
@@ -153,7 +175,7 @@ PACKED = "range int, n long, data binary"
 
 
 def _count(ranges: int):
-    """Task: texts to packed distinct bigrams (hash, both words, count)."""
+    """Task: texts to packed distinct bigrams with counts."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         before, token = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -162,8 +184,9 @@ def _count(ranges: int):
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
-        first = order[starts]
-        yield from _packed(keys[starts], ranges, before[first], token[first], counts)
+        first, keys = order[starts], keys[starts]
+        for r, part in _ranges(keys, ranges):
+            yield _packed_pairs(r, before[first[part]], token[first[part]], counts[part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -181,36 +204,41 @@ def _count(ranges: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, int]) -> dict[int, list]:
+def _grouped(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The unpacked arrays of each range of a task, concatenated."""
     found: dict[int, list] = {}
     for batch in batches:
-        for r, arrays in zip(batch.column("range").to_pylist(), _unpacked(batch, *kinds), strict=True):
-            found.setdefault(r, []).append(arrays)
-    return found
+        rows = (batch.column(c).to_pylist() for c in ("range", "n", "data"))
+        for r, n, blob in zip(*rows, strict=True):
+            found.setdefault(r, []).append(unpack(n, blob))
+    while found:
+        r, parts = found.popitem()
+        yield r, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _merge_pairs(folder: str, ranges: int):
     """Task: packed bigrams of a range to its files, and packed word statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (("u8", 1), ("u8", 1), ("u8", 1), ("u4", 1))
-        for r, parts in _grouped(batches, *kinds).items():
-            keys, before, token, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
+        for r, (before, token, counts) in _grouped(batches, _unpacked_pairs):
+            keys = pair_hash(before, token)
+            order = np.argsort(keys)
             keys = keys[order]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            counts = np.add.reduceat(counts[order].astype(np.int64), starts)
+            counts = np.add.reduceat(counts[order], starts)
             first = order[starts]
             keys, before, token = keys[starts], before[first], token[first]
             _saved(_file(folder, "pairs", r, "hash"), keys)
-            _saved(_file(folder, "pairs", r, "count"), np.minimum(counts, 2**32 - 1).astype("u4"))
+            wide = counts.max() >= 2**32
+            _saved(_file(folder, "pairs", r, "count"), counts.astype("u8" if wide else "u4"))
             none = np.zeros_like(counts)
             as_context = np.stack([counts, counts == 1, counts == 2, counts > 2, none, none], 1)
             as_token = np.stack([none, none, none, none, counts, none + 1], 1)
             words, stats = summed(
                 np.concatenate([before, token]), np.concatenate([as_context, as_token]).astype(np.int64)
             )
-            yield from _packed(words, ranges, stats)
+            for to, part in _ranges(words, ranges):
+                yield _row(to, part.stop - part.start, words[part], stats[part])
             of_counts = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64)
             _saved(_file(folder, "pairs", r, "counts"), of_counts)
 
@@ -227,8 +255,8 @@ def _merge_words(folder: str):
     """Task: packed word statistics of a range to its files, and a summary row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, parts in _grouped(batches, ("u8", 1), ("i8", len(STATS))).items():
-            words, stats = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for r, parts in _grouped(batches, _unpacked_words):
+            words, stats = summed(*parts)
             _saved(_file(folder, "words", r, "hash"), words)
             _saved(_file(folder, "words", r, "stats"), stats)
             count, before = stats[:, 4], stats[:, 5]
@@ -310,11 +338,13 @@ class Reader:
             keys = _file(self.model.folder, kind, r, "hash")
             found = None
             if os.path.exists(keys):
-                what, type_ = ("count", "u4") if kind == "pairs" else ("stats", "i8")
-                values = np.memmap(_file(self.model.folder, kind, r, what), type_, "r")
+                mapped = np.memmap(keys, "u8", "r")
+                values = _file(self.model.folder, kind, r, "count" if kind == "pairs" else "stats")
                 if kind == "words":
-                    values = values.reshape(-1, len(STATS))
-                found = np.memmap(keys, "u8", "r"), values
+                    found = mapped, np.memmap(values, "i8", "r").reshape(-1, len(STATS))
+                else:
+                    width = os.path.getsize(values) // len(mapped)
+                    found = mapped, np.memmap(values, f"u{width}", "r")
             self._open[kind, r] = found
         return self._open[kind, r]
 
