@@ -78,13 +78,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, work: WorkFolder, name: str = "numbered") -> DataFrame:
-    """The rows with a number of their own in `_row`, stored so that it stays the same."""
-    return work.write(name, docs.withColumn("_row", F.monotonically_increasing_id()))
+    """`(_doc, _row)`: rows as structs with a number of their own, stored so that it stays."""
+    rows = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    return work.write(name, rows)
 
 
 def without_rows(stored: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Numbered rows whose number is not in `dropped`, without the number."""
-    return stored.join(dropped.select("_row"), "_row", "left_anti").drop("_row")
+    """The rows behind the numbers that are not in `dropped`."""
+    return stored.join(dropped.select("_row"), "_row", "left_anti").select("_doc.*")
 
 
 def running_sums(

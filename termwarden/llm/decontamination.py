@@ -229,6 +229,7 @@ def decontaminated(
     work = work or work_folder(docs)
     flagged = leaks(_by_text(docs.select("text")), benchmark, work).select("row").distinct()
     flagged = work.write("flagged", flagged).withColumnRenamed("row", "_leaked")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashed = docs.select(F.struct("*").alias("_doc"), text_hash.alias("_text_hash"))
     kept = hashed.join(flagged, F.col("_text_hash") == F.col("_leaked"), "left_anti")
-    return kept.drop("_text_hash")
+    return kept.select("_doc.*")

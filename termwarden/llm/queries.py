@@ -92,7 +92,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("text_digest"),
     )
-    return sharding.sharded(rows, 40).select(
+    return sharding.sharded(rows, 40, digest="text_digest").select(
         "doc_id",
         "size",
         "text_crc32",

@@ -45,33 +45,34 @@ def feistel(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
 
 
 def sharded(
-    docs: DataFrame, shards: int, key: int = 2024, work: WorkFolder | None = None
+    docs: DataFrame,
+    shards: int,
+    key: int = 2024,
+    digest: str | None = None,
+    work: WorkFolder | None = None,
 ) -> DataFrame:
     """The rows with `shard` and `slot`; columns of these names are replaced.
 
-    `docs` has `doc_id` and either `text` or its digest in `text_digest`, which is
-    dropped.
+    `docs` has `doc_id` and either `text` or a column with its digest, which is dropped.
     """
     work = work or work_folder(docs)
-    docs = docs.drop("shard", "slot")
-    if "text_digest" not in docs.columns:
-        docs = docs.withColumn("text_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    ranked = running_sums(
-        docs.withColumn("_one", F.lit(1).cast("long")),
-        ["doc_id", "text_digest"],
-        ["_one"],
-        work,
-        "ranked",
+    kept = [c for c in docs.columns if c not in ("shard", "slot", digest)]
+    of_text = F.col(digest) if digest else F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.select(
+        F.struct(*kept).alias("_doc"),
+        F.col("doc_id").alias("_id"),
+        of_text.alias("_digest"),
+        F.lit(1).cast("long").alias("_one"),
     )
+    ranked = running_sums(rows, ["_id", "_digest"], ["_one"], work, "ranked")
     total = ranked.count()
 
     @F.pandas_udf("long")
     def place(numbers: pd.Series) -> pd.Series:
         return pd.Series(feistel(numbers.to_numpy(), total, key))
 
-    return (
-        ranked.withColumn("_place", place("_one_before"))
-        .withColumn("shard", (F.col("_place") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / shards).cast("long"))
-        .drop("_one", "_one_before", "_place", "text_digest")
+    return ranked.withColumn("_place", place("_one_before")).select(
+        "_doc.*",
+        (F.col("_place") % shards).cast("int").alias("shard"),
+        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
     )

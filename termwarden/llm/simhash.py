@@ -242,14 +242,14 @@ def near_duplicates(
     most_bits: int = 90,
     sets: Sequence[tuple[int, ...]] | None = None,
 ) -> DataFrame:
-    """The other columns of `docs` with `fingerprint` and `component_id`.
+    """The other columns of `docs` with `fingerprint` and `component_id` (replaced if there).
 
     `component_id` is the smallest id of all documents whose fingerprints are linked with
     the row's, directly or over others. `text` is not returned.
     """
     if sets is None:
         sets = triples() if width == 8 else neighbours(width)
-    marked = work.write("marked", fingerprints(docs, words, width))
+    marked = work.write("marked", fingerprints(docs.drop("component_id"), words, width))
     # One node per distinct fingerprint. Numbers follow the written files.
     distinct = work.write(
         "distinct", marked.groupBy("fingerprint").agg(F.min("doc_id").alias("_smallest"))
