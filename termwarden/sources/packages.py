@@ -10,7 +10,6 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,10 +165,10 @@ def _read(
         for field in schema
         if isinstance(field.dataType, StringType)
     }
-    # A pattern's files are in one folder. A name's place among the sorted ones stands for
-    # the file in the shuffle; listed paths are escaped as in URLs.
-    names = sorted(unquote(path).rpartition("/")[2] for path in rows.inputFiles())
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("_metadata.file_name"))
+    # A path's place among the sorted ones stands for it in the shuffle. Local paths are
+    # listed with three slashes, but rows have them with one.
+    paths = sorted(re.sub("^file:/+", "file:/", path) for path in rows.inputFiles())
+    place = F.array_position(F.array(*map(F.lit, paths)), F.col("_metadata.file_path"))
     position = {
         "_package": F.lit(package),
         "_file": F.lit(file),

@@ -12,10 +12,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract
+from harness import registered
+from oracle import oracle_queries
 from tests.conftest import SMALL
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = registered.queries()
+ORACLE = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,8 @@ def duck():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
