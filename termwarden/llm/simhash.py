@@ -242,14 +242,16 @@ def near_duplicates(
     most_bits: int = 90,
     sets: Sequence[tuple[int, ...]] | None = None,
 ) -> DataFrame:
-    """The other columns of `docs` with `fingerprint` and `component_id` (replaced if there).
+    """The other columns of `docs` with `fingerprint`, `component_id` and `component`
+    (replaced if there).
 
     `component_id` is the smallest id of all documents whose fingerprints are linked with
-    the row's, directly or over others. `text` is not returned.
+    the row's, directly or over others. Ids may be null or stand for several texts;
+    `component` is the number of the component itself. `text` is not returned.
     """
     if sets is None:
         sets = triples() if width == 8 else neighbours(width)
-    marked = work.write("marked", fingerprints(docs.drop("component_id"), words, width))
+    marked = work.write("marked", fingerprints(docs.drop("component_id", "component"), words, width))
     # One node per distinct fingerprint. Numbers follow the written files.
     distinct = work.write(
         "distinct", marked.groupBy("fingerprint").agg(F.min("doc_id").alias("_smallest"))
@@ -262,6 +264,9 @@ def near_duplicates(
         "smallest", rooted.groupBy("root").agg(F.min("_smallest").alias("component_id"))
     )
     named = work.write(
-        "named", rooted.join(smallest, "root").select("fingerprint", "component_id")
+        "named",
+        rooted.join(smallest, "root").select(
+            "fingerprint", "component_id", F.col("root").alias("component")
+        ),
     )
     return marked.join(named, "fingerprint")
