@@ -15,7 +15,8 @@ spanning forest of the links of a list, never its pairs. Links become components
 Wider fingerprints are for looser limits: at 0.8 similarity of shingle sets, 15 of 100
 bits differ, which leaves no guaranteed byte in 64 bits. 64 bytes listed under 32 pairs of
 neighbouring positions share a pair with probability 0.91 at similarity 0.8, 0.98 at 0.85
-and above 0.998 from 0.9 on.
+and above 0.998 from 0.9 on. Where sets of shingles have to be compared, or no pair at 0.8
+may be lost, use `shingles.near_duplicates`, as the pipeline does.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like
 any other. Null ids are below all others. Repeated rows have equal fingerprints.
