@@ -8,8 +8,10 @@ chunks after it are the same again. Chunks are compared by a 128-bit digest.
 The first occurrence of a chunk, by the number of the row and the place in it, stays;
 later ones are repeats. Runs of neighbouring chunks that several rows have and that together
 have `PASSAGE` bytes are reported as passages: a repeated passage of 50 words (some 250
-bytes) holds several whole chunks, a single repeated line does not. A passage is `kept` if
-all of its chunks are first occurrences.
+bytes) holds several whole chunks, a single repeated line does not. Where first occurrences
+and repeats meet in a run, it is cut in two: the part of first occurrences is `kept`, the
+part of repeats is not, and only that is cut out of a text. So what is in a passage stays
+somewhere, also if its first occurrence adjoins a repeat.
 
 Digests are counted and reduced to their first occurrence on the map side, and joined back
 to their occurrences, which the adaptive skew join splits where one digest has many.
@@ -96,12 +98,13 @@ def chunks(docs: DataFrame, row: str = "_row") -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = False) -> DataFrame:
-    """`(_row, doc_id, start, end, chunks, repeats, first_row, kept)` per passage.
+def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = True) -> DataFrame:
+    """`(_row, doc_id, start, end, chunks, repeats, first_row, kept)` per part of a passage.
 
     `docs` has a long column `_row` that tells its rows apart. `repeats` counts the chunks
-    that are no first occurrence, `first_row` is the smallest row that has one of the
-    passage's chunks. Chunks that repeat in one row alone only count if `within` is set.
+    that are no first occurrence, all or none of a part; `first_row` is the smallest row that
+    has one of the part's chunks. Chunks that repeat in one row alone count unless `within`
+    is false.
     """
     rows = F.min("_row") != F.max("_row")
     found = work.write("chunks", chunks(docs))
@@ -124,27 +127,33 @@ def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = False) -
         F.col("first._row").alias("first_row"),
         ((F.col("first._row") != F.col("_row")) | (F.col("first.chunk") != F.col("chunk"))).alias("repeat"),
     )
-    # One text's chunks meet here; a run is a stretch of consecutive numbers.
+    # One text's chunks meet here; a run is a stretch of consecutive numbers, a span one of
+    # first occurrences or repeats alone.
     in_text = Window.partitionBy("_row").orderBy("chunk")
-    runs = again.withColumn("_run", F.col("chunk") - F.row_number().over(in_text))
+    turns = F.col("repeat") != F.lag("repeat", 1, False).over(in_text)
+    runs = again.withColumns(
+        {"_run": F.col("chunk") - F.row_number().over(in_text), "_turns": turns.cast("int")}
+    ).withColumn("_span", F.sum("_turns").over(in_text))
+    spans = runs.groupBy("_row", "_run", "_span").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.count(F.lit(1)).alias("chunks"),
+        F.count_if("repeat").alias("repeats"),
+        F.min("first_row").alias("first_row"),
+    )
+    in_run = Window.partitionBy("_row", "_run")
+    length = F.max("end").over(in_run) - F.min("start").over(in_run)
     return (
-        runs.groupBy("_row", "_run")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.count(F.lit(1)).alias("chunks"),
-            F.count_if("repeat").alias("repeats"),
-            F.min("first_row").alias("first_row"),
-        )
-        .where(F.col("end") - F.col("start") >= PASSAGE)
+        spans.withColumn("_length", length)
+        .where(F.col("_length") >= PASSAGE)
         .withColumn("kept", F.col("repeats") == 0)
-        .drop("_run")
+        .drop("_run", "_span", "_length")
     )
 
 
 def without_repeats(docs: DataFrame, work: WorkFolder) -> DataFrame:
-    """The numbered rows with repeated passages cut out of their texts, the first ones left.
+    """The numbered rows with repeats in passages cut out of their texts, first occurrences left.
 
     Cuts are at chunk ends, and leave whole characters: a character that a cut would split
     is kept.

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from termwarden.llm import chunking, exact_dedup, simhash
+from termwarden.llm import chunking, exact_dedup, queries, simhash
 from termwarden.llm.common import work_folder
 from termwarden.llm.components import components
 from termwarden.sources.scratch import WorkFolder
@@ -217,6 +217,32 @@ def test_repeated_passages(docs_of):
     assert len(cut[101]) < len(dict(rows)[101])
 
 
+def test_first_occurrences_beside_repeats_stay(docs_of):
+    """The second text adjoins a repeat of the first with what the third repeats."""
+    random.seed(4)
+    some = lambda n: " ".join(f"v{random.randrange(10**6)}x" for _ in range(n))
+    long = some(240).split()
+    first, whole, last = " ".join(long[:140]), " ".join(long), " ".join(long[100:])
+    rows = [(1, some(60) + " " + first), (2, some(60) + " " + whole), (3, some(60) + " " + last)]
+    docs = docs_of(rows).coalesce(1).withColumn("_row", F.col("doc_id"))
+    found = chunking.repeated_passages(docs, work_folder(docs)).collect()
+    assert sorted((r.doc_id, r.kept) for r in found) == [(1, True), (2, False), (2, True), (3, False)]
+    kept = "\n".join(r.text for r in chunking.without_repeats(docs, work_folder(docs)).collect())
+    held = [w for w in long if w in kept]
+    assert len(held) >= len(long) - 2 and len(kept) < sum(len(t) for _, t in rows) - 800
+
+
+def test_repeats_within_a_document_are_reported(spark, tmp_path, docs_of):
+    random.seed(5)
+    some = lambda n: " ".join(f"v{random.randrange(10**6)}x" for _ in range(n))
+    passage = some(80)
+    docs_of([(1, " ".join([some(50), passage, some(50), passage, some(9)])), (2, some(200))]).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = queries.op5_chunking(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.kept) for r in found) == [(1, False), (1, True)]
+
+
 def test_chunks_of_awkward_rows(awkward):
     docs = awkward.withColumn("_row", F.monotonically_increasing_id())
     chunks = chunking.chunks(docs).groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()
