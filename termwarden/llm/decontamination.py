@@ -7,10 +7,15 @@ names in it still matches. For every document, item and alignment (the differenc
 two positions) the slots are then compared: a benchmark value must always stand for the
 same document value and the other way round, else the match is chance and is dropped.
 
-A document contains an item if half of the item's windows match, or 13 of them (20 words).
-Shorter items are one window; below four words, or where less than five eighths of a
-window are literal words, nothing is looked for. Items with the same text are one, by the
-smallest id.
+Where less than five eighths of a window are literal words, its template says too little:
+such windows match only with the very same words. So do, beside the template, all others,
+whatever their case: a lower-cased copy has no names to replace. Same words never contradict
+each other, so exact matches stay where slots are torn.
+
+A document contains an item if half of the item's windows match, or 13 of them (20 words),
+or half of those that have a template. Shorter items are one window; those below four words
+match only with the very same words. An item of one word is in every document that has the
+word. Items with the same text are one, by the smallest id.
 
 Before the join, tasks drop document windows whose hash is not in a bitmap of the
 benchmark's hashes. The bitmap has a fixed size (`BITS`), whatever the benchmark's; if
@@ -75,22 +80,27 @@ class Tokens:
         inside[1:] = (rows[1:] == rows[:-1]) & ~ends[index[:-1]]
         self.row, self.index = rows, index
         self.kind = np.where(inside & capital[index], NAME, kind[index])
-        self.hash = np.where(self.kind == LITERAL, hashes[index], MARKS[self.kind])
+        self.exact = hashes[index]
+        self.hash = np.where(self.kind == LITERAL, self.exact, MARKS[self.kind])
         first = np.searchsorted(rows, rows)
         self.place = np.arange(len(rows)) - first
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows with enough literal words, and their hashes."""
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows, their hashes as words and as templates, and whether
+        they have enough literal words for a template."""
         n = len(self.row) - length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        hashes = np.zeros(n, np.uint64)
-        for k in range(length):
-            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : k + n]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         enough = (literal[length:] - literal[:-length]) * 8 >= 5 * length
-        start = np.flatnonzero(enough & (self.row[:n] == self.row[length - 1 :]))
-        return start, mixed(hashes[start] + np.uint64(length))
+        start = np.flatnonzero(self.row[:n] == self.row[length - 1 :])
+        hashes = []
+        for parts in (self.exact, self.hash):
+            rolled = np.zeros(n, np.uint64)
+            for k in range(length):
+                rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + parts[k : k + n]
+            hashes.append(mixed(rolled[start] + np.uint64(length)))
+        return start, *hashes, enough[start] & (length >= SHORTEST)
 
     def slots(self, start: int, length: int) -> list[str]:
         """`<type>:<value>` of the placeholders of a window."""
@@ -102,12 +112,20 @@ def _mask(array: pa.Array) -> np.ndarray:
     return array.to_numpy(zero_copy_only=False).astype(bool)
 
 
-_WINDOWS = "row long, place long, hash long, slots array<string>, length int, windows long"
+_WINDOWS = (
+    "row long, place long, hash long, slots array<string>, length int, windows long, "
+    "open boolean, opens long"
+)
 
 
 def _windows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
     """Windows of `(row, text)`. Items (no lengths given) have windows of `WINDOW` tokens,
-    or one of all their tokens if they are shorter."""
+    or one of all their tokens if they are shorter.
+
+    A window is there as its words, without slots, and once more as a template if it has
+    slots and is `open`, that is, has enough literal words. `opens` counts the text's windows
+    with enough of them.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,17 +133,21 @@ def _windows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | No
                 tokens = Tokens(texts_of(piece))
                 sizes = np.bincount(tokens.row, minlength=piece.num_rows)
                 rows = piece.column("row").to_numpy()
-                for length in lengths or range(SHORTEST, WINDOW + 1):
-                    start, hashes = tokens.windows(length)
+                placeholders = np.concatenate([[0], np.cumsum(tokens.kind != LITERAL)])
+                for length in lengths or range(1, WINDOW + 1):
+                    start, exact, template, open_ = tokens.windows(length)
                     if lengths is None and length < WINDOW:
                         whole = sizes[tokens.row[start]] == length
-                        start, hashes = start[whole], hashes[whole]
+                        start, exact, template, open_ = (x[whole] for x in (start, exact, template, open_))
+                    opens = np.bincount(tokens.row[start[open_]], minlength=piece.num_rows)
+                    slotted = open_ & (placeholders[start + length] > placeholders[start])
+                    some = np.repeat([False, True], [len(start), slotted.sum()])
+                    hashes = np.concatenate([exact, template[slotted]])
+                    start, open_ = (np.concatenate([x, x[slotted]]) for x in (start, open_))
                     if bitmap is not None:
                         high = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
                         seen = (bitmap[high >> 3] >> (high & 7).astype(np.uint8)) & 1 == 1
-                        start, hashes = start[seen], hashes[seen]
-                    placeholders = np.concatenate([[0], np.cumsum(tokens.kind != LITERAL)])
-                    some = placeholders[np.minimum(start + length, len(tokens.row))] > placeholders[start]
+                        start, hashes, open_, some = start[seen], hashes[seen], open_[seen], some[seen]
                     columns = [
                         pa.array(rows[tokens.row[start]]),
                         pa.array(tokens.place[start]),
@@ -136,8 +158,10 @@ def _windows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | No
                         ),
                         pa.array(np.full(len(start), length, np.int32)),
                         pa.array(np.maximum(1, sizes[tokens.row[start]] - length + 1)),
+                        pa.array(open_),
+                        pa.array(opens[tokens.row[start]].astype(np.int64)),
                     ]
-                    names = ["row", "place", "hash", "slots", "length", "windows"]
+                    names = ["row", "place", "hash", "slots", "length", "windows", "open", "opens"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(cut, _WINDOWS)
@@ -168,7 +192,7 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
         "row", "hash", F.col("place").alias("_at"), F.col("slots").alias("_slots")
     ).join(
         wanted.select(
-            F.col("row").alias("item_id"), "hash", "place", "slots", "windows"
+            F.col("row").alias("item_id"), "hash", "place", "slots", "windows", "open", "opens"
         ),
         "hash",
     )
@@ -189,16 +213,30 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
         .distinct()
     )
     torn = work.write("torn", torn)
-    whole = (
-        matched.join(torn, line, "left_anti")
-        .groupBy("row", "item_id")
+    # Exact matches have no slots that could contradict each other.
+    places = (
+        matched.where(F.size("slots") == 0)
+        .unionByName(matched.where(F.size("slots") > 0).join(torn, line, "left_anti"))
+        .groupBy("row", "item_id", "place")
         .agg(
-            F.count_distinct("place").alias("matched"),
             F.first("windows").alias("windows"),
+            F.first("opens").alias("opens"),
+            F.first("open").alias("open"),
             F.max(F.col("slots") != F.col("_slots")).alias("reparameterised"),
         )
     )
-    enough = (F.col("matched") >= F.ceil(F.col("windows") * SHARE)) | (F.col("matched") >= ENOUGH)
+    whole = places.groupBy("row", "item_id").agg(
+        F.count(F.lit(1)).alias("matched"),
+        F.count_if("open").alias("_open"),
+        F.first("windows").alias("windows"),
+        F.first("opens").alias("opens"),
+        F.max("reparameterised").alias("reparameterised"),
+    )
+    enough = (
+        (F.col("matched") >= F.ceil(F.col("windows") * SHARE))
+        | (F.col("matched") >= ENOUGH)
+        | ((F.col("_open") > 0) & (F.col("_open") >= F.ceil(F.col("opens") * SHARE)))
+    )
     return whole.where(enough).select(
         "row",
         "item_id",

@@ -49,6 +49,22 @@ def test_reparameterised_questions_are_found(docs_of, benchmark):
     assert {d for d, _ in found} == {1, 2, 3, 6, None}
 
 
+def test_items_dense_in_slots_lower_cased_or_short_are_found(spark, docs_of):
+    dense, other = "A 12 kg box and a 7 kg box cost 30 dollars", "a 19 kg box and a 5 kg box cost 44 dollars"
+    named = "When Anna met Boris near Cannes they told Dora about Emil and then Frieda wrote"
+    digits = "3 5 8 13 21 34 55 89 144 233"
+    rows = [(1, dense), (2, named), (3, "Define osmosis."), (4, digits)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    filler = " Some text about nothing in particular that goes on for a while. "
+    docs = [
+        (11, filler + dense + filler), (12, filler + other + filler), (13, filler + named.lower() + filler),
+        (14, filler + "define OSMOSIS" + filler), (15, filler + digits), (16, filler + "4 6 9 14 22 35 56 90 145 234"),
+        (17, "osmosis is what they define"), (18, filler),
+    ]
+    found = {(r.doc_id, r.item_id): r.reparameterised for r in decontamination.leaked_items(docs_of(docs), items).collect()}
+    assert found == {(11, 1): False, (12, 1): True, (13, 2): False, (14, 3): False, (15, 4): False}
+
+
 def test_documents_without_items_stay_whole(docs_of, benchmark):
     docs = docs_of([(1, QUESTION), (2, "clean"), (2, "clean"), (3, None), (4, OTHER)]).withColumn("row", F.lit("mine"))
     kept = decontamination.decontaminated(docs, benchmark)
