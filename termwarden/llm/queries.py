@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from termwarden.llm import (
     chunking,
+    conversations,
     decontamination,
     exact_dedup,
     language_model,
     mixing,
+    pii,
     secrets,
     sharding,
     simhash,
     toxicity,
     urls,
+    vectors,
 )
 from termwarden.llm.common import fold_of, work_folder
 
@@ -119,6 +122,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs, index)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage has been put in."""
+    given = table(spark, sf_dir, "conversations")
+    return conversations.summarised(given, conversations.damaged(given), work_folder(given))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector, by codebooks of 256 entries for each of four parts."""
+    given = table(spark, sf_dir, "embeddings")
+    return vectors.code_digests(given, work_folder(given))
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
@@ -133,5 +153,8 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_personal_data": op11_personal_data,
+        "op12_conversations": op12_conversations,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
