@@ -78,13 +78,26 @@ spans AS (
     FROM placed WHERE length(part) >= least
 ),
 base AS (SELECT r, kind, name, start, stop FROM spans WHERE kind < 3),
+cut AS (
+    SELECT r, match, start,
+        regexp_split_to_array(lower(match), 'example|sample|placeholder|changeme|dummy|lorem|xxxx|0000000|1234567|abcdefg|deadbeef|sha(1|256|384|512)-|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS gaps,
+        regexp_extract_all(lower(match), 'example|sample|placeholder|changeme|dummy|lorem|xxxx|0000000|1234567|abcdefg|deadbeef|sha(1|256|384|512)-|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS parts
+    FROM spans
+    WHERE kind = 3 AND regexp_matches(match, '[0-9]')
+),
+pieces AS (
+    SELECT r, start + skipped AS start, substr(match, skipped + 1, length(gaps[i])) AS match
+    FROM (
+        SELECT *, CAST(coalesce(list_sum(list_transform(gaps[1:i - 1], lambda g: length(g))), 0)
+            + coalesce(list_sum(list_transform(parts[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS skipped
+        FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM cut)
+    )
+),
 runs AS (
     SELECT r, match, start,
         CASE WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') THEN 3
             WHEN regexp_full_match(match, '[A-Za-z0-9]+') THEN 4 ELSE 5 END AS kind
-    FROM spans
-    WHERE kind = 3 AND regexp_matches(match, '[0-9]') AND NOT regexp_matches(lower(match),
-        'example|sample|placeholder|changeme|dummy|lorem|xxxx|0000000|1234567|abcdefg|deadbeef|sha(1|256|384|512)-|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
+    FROM pieces WHERE length(match) >= 20
 ),
 windows AS (
     SELECT r, kind, start AS run, start + i AS start,

@@ -2,12 +2,12 @@
 
 Three patterns give base spans: assignments of values to names like `password`, access
 keys, and long hex strings. Besides, every maximal run of at least 20 letters, digits and
-`+/_=-` with a digit in it is a candidate. A window of 20 characters slides over it; the
-counts of the window's characters, and with them its Shannon entropy, are updated for the
-one character that enters and the one that leaves. Windows above the threshold of the
-candidate's class (hex, letters and digits, or with signs) are joined to spans. Candidates
-with an allow-listed part (placeholders, UUIDs, checksums that say so) give none, nor do
-spans inside a base span.
+`+/_=-` with a digit in it is a candidate. Allow-listed parts (placeholders, UUIDs, checksums
+that say so) suppress the windows that overlap them: they cut a candidate into pieces. A window
+of 20 characters slides over each piece; the counts of the window's characters, and with them
+its Shannon entropy, change by the one that enters and the one that leaves. Windows above the
+threshold of the piece's class (hex, letters and digits, or with signs) are joined to spans;
+those inside a base span are not added. Cost is linear in the text, also for one long run.
 
 Spans are `kind:start:end` in code points, the end exclusive, by start and then in the
 order of `KINDS`. All of it is one projection: no Python, no shuffle, no state between
@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termwarden.llm.spans import bound, located, scan, written
+
 #: The base patterns.
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
@@ -45,44 +47,22 @@ ALLOWED = (
     r"|sha(1|256|384|512)-|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 )
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
-
-
-def _located(text: Column, pattern: str, value_group: int) -> Column:
-    """`(start, end, value)` of the matches: lengths of gaps and matches add up."""
-    pieces = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"),
-    )
-    # The last gap has no match; its lengths are null and it is left out.
-    matches = F.filter(pieces, lambda p: p["match"].isNotNull())
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+#: A candidate that is a base span of the kind hex itself; its windows add nothing.
+PLAIN_HEX = "^[0-9a-f]{24,}$"
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["match"])
-        found = F.struct(start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
 
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(matches, state, step, lambda s: s["found"])
+def _span(start: Column, kind: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"))
 
 
 def _of_kind(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
-    found = F.filter(
-        _located(text, pattern, value_group), lambda m: F.length(m["value"]) >= least
-    )
-    number = F.lit(KINDS.index(kind))
-    spans = F.transform(
-        found, lambda m: F.struct(m["start"].alias("start"), number.alias("kind"), m["end"].alias("end"))
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    found = F.filter(located(text, pattern, value_group), lambda m: F.length(m["value"]) >= least)
+    return F.transform(found, lambda m: _span(m["start"], F.lit(KINDS.index(kind)), m["end"]))
 
 
-def _weight(count: Column) -> Column:
-    """c log2 c, zero for none."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(0.0)
+def _gain(count: int) -> float:
+    """What one more of a character that occurs so often adds to the sum of c log2 c."""
+    return (count + 1) * math.log2(count + 1) - (count * math.log2(count) if count else 0.0)
 
 
 def _class(value: Column) -> Column:
@@ -94,67 +74,102 @@ def _class(value: Column) -> Column:
     )
 
 
-def _dense_windows(match: Column) -> Column:
-    """Spans of a candidate's windows above the threshold of its class."""
-    codes = F.transform(F.split(match["value"], "", match["end"] - match["start"]), F.ascii)
-    bound = F.struct(codes.alias("codes"), match["start"].alias("start"), _class(match["value"]).alias("kind"))
-    return F.flatten(F.transform(F.array(bound), _slide))
+def _threshold(kind: Column) -> Column:
+    least = F.lit(0.0)
+    for name, bits in THRESHOLDS.items():
+        least = F.when(kind == KINDS.index(name), F.lit(bits)).otherwise(least)
+    return least
+
+
+def _pieces(match: Column) -> Column:
+    """`(start, value)` of what allow-listed parts leave of a candidate, if a window fits in."""
+    allowed = located(F.lower(match["value"]), ALLOWED, 0)
+
+    def cut(parts: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(parts, lambda p: p["end"]))
+        ends = F.concat(F.transform(parts, lambda p: p["start"]), F.array(F.length(match["value"])))
+        return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+    left = F.filter(bound(allowed, cut), lambda p: p["end"] - p["start"] >= WINDOW)
+    return F.transform(
+        left,
+        lambda p: F.struct(
+            (match["start"] + p["start"]).alias("start"),
+            F.substring(match["value"], p["start"] + 1, p["end"] - p["start"]).alias("value"),
+        ),
+    )
+
+
+def _dense_windows(piece: Column) -> Column:
+    """Spans of a piece's windows above the threshold of its class.
 
+    The counts of a window differ from those of the one before by the character that enters
+    and the one that leaves, and so does the sum of c log2 c. What a place changes is found in
+    the window before it; running sums of the changes give every window's entropy.
+    """
+    size = F.length(piece["value"])
+    codes = F.transform(F.split(piece["value"], "", size), F.ascii)
 
-def _slide(run: Column) -> Column:
-    threshold = F.lit(0.0)
-    for kind, least in THRESHOLDS.items():
-        threshold = F.when(run["kind"] == KINDS.index(kind), F.lit(least)).otherwise(threshold)
+    gains = F.array(*(F.lit(_gain(count)) for count in range(WINDOW)))
 
-    def step(state: Column, place: Column) -> Column:
-        enters = F.element_at(run["codes"], place)
-        leaves = F.when(place > WINDOW, F.element_at(run["codes"], F.greatest(place - WINDOW, F.lit(1)))).otherwise(-1)
-        counts = F.transform(
-            state["counts"],
-            lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when(i == leaves, 1).otherwise(0),
+    def changes(array: Column) -> Column:
+        def change(code: Column, at: Column) -> Column:
+            # The characters that stay from the window before; the one that leaves was its first.
+            stay = F.slice(array, F.greatest(at - WINDOW + 2, F.lit(1)), F.least(at, F.lit(WINDOW - 1)))
+            leaves = F.get(array, at - WINDOW)
+            # A character's share, by how often it is among those that stay.
+            worth = lambda c: F.get(gains, F.size(stay) - F.size(F.array_remove(stay, c)))
+            return worth(code) - F.when(at >= WINDOW, worth(leaves)).otherwise(0.0)
+
+        return F.transform(array, change)
+
+    entropies = scan(
+        bound(codes, changes), lambda x: x, lambda a, b: a + b, F.lit(0.0), lambda before, x: before + x
+    )
+
+    def ends(kind: Column, threshold: Column) -> Column:
+        """Ends of dense windows, of which those that overlap or touch are one span."""
+        dense = lambda weight, at: F.when(
+            (at >= WINDOW - 1) & (math.log2(WINDOW) - weight / WINDOW >= threshold), at + 1
         )
-        more = F.element_at(state["counts"], enters + 1)
-        less = F.element_at(state["counts"], F.greatest(leaves + 1, F.lit(1)))
-        change = (
-            F.when(enters == leaves, 0.0)
-            .when(leaves < 0, _weight(more + 1) - _weight(more))
-            .otherwise(_weight(more + 1) - _weight(more) + _weight(less - 1) - _weight(less))
+        places = F.filter(F.transform(entropies, dense), lambda end: end.isNotNull())
+        return bound(places, lambda found: joined(found, kind))
+
+    def joined(places: Column, kind: Column) -> Column:
+        begins = F.filter(places, lambda e, i: (i == 0) | (e - F.get(places, i - 1) > WINDOW))
+        stops = F.filter(
+            places, lambda e, i: (i == F.size(places) - 1) | (F.get(places, i + 1) - e > WINDOW)
         )
-        weight = state["weight"] + change
-        dense = (place >= WINDOW) & (math.log2(WINDOW) - weight / WINDOW >= threshold)
-        start, end = run["start"] + place - WINDOW, run["start"] + place
-        last = F.when(F.size(state["found"]) > 0, F.element_at(state["found"], -1))
-        joined = F.when(last["end"] >= start, last["start"]).otherwise(start)
-        earlier = F.when(last["end"] >= start, F.slice(state["found"], 1, F.size(state["found"]) - 1)).otherwise(
-            state["found"]
+        return F.transform(
+            F.arrays_zip(begins.alias("begin"), stops.alias("stop")),
+            lambda s: _span(piece["start"] + s["begin"] - WINDOW, kind, piece["start"] + s["stop"]),
         )
-        span = F.struct(joined.alias("start"), run["kind"].alias("kind"), end.alias("end"))
-        found = F.when(dense, F.array_append(earlier, span)).otherwise(state["found"])
-        return F.struct(counts.alias("counts"), weight.alias("weight"), found.alias("found"))
-
-    state = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("weight"),
-        F.expr(f"cast(array() as {_SPANS})").alias("found"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.size(run["codes"])), state, step, lambda s: s["found"])
 
+    return bound(_class(piece["value"]), lambda kind: bound(_threshold(kind), lambda t: ends(kind, t)))
 
-def _by_entropy(text: Column) -> Column:
-    candidates = F.filter(
-        _located(text, CANDIDATE, 0), lambda m: ~F.lower(m["value"]).rlike(ALLOWED)
-    )
-    spans = F.flatten(F.transform(candidates, _dense_windows))
-    return F.when(text.rlike(CANDIDATE), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
+def _candidates(text: Column) -> Column:
+    worth = F.filter(located(text, CANDIDATE, 0), lambda m: ~m["value"].rlike(PLAIN_HEX))
+    return F.transform(worth, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value")))
 
-def _written(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
-    parts = F.transform(
-        spans,
-        lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]),
+
+def _added(base: Column, dense: Column) -> Column:
+    """The dense spans that lie in no base span; both are sorted by start.
+
+    A base span that begins at or before a dense one holds it if it ends as late; of those
+    the one that ends last decides.
+    """
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda s: F.struct(s["start"], F.lit(0).alias("dense"), s["kind"], s["end"])),
+            F.transform(dense, lambda s: F.struct(s["start"], F.lit(1).alias("dense"), s["kind"], s["end"])),
+        )
     )
-    return F.array_join(parts, ",")
+    of_base = lambda s: F.when(s["dense"] == 0, s["end"]).otherwise(0)
+    judged = lambda furthest, s: F.struct(s.alias("span"), (s["end"] > furthest).alias("free"))
+    marked = scan(both, of_base, lambda a, b: F.greatest(a, b), F.lit(0), judged)
+    free = F.filter(marked, lambda m: m["free"] & (m["span"]["dense"] == 1))
+    return F.transform(free, lambda m: _span(m["span"]["start"], m["span"]["kind"], m["span"]["end"]))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -172,12 +187,15 @@ def scanned(docs: DataFrame) -> DataFrame:
         )
     )
     kept = [c for c in docs.columns if c not in ("base", "found", "text")]
-    marked = docs.select(*kept, base.alias("base"), _by_entropy(text).alias("_dense"))
-    added = F.filter(
-        "_dense",
-        lambda d: ~F.exists("base", lambda b: (b["start"] <= d["start"]) & (d["end"] <= b["end"])),
-    )
-    return marked.select(*kept, "base", F.array_sort(F.concat("base", added)).alias("found"))
+    carried = F.struct(*kept).alias("_doc") if kept else F.struct(F.lit(0).alias("_none")).alias("_doc")
+    # Step by step: one expression of all this is too deep for the analyser.
+    marked = docs.select(carried, base.alias("base"), _candidates(text).alias("runs"))
+    cut = marked.select("_doc", "base", F.flatten(F.transform("runs", _pieces)).alias("pieces"))
+    dense = F.flatten(F.transform("pieces", _dense_windows))
+    scanned = cut.select("_doc", "base", dense.alias("dense"))
+    added = _added(F.col("base"), F.col("dense"))
+    found = scanned.select("_doc", "base", F.array_sort(F.concat("base", added)).alias("found"))
+    return found.select("_doc.*", "base", "found").select(*kept, "base", "found")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
@@ -186,6 +204,6 @@ def span_digests(docs: DataFrame) -> DataFrame:
     return scanned(docs.select("doc_id", "text")).select(
         "doc_id",
         *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
-        F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
-        _written(F.col("found")).alias("spans"),
+        F.sha2(written(F.col("base"), KINDS), 256).alias("base_sha256"),
+        written(F.col("found"), KINDS).alias("spans"),
     )
