@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements whose measures are combined before they become one of their block.
-BLOCK = 128
+#: Elements whose measures are combined before they become one of their block, and how often
+#: blocks are combined likewise.
+BLOCK, LEVELS = 32, 2
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -31,30 +32,38 @@ def scan(
     """`output(state, element)` for every element of an array, in order.
 
     The state is the measures of all elements before, combined; `combine` is associative
-    and `zero` changes nothing. Elements start from their block's state, and blocks from
-    the states of the blocks before.
+    and `zero` changes nothing. Elements start from their block's state, blocks from that of
+    theirs, and so on for `LEVELS` levels.
     """
 
-    def over(array: Column, measures: Column) -> Column:
-        folded = lambda part, start: F.aggregate(part, start, lambda a, b: combine(a, b))
-        last = F.floor((F.size(measures) - 1) / BLOCK).cast("int")
+    def folded(part: Column, start: Column) -> Column:
+        return F.aggregate(part, start, lambda a, b: combine(a, b))
+
+    def before(measures: Column, levels: int) -> Column:
+        """For every element the measures before it."""
+        if not levels:
+            return F.transform(measures, lambda _, i: folded(F.slice(measures, F.lit(1), i), zero))
+        last = F.greatest(F.floor((F.size(measures) - 1) / BLOCK).cast("int"), F.lit(0))
         totals = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda b: folded(F.slice(measures, b * BLOCK + 1, BLOCK), zero),
+            F.sequence(F.lit(0), last), lambda b: folded(F.slice(measures, b * BLOCK + 1, BLOCK), zero)
         )
-        offsets = lambda sums: F.transform(sums, lambda _, b: folded(F.slice(sums, F.lit(1), b), zero))
 
-        def element(starts: Column) -> Callable[[Column, Column], Column]:
-            def one(x: Column, i: Column) -> Column:
+        def in_block(starts: Column) -> Callable[[Column, Column], Column]:
+            def one(_: Column, i: Column) -> Column:
                 block = F.floor(i / BLOCK).cast("int")
                 earlier = F.slice(measures, block * BLOCK + 1, i - block * BLOCK)
-                return output(folded(earlier, F.get(starts, block)), x)
+                return folded(earlier, F.get(starts, block))
 
             return one
 
-        return bound(bound(totals, offsets), lambda starts: F.transform(array, element(starts)))
+        of_blocks = bound(totals, lambda sums: before(sums, levels - 1))
+        return bound(of_blocks, lambda starts: F.transform(measures, in_block(starts)))
+
+    def over(array: Column) -> Column:
+        states = bound(F.transform(array, measure), lambda measures: before(measures, LEVELS))
+        return F.zip_with(array, states, lambda x, state: output(state, x))
 
-    return bound(values, lambda array: bound(F.transform(array, measure), lambda m: over(array, m)))
+    return bound(values, over)
 
 
 def located(text: Column, pattern: str, group: int, before: int = 0, after: int = 0) -> Column:
