@@ -3,39 +3,46 @@
 Folding undoes disguises word by word: case, look-alike letters of other scripts and full
 width, digits and signs in place of letters (`1d10t`, `tr@sh`), zero-width characters and
 punctuation around the word. The lexicon is learned from labelled training documents:
-words and beginnings of words (`term*`) whose share among toxic documents is far above that among others, taken greedily so
-that each explains toxic documents that no earlier term does (words that merely come with
-a repeated toxic document add nothing). An automaton finds the terms on word boundaries;
-matches inside an exception phrase do not count. The matched weight and its density,
-normalised by the document's length, go through a logistic function fitted on the same
-sample.
+words and beginnings of words (`term*`) whose share among toxic documents is far above that
+among others, taken greedily so that each explains toxic documents that no earlier term does
+(words that merely come with a repeated toxic document add nothing), until none explains
+`LEAST_DOCS` more. Phrases of a term and a word beside it become exceptions if so many
+clean documents have them and their share among toxic ones is no higher. An automaton finds
+the terms on word boundaries; matches inside an exception phrase do not count. The matched
+weight and its density, normalised by the document's length, go through a logistic
+function fitted on the same sample.
 
 Learning uses at most `LABELLED` labelled rows (the first in the order of a hash of the
-id), so the broadcast of their labels is bounded; scores cover every row. Null texts count
-as empty; texts without matches get the score of zero weight. Without any toxic label the
-lexicon is empty and every score low. Labels that are null are no labels; of several
-labels of a document the largest counts. Repeated documents are scored alike.
+id), so what reaches the driver is bounded by them: their labels, the terms that stand out
+among them and a short row for each. Nothing else is cut off, whatever the number of terms.
+Scores cover every row. Null texts count as empty; texts without matches get the score of
+zero weight. Without any toxic label the lexicon is empty and every score low. Labels that
+are null are no labels; of several labels of a document the largest counts. Repeated
+documents are scored alike.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import fold_of, pieces, texts_of
+from termwarden.llm.common import fold_of, pieces, texts_of, work_folder
+from termwarden.sources.scratch import WorkFolder
 
-#: At most so many labelled rows are used for learning, terms frequent in toxic ones
-#: looked at, candidates kept and entries taken.
-LABELLED, FREQUENT, CANDIDATES, TERMS = 200_000, 50_000, 5_000, 500
-#: A term's least toxic documents, their least share of all toxic ones, least log odds.
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.003, 2.0
+#: At most so many labelled rows are used for learning.
+LABELLED = 200_000
+#: A term's least toxic documents, also beyond those of earlier terms, and least log odds; an
+#: exception's least clean documents.
+LEAST_DOCS, LEAST_WEIGHT = 3, 2.0
+#: Bits of the positions in a bitmap of term hashes, whose size they fix.
+BITS = 24
 #: Lengths of the word beginnings that can be terms besides whole words.
 PREFIXES = range(3, 9)
 
@@ -50,7 +57,7 @@ FULL_WIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 #: Digits and signs written for letters.
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasii")
 
-#: Phrases in which a term of the lexicon is harmless.
+#: Phrases in which a term is harmless, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish")
 
 
@@ -98,6 +105,15 @@ def fold_words(texts: pa.Array) -> FoldedWords:
     return FoldedWords(rows[filled], number[filled], list(number_of))
 
 
+def folded_texts(piece: pa.RecordBatch) -> Iterator[tuple[str, int]]:
+    """Each text of a piece folded, with its number of words."""
+    words = fold_words(texts_of(piece))
+    distinct = np.array(words.distinct, dtype=object)
+    counts = np.bincount(words.row, minlength=piece.num_rows)
+    for part in np.split(words.number, np.cumsum(counts)[:-1]):
+        yield " ".join(distinct[part]), len(part)
+
+
 def term_pairs(words: FoldedWords, number_of: dict[str, int], grow: bool) -> np.ndarray:
     """Distinct `(row, term)` of the texts; with `grow`, new terms get a number."""
     pairs = np.unique(words.row * len(words.distinct) + words.number)
@@ -162,13 +178,44 @@ def matched_weight(automaton, text: str) -> float:
     return sum(w for at, w in hits.items() if not any(a <= at < b for a, b in safe))
 
 
+def term_hits(automaton, text: str) -> list[tuple[float, str, str]]:
+    """Weight of every match that counts, with the phrases of it and the word on either side."""
+    if not len(automaton):
+        return []
+    padded = f" {text} "
+    best: dict[int, float] = {}
+    safe = []
+    for last, (length, weight) in automaton.iter(padded):
+        start = last + 1 - length
+        if weight is None:
+            safe.append((start, last))
+        else:
+            best[start] = max(weight, best.get(start, 0.0))
+    out = []
+    for start, weight in best.items():
+        if any(a <= start < b for a, b in safe):
+            continue
+        end = padded.index(" ", start + 1)
+        before, after = padded.rfind(" ", 0, start), padded.find(" ", end + 1)
+        left = padded[before + 1 : end] if before >= 0 else ""
+        right = padded[start + 1 : after] if after >= 0 else ""
+        out.append((weight, left, right))
+    return out
+
+
+def _log_odds(toxic: Column, clean: Column, toxic_rows: int, clean_rows: int) -> Column:
+    return F.log((toxic + 0.5) / (toxic_rows + 1)) - F.log((clean + 0.5) / (clean_rows + 1))
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
     held_out_fold: int = 0,
     exceptions: Sequence[str] = EXCEPTIONS,
+    work: WorkFolder | None = None,
 ) -> ToxicityModel:
     """A model from the labelled documents that are not in the held-out fold."""
+    work = work or work_folder(docs)
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -177,93 +224,147 @@ def learn(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(LABELLED)
     )
+    sample = work.write("labels", sample)
     # Bounded by LABELLED rows of two numbers.
     training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-    def count(known: dict[str, int] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch):
-                    number_of = dict(known) if known else {}
-                    pairs = term_pairs(fold_words(texts_of(piece)), number_of, known is None)
-                    seen, counts = np.unique(pairs[:, 1], return_counts=True)
-                    names = list(number_of)
-                    columns = [pa.array([names[i] for i in seen], pa.string()), pa.array(counts)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
-
-        return run
-
-    def document_counts(rows: DataFrame, known: dict[str, int] | None) -> DataFrame:
-        counted = rows.select("text").mapInArrow(count(known), "term string, docs long")
-        return counted.groupBy("term").agg(F.sum("docs").alias("docs"))
-
     by_label = dict(map(tuple, sample.groupBy("_toxic").count().collect()))
     bad, good = by_label.get(1, 0), by_label.get(0, 0)
-    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * bad))
-    frequent = (
-        document_counts(training.where("_toxic = 1"), None)
-        .where(F.col("docs") >= least)
-        .orderBy(F.desc("docs"), "term")
-        .limit(FREQUENT)
-        .collect()
+    of_toxic = work.write(
+        "toxic_terms",
+        _document_counts(training.where("_toxic = 1"), None).where(F.col("docs") >= LEAST_DOCS),
     )
-    of_bad = {row.term: row.docs for row in frequent}
-    number_of = {t: i for i, t in enumerate(of_bad)}
-    of_good = dict.fromkeys(of_bad, 0)
-    if of_bad:
-        rows = document_counts(training.where("_toxic = 0"), number_of).collect()
-        of_good |= {row.term: row.docs for row in rows}
-    candidates = []
-    for term, docs_with in of_bad.items():
-        weight = math.log((docs_with + 0.5) / (bad + 1)) - math.log((of_good[term] + 0.5) / (good + 1))
-        if weight >= LEAST_WEIGHT:
-            candidates.append((docs_with * weight, term, weight))
-    candidates = [(term, weight) for _, term, weight in sorted(candidates, reverse=True)[:CANDIDATES]]
-    candidate_number = {term: i for i, (term, _) in enumerate(candidates)}
+    of_clean = _document_counts(training.where("_toxic = 0"), _bitmap(of_toxic))
+    rated = of_toxic.join(of_clean.withColumnRenamed("docs", "clean"), "term", "left").select(
+        "term",
+        "docs",
+        _log_odds(F.col("docs"), F.coalesce("clean", F.lit(0)), bad, good).alias("weight"),
+    )
+    # Terms that stand out among the labelled rows.
+    rows = rated.where(F.col("weight") >= LEAST_WEIGHT).collect()
+    candidates = [
+        (term, weight) for _, term, weight in sorted(((r.docs * r.weight, r.term, r.weight) for r in rows), reverse=True)
+    ]
+    found = _found_terms(training.where("_toxic = 1"), candidates)
+    chosen = _chosen(np.array([weight for _, weight in candidates]), found)
+    weights = {candidates[c][0]: candidates[c][1] for c in chosen}
+    model = ToxicityModel(weights, tuple(exceptions), (0.0, 0.0, 0.0))
+    return _fitted(model, _described(training, model), bad, good)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _document_counts(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
+    """`(term, docs)`: texts that have each term; with a bitmap only terms that may be in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                words, n = fold_words(texts_of(piece)), piece.num_rows
-                pairs = term_pairs(words, candidate_number, False)
-                ends = np.cumsum(np.bincount(pairs[:, 0], minlength=n))[:-1]
+                number_of: dict[str, int] = {}
+                pairs = term_pairs(fold_words(texts_of(piece)), number_of, True)
+                seen, counts = np.unique(pairs[:, 1], return_counts=True)
+                names = list(number_of)
+                names = [names[i] for i in seen]
+                if bitmap is not None:
+                    hashes = np.fromiter(
+                        (xxhash.xxh64_intdigest(t.encode(), 42) >> (64 - BITS) for t in names), np.int64, len(names)
+                    )
+                    there = (bitmap[hashes >> 3] >> (hashes & 7).astype(np.uint8)) & 1 == 1
+                    names, counts = [t for t, x in zip(names, there, strict=True) if x], counts[there]
+                columns = [pa.array(names, pa.string()), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
+
+    counted = rows.select("text").mapInArrow(count, "term string, docs long")
+    return counted.groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Where the hashes of the terms lie among 2^BITS, in a map of that size."""
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    high = F.shiftrightunsigned(F.xxhash64("term"), 64 - BITS)
+    places = terms.select(high.alias("p")).distinct().toArrow()["p"].to_numpy()
+    np.bitwise_or.at(bitmap, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+    return bitmap
+
+
+def _found_terms(rows: DataFrame, candidates: list[tuple[str, float]]) -> list[np.ndarray]:
+    """For each row the numbers of the candidates in it."""
+    number_of = {term: i for i, (term, _) in enumerate(candidates)}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                pairs = term_pairs(fold_words(texts_of(piece)), number_of, False)
+                ends = np.cumsum(np.bincount(pairs[:, 0], minlength=piece.num_rows))[:-1]
                 found = [part.tolist() for part in np.split(pairs[:, 1], ends)]
-                columns = [
-                    piece.column("_toxic"),
-                    pa.array(np.bincount(words.row, minlength=n).astype(np.int64)),
-                    pa.array(found, pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "found"])
-
-    described = training.select("text", "_toxic").mapInArrow(
-        describe, "toxic int, words long, found array<int>"
-    )
-    rows = described.toArrow()  # one short row per labelled row, LABELLED at most
-    toxic = rows["toxic"].to_numpy().astype(bool)
-    found = [np.array(f, np.int64) for f in rows["found"].to_pylist()]
-    chosen = _chosen(candidates, [f for f, t in zip(found, toxic, strict=True) if t], least)
-    weights = {candidates[c][0]: candidates[c][1] for c in chosen}
-    of_term = np.zeros(max(1, len(candidates)))
-    of_term[list(chosen)] = [candidates[c][1] for c in chosen]
-    weight = np.array([of_term[f].sum() for f in found])
-    words = rows["words"].to_numpy().astype(float)
-    return ToxicityModel(weights, tuple(exceptions), _logistic(features(weight, words), toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
+
+    if not candidates:
+        return []
+    found = rows.select("text").mapInArrow(find, "found array<int>").toArrow()["found"]
+    return [np.array(f, np.int64) for f in found.to_pylist()]
 
 
-def _chosen(candidates: list[tuple[str, float]], rows: list[np.ndarray], least: int) -> list[int]:
+def _chosen(weights: np.ndarray, rows: list[np.ndarray]) -> list[int]:
     """Candidates in the order of the weight they add over rows not yet explained."""
-    weights = np.array([weight for _, weight in candidates])
-    rows, chosen = [r for r in rows if len(r)], []
-    while rows and len(chosen) < TERMS:
-        left = np.bincount(np.concatenate(rows), minlength=len(candidates))
-        best = int(np.argmax(np.where(left >= least, left * weights, 0)))
-        if left[best] < least:
+    left = np.zeros(len(weights), np.int64)
+    holders: dict[int, list[int]] = {}
+    for at, row in enumerate(rows):
+        left[row] += 1
+        for term in row.tolist():
+            holders.setdefault(term, []).append(at)
+    explained, chosen = np.zeros(len(rows), bool), []
+    while len(weights):
+        best = int(np.argmax(np.where(left >= LEAST_DOCS, left * weights, 0)))
+        if left[best] < LEAST_DOCS:
             break
         chosen.append(best)
-        rows = [r for r in rows if best not in r]
+        for at in holders[best]:
+            if not explained[at]:
+                explained[at] = True
+                left[rows[at]] -= 1
     return chosen
 
 
+def _described(rows: DataFrame, model: ToxicityModel) -> pa.Table:
+    """`(toxic, words, hits)` of each row; a hit is a weight and two phrases."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = model.automaton()
+        hit = pa.struct([("weight", pa.float64()), ("left", pa.string()), ("right", pa.string())])
+        for batch in batches:
+            for piece in pieces(batch):
+                words, found = [], []
+                for text, size in folded_texts(piece):
+                    words.append(size)
+                    names = ("weight", "left", "right")
+                    found.append([dict(zip(names, h, strict=True)) for h in term_hits(automaton, text)])
+                columns = [piece.column("_toxic"), pa.array(words, pa.int64()), pa.array(found, pa.list_(hit))]
+                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "hits"])
+
+    schema = "toxic int, words long, hits array<struct<weight:double,left:string,right:string>>"
+    # One short row per labelled row, LABELLED at most.
+    return rows.select("text", "_toxic").mapInArrow(describe, schema).toArrow()
+
+
+def _fitted(model: ToxicityModel, rows: pa.Table, bad: int, good: int) -> ToxicityModel:
+    """The model with exceptions and coefficients learned from the described rows."""
+    toxic = rows["toxic"].to_numpy().astype(bool)
+    hits = rows["hits"].to_pylist()
+    seen: dict[str, list[int]] = {}
+    for bad_row, row in zip(toxic.tolist(), hits, strict=True):
+        for phrase in {p for h in row for p in (h["left"], h["right"]) if p}:
+            seen.setdefault(phrase, [0, 0])[bad_row] += 1
+    harmless = {
+        phrase
+        for phrase, (clean, toxic_rows) in seen.items()
+        if clean >= LEAST_DOCS and (toxic_rows + 0.5) / (bad + 1) <= (clean + 0.5) / (good + 1)
+    }
+    weight = np.array(
+        [sum(h["weight"] for h in row if not {h["left"], h["right"]} & harmless) for row in hits], float
+    )
+    words = rows["words"].to_numpy().astype(float)
+    coefficients = _logistic(features(weight, words), toxic)
+    return ToxicityModel(model.weights, (*model.exceptions, *sorted(harmless)), coefficients)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
     """Newton's method with a small ridge, which also settles separable data."""
     b = np.zeros(3)
@@ -290,14 +391,9 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         automaton = model.automaton()
         for batch in batches:
             for piece in pieces(batch):
-                words, n = fold_words(texts_of(piece)), piece.num_rows
-                distinct = np.array(words.distinct, dtype=object)
-                counts = np.bincount(words.row, minlength=n)
-                parts = np.split(words.number, np.cumsum(counts)[:-1])
-                weight = np.array(
-                    [matched_weight(automaton, " ".join(distinct[p])) for p in parts]
-                )
-                score = model.score(weight, counts.astype(float))
+                texts = list(folded_texts(piece))
+                weight = np.array([matched_weight(automaton, text) for text, _ in texts])
+                score = model.score(weight, np.array([size for _, size in texts], float))
                 columns = [piece.column(c) for c in kept]
                 columns += [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
