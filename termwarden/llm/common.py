@@ -21,6 +21,9 @@ from termwarden.sources.scratch import WorkFolder, shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bits of a row's number that count within the task that wrote it.
+ROWS_OF_PART = 33
+
 #: Bytes of text that a task works on at a time; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
@@ -83,9 +86,74 @@ def numbered(docs: DataFrame, work: WorkFolder, name: str = "numbered") -> DataF
     return work.write(name, rows)
 
 
-def without_rows(stored: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows behind the numbers that are not in `dropped`."""
-    return stored.join(dropped.select("_row"), "_row", "left_anti").select("_doc.*")
+def with_facts(
+    stored: DataFrame, facts: DataFrame, work: WorkFolder, name: str, every: bool = False
+) -> DataFrame:
+    """The columns of the numbered rows that have a fact, with the facts' other columns.
+
+    With `every` all rows, with nulls for those that have none.
+
+    `stored` comes from `numbered`; `facts` has one row per `_row` at most. A row's number
+    tells which task wrote it, so facts are stored by that task, sorted, and whoever reads
+    rows looks their facts up in that file: rows as wide as texts are never shuffled. A file
+    holds the facts of the rows of one task that read the input.
+    """
+    added = [c for c in facts.columns if c != "_row"]
+    if clash := set(added) & {"_doc", "_row"}:
+        raise ValueError(f"facts cannot be called {', '.join(sorted(clash))}")
+    path = f"{work.path}/{name}"
+    listed = facts.withColumn("_part", F.shiftright("_row", ROWS_OF_PART))
+    listed.repartition("_part").sortWithinPartitions("_part", "_row").write.partitionBy("_part").parquet(path)
+    schema = StructType([stored.schema["_doc"]])
+    for column in added:
+        schema = schema.add(column, facts.schema[column].dataType)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(schema[c].dataType) for c in added]
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            rows = batch.column("_row").to_numpy()
+            for part in np.unique(rows >> ROWS_OF_PART).tolist():
+                if part not in held:
+                    held.clear()
+                    held[part] = read_part(path, part, ["_row", *added])
+                known = held[part].column("_row").to_numpy()
+                at = np.searchsorted(known, rows)
+                there = at < len(known)
+                there[there] = known[at[there]] == rows[there]
+                if every:
+                    # Another task's rows of the batch get their turn with their own part.
+                    mine = rows >> ROWS_OF_PART == part
+                    wanted, taken = pa.array(at[mine], mask=~there[mine]), pa.array(mine)
+                else:
+                    wanted, taken = pa.array(at[there]), pa.array(there)
+                found = held[part].take(wanted)
+                doc = batch.column("_doc").filter(taken)
+                facts = [found.column(c).combine_chunks().cast(t) for c, t in zip(added, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([doc, *facts], names=schema.names)
+
+    return stored.select("_doc", "_row").mapInArrow(look_up, schema).select("_doc.*", *added)
+
+
+def read_part(path: str, part: int, columns: Sequence[str]) -> pa.Table:
+    """What a task reads of a table stored by `_part`, through the storage's own interface."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if "://" in path:
+        files, root = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    else:
+        files, root = fs.LocalFileSystem(), path.removeprefix("file:")
+    # A folder that cannot be reached is not one without facts.
+    if files.get_file_info(root).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no such folder for this task: {path}")
+    folder = f"{root}/_part={part}"
+    if files.get_file_info(folder).type != fs.FileType.Directory:
+        return pa.table({c: pa.array([], pa.int64() if c == "_row" else pa.null()) for c in columns})
+    found = pq.ParquetDataset(folder, filesystem=files, partitioning=None).read(columns=list(columns))
+    return found.combine_chunks()
 
 
 def running_sums(

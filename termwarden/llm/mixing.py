@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import WORD, running_sums, work_folder
+from termwarden.llm.common import WORD, numbered, running_sums, with_facts, work_folder
 from termwarden.sources.scratch import WorkFolder
 
 
@@ -138,13 +138,15 @@ def mixed_documents(
     """The rows of `docs` as often as the mix takes them, each text whole.
 
     The document that a budget cuts through is taken once more if the cut leaves at least
-    half of it in, so a source misses its target by half a document at most.
+    half of it in, so a source misses its target by half a document at most. Only keys and
+    sizes are sorted; texts stay where they are read.
     """
-    rows = _mixed(docs, docs.columns, weights, share, most_epochs, seed, work)
+    work = work or work_folder(docs)
+    stored = numbered(docs, work)
+    light = stored.select("_row", "_doc.doc_id", "_doc.text", "_doc.source")
+    rows = _mixed(light, ["_row"], weights, share, most_epochs, seed, work)
     once_more = (F.col("cut") > 0) & (F.col("cut") * 2 >= F.col("size"))
     times = F.col("copies") + once_more.cast("long")
-    return (
-        rows.where(times > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-        .select("_doc.*")
-    )
+    taken = rows.where(times > 0).select("_doc._row", times.alias("_times"))
+    found = with_facts(stored.select("_row", F.struct("_doc").alias("_doc")), taken, work, "taken")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_doc.*")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import mixed, running_sums, work_folder
+from termwarden.llm.common import mixed, numbered, running_sums, with_facts, work_folder
 from termwarden.sources.scratch import WorkFolder
 
 ROUNDS = 6
@@ -53,15 +53,21 @@ def sharded(
 ) -> DataFrame:
     """The rows with `shard` and `slot`; columns of these names are replaced.
 
-    `docs` has `doc_id` and either `text` or a column with its digest, which is dropped.
+    `docs` has `doc_id` and either `text`, whose rows stay where they are read, or a column
+    with its digest, which is dropped, and whose rows are sorted themselves.
     """
     work = work or work_folder(docs)
+    if digest is None:
+        stored = numbered(docs.drop("shard", "slot"), work)
+        text = F.coalesce("_doc.text", F.lit(""))
+        light = stored.select("_row", "_doc.doc_id", F.sha2(text, 256).alias("_digest"))
+        dealt = sharded(light, shards, key, "_digest", work).drop("doc_id")
+        return with_facts(stored, dealt, work, "dealt")
     kept = [c for c in docs.columns if c not in ("shard", "slot", digest)]
-    of_text = F.col(digest) if digest else F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = docs.select(
         F.struct(*kept).alias("_doc"),
         F.col("doc_id").alias("_id"),
-        of_text.alias("_digest"),
+        F.col(digest).alias("_digest"),
         F.lit(1).cast("long").alias("_one"),
     )
     ranked = running_sums(rows, ["_id", "_digest"], ["_one"], work, "ranked")
