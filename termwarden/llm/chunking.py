@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import mixed, pieces, texts_of
+from termwarden.llm.common import mixed, numbered, pieces, texts_of, with_facts
 from termwarden.sources.scratch import WorkFolder
 
 #: Bytes of a chunk at least and at most, and zero bits at its end: 8 + 32 on average.
@@ -93,9 +93,10 @@ def chunks(docs: DataFrame, row: str = "_row") -> DataFrame:
                 names = [row, "doc_id", "chunk", "start", "end", "high", "low"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(row, "doc_id", "text").mapInArrow(
-        cut, f"{row} long, doc_id long, chunk long, start long, end long, high long, low long"
-    )
+    schema = docs.select(row, "doc_id").schema
+    for name in ("chunk", "start", "end", "high", "low"):
+        schema = schema.add(name, "long")
+    return docs.select(row, "doc_id", "text").mapInArrow(cut, schema)
 
 
 def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = True) -> DataFrame:
@@ -153,29 +154,45 @@ def repeated_passages(docs: DataFrame, work: WorkFolder, within: bool = True) ->
 
 
 def without_repeats(docs: DataFrame, work: WorkFolder) -> DataFrame:
-    """The numbered rows with repeats in passages cut out of their texts, first occurrences left.
+    """The rows with repeats in passages cut out of their texts, first occurrences left.
 
-    Cuts are at chunk ends, and leave whole characters: a character that a cut would split
-    is kept.
+    Rows come in the order in which `docs` is read. Cuts are at chunk ends, and leave whole
+    characters: a character that a cut would split is kept. Null texts stay null. Ids may be
+    null or of any type; rows are told apart by numbers of their own. Texts stay where they
+    are read; only the spans to cut are looked up there.
     """
-    passages = repeated_passages(docs, work).where("not kept")
+    stored = numbered(docs, work)
+    light = stored.select("_row", "_doc.doc_id", "_doc.text")
+    passages = repeated_passages(light, work).where("not kept")
     spans = passages.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")
     )
+    whole = stored.select("_row", F.struct("_doc").alias("_doc"))
+    marked = with_facts(whole, spans, work, "spans", every=True)
+    marked = marked.select("_doc", F.col("_doc.text").alias("_text"), "_spans")
+    schema = marked.select("_doc", "_text").schema
 
-    @F.udf("string")
-    def rest(text, spans):
-        if spans is None:
-            return text
-        data, last, parts = text.encode("utf-8", "surrogatepass"), 0, []
-        for start, end in spans:
-            while start < end and data[start] & 0xC0 == 0x80:
-                start += 1
-            while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
-                end -= 1
-            parts.append(data[last:start])
-            last = end
-        return b"".join([*parts, data[last:]]).decode("utf-8", "surrogatepass")
-
-    cut = docs.join(work.write("spans", spans), "_row", "left")
-    return cut.withColumn("text", rest("text", "_spans")).drop("_spans")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("_text"), batch.column("_spans")
+            if spans.null_count < batch.num_rows:
+                rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+                texts = pa.array([t if s is None else rest_of(t, s) for t, s in rows], texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), texts], names=schema.names)
+
+    left = marked.mapInArrow(cut, schema)
+    return left.select(F.col("_doc").withField("text", F.col("_text")).alias("_doc")).select("_doc.*")
+
+
+def rest_of(text: str, spans: list[dict[str, int]]) -> str:
+    """A text without spans of its bytes."""
+    data, last, parts = text.encode("utf-8", "surrogatepass"), 0, []
+    for span in spans:
+        start, end = span["start"], span["end"]
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(data[last:start])
+        last = end
+    return b"".join([*parts, data[last:]]).decode("utf-8", "surrogatepass")
