@@ -15,9 +15,11 @@ each other, so exact matches stay where slots are torn.
 A document contains an item if half of the item's windows match, or 13 of them (20 words),
 or half of those that have a template. Shorter items are one window; those below four words
 match only with the very same words. An item of one word is in every document that has the
-word. Items with the same text are one, by the smallest id.
+word. Items with the same text are one, by the smallest id; ids may be of any type or null.
 
-Before the join, tasks drop document windows whose hash is not in a bitmap of the
+Documents meet an item only over its rarest windows, by the number of items that have them:
+so many that none can contain the item without one. The other windows are compared for the
+pairs that were found. Before the join, tasks drop document windows whose hash is not in a bitmap of the
 benchmark's hashes. The bitmap has a fixed size (`BITS`), whatever the benchmark's; if
 many windows fill it, more rows reach the join, and none is lost. The join shuffles or
 broadcasts as Spark sees fit, and a frequent passage is split by the adaptive skew join.
@@ -34,10 +36,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termwarden.llm.common import mixed, pieces, texts_of, work_folder
+from termwarden.llm.common import mixed, numbered, pieces, texts_of, with_facts, work_folder
 from termwarden.sources.scratch import WorkFolder
 
 WINDOW, SHORTEST, BITS = 8, 4, 22
@@ -167,18 +169,68 @@ def _windows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | No
     return rows.mapInArrow(cut, _WINDOWS)
 
 
-def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame:
-    """`(row, item_id, matched, windows, coverage, reparameterised)` per contained item.
+def numbered_items(benchmark: DataFrame, work: WorkFolder) -> DataFrame:
+    """`(item, item_id, copies, text)`: one row per text of the benchmark, with a number.
 
-    `texts` has `text` and a long `row` that equal texts may share. `reparameterised`
-    tells that a slot has another value in the document than in the item.
+    `item_id` is the smallest id of the items with that text, of whatever type ids are; it is
+    null if none has an id. `copies` counts the items.
     """
     items = (
         benchmark.where(F.col("text").isNotNull())
         .groupBy("text")
-        .agg(F.min("item_id").cast("long").alias("row"))
+        .agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
+    )
+    return work.write("benchmark", items.withColumn("item", F.monotonically_increasing_id()))
+
+
+def item_members(benchmark: DataFrame, items: DataFrame) -> DataFrame:
+    """`(item_id, item)`: which of the numbered items each item of the benchmark is."""
+    return benchmark.select("item_id", "text").join(items.select("item", "text"), "text").drop("text")
+
+
+def _needed(number: str) -> Column:
+    """Of so many windows those that must match at least."""
+    return F.ceil(F.col(number) * SHARE)
+
+
+def _probes(wanted: DataFrame, work: WorkFolder) -> DataFrame:
+    """`(hash, item)` of the windows by which candidates are found.
+
+    Who matches k of n windows matches one of the n-k+1 that fewest items have, and who matches
+    enough of the open windows one of the rarest of those. So a prompt that many items begin
+    with brings no documents together with all of them, and no item is lost.
+    """
+    items_of = wanted.select("hash", "row").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
+    places = work.write(
+        "places",
+        wanted.join(items_of, "hash")
+        .groupBy("row", "place", "open", "windows", "opens")
+        .agg(F.sum("items").alias("items")),
+    )
+    of_all = Window.partitionBy("row").orderBy("items", "place")
+    of_open = Window.partitionBy("row", "open").orderBy("items", "place")
+    ranked = places.withColumns(
+        {"_rank": F.row_number().over(of_all), "_open_rank": F.row_number().over(of_open)}
     )
-    wanted = work.write("items", _windows(items.select("row", "text"), None, None))
+    least = F.least(_needed("windows"), F.lit(ENOUGH))
+    probing = (F.col("_rank") <= F.col("windows") - least + 1) | (
+        F.col("open") & (F.col("_open_rank") <= F.col("opens") - _needed("opens") + 1)
+    )
+    chosen = ranked.where(probing).select("row", "place")
+    hashes = wanted.join(chosen, ["row", "place"], "left_semi").select("hash", F.col("row").alias("item"))
+    return work.write("probes", hashes.distinct())
+
+
+def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame:
+    """`(row, item, item_id, copies, matched, windows, coverage, reparameterised)` per item
+    that a text contains.
+
+    `texts` has `text` and a long `row` that equal texts may share. `reparameterised`
+    tells that a slot has another value in the document than in the item.
+    """
+    items = numbered_items(benchmark, work)
+    texts_of_items = items.select(F.col("item").alias("row"), "text")
+    wanted = work.write("items", _windows(texts_of_items, None, None))
     lengths = sorted(r.length for r in wanted.select("length").distinct().collect())
     high = F.shiftrightunsigned("hash", 64 - BITS)
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
@@ -188,16 +240,23 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
     found = work.write(
         "found", _windows(texts.select("row", "text"), lengths or [WINDOW], bitmap)
     )
-    matched = found.select(
-        "row", "hash", F.col("place").alias("_at"), F.col("slots").alias("_slots")
-    ).join(
-        wanted.select(
-            F.col("row").alias("item_id"), "hash", "place", "slots", "windows", "open", "opens"
-        ),
-        "hash",
+    probes = _probes(wanted, work)
+    candidates = work.write(
+        "candidates",
+        found.select("row", "hash").distinct().join(probes, "hash").select("row", "item").distinct(),
+    )
+    matched = (
+        found.select("row", "hash", F.col("place").alias("_at"), F.col("slots").alias("_slots"))
+        .join(candidates, "row")
+        .join(
+            wanted.select(
+                F.col("row").alias("item"), "hash", "place", "slots", "windows", "open", "opens"
+            ),
+            ["item", "hash"],
+        )
     )
     matched = work.write("matched", matched.withColumn("_line", F.col("_at") - F.col("place")))
-    line = ["row", "item_id", "_line"]
+    line = ["row", "item", "_line"]
     pairs = matched.where(F.size("slots") > 0).select(
         *line, F.explode(F.arrays_zip("slots", "_slots")).alias("_pair")
     )
@@ -217,7 +276,7 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
     places = (
         matched.where(F.size("slots") == 0)
         .unionByName(matched.where(F.size("slots") > 0).join(torn, line, "left_anti"))
-        .groupBy("row", "item_id", "place")
+        .groupBy("row", "item", "place")
         .agg(
             F.first("windows").alias("windows"),
             F.first("opens").alias("opens"),
@@ -225,7 +284,7 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
             F.max(F.col("slots") != F.col("_slots")).alias("reparameterised"),
         )
     )
-    whole = places.groupBy("row", "item_id").agg(
+    whole = places.groupBy("row", "item").agg(
         F.count(F.lit(1)).alias("matched"),
         F.count_if("open").alias("_open"),
         F.first("windows").alias("windows"),
@@ -237,9 +296,11 @@ def leaks(texts: DataFrame, benchmark: DataFrame, work: WorkFolder) -> DataFrame
         | (F.col("matched") >= ENOUGH)
         | ((F.col("_open") > 0) & (F.col("_open") >= F.ceil(F.col("opens") * SHARE)))
     )
-    return whole.where(enough).select(
+    return whole.where(enough).join(items.select("item", "item_id", "copies"), "item").select(
         "row",
+        "item",
         "item_id",
+        "copies",
         "matched",
         "windows",
         (F.col("matched") / F.col("windows")).alias("coverage"),
@@ -253,21 +314,23 @@ def _by_text(docs: DataFrame) -> DataFrame:
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`(doc_id, item_id, matched, windows, coverage, reparameterised)`."""
+    """`(doc_id, item_id, copies, matched, windows, coverage, reparameterised)`.
+
+    Items with the same text are one, by the smallest id; `copies` counts them.
+    """
     work = work_folder(docs)
     rows = _by_text(docs.select("doc_id", "text"))
     found = work.write("leaks", leaks(rows, benchmark, work))
-    return rows.select("doc_id", "row").join(found, "row").drop("row")
+    return rows.select("doc_id", "row").join(found, "row").drop("row", "item")
 
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, work: WorkFolder | None = None
 ) -> DataFrame:
-    """The rows of `docs` that contain no benchmark item."""
+    """The rows of `docs` that contain no benchmark item. Texts stay where they are read."""
     work = work or work_folder(docs)
-    flagged = leaks(_by_text(docs.select("text")), benchmark, work).select("row").distinct()
-    flagged = work.write("flagged", flagged).withColumnRenamed("row", "_leaked")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    hashed = docs.select(F.struct("*").alias("_doc"), text_hash.alias("_text_hash"))
-    kept = hashed.join(flagged, F.col("_text_hash") == F.col("_leaked"), "left_anti")
-    return kept.select("_doc.*")
+    stored = numbered(docs, work)
+    texts = _by_text(stored.select("_row", "_doc.text"))
+    flagged = work.write("flagged", leaks(texts, benchmark, work).select("row").distinct())
+    kept = texts.select("_row", "row").join(flagged, "row", "left_anti").select("_row")
+    return with_facts(stored, kept, work, "kept")
