@@ -62,7 +62,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = simhash.near_duplicates(docs, work_folder(docs), words=4, width=8, most_bits=4)
+    rows = simhash.near_duplicates(docs, work_folder(docs), words=4, most_bits=4)
     return rows.select(
         "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id"
     )

@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -51,6 +53,55 @@ def test_index_outlives_a_batch(spark, docs_of):
     assert exact_dedup.deduplicated(first.limit(0), again).count() == 0
 
 
+@pytest.mark.parametrize(("before", "after"), [(8, 3), (3, 8)])
+def test_an_index_keeps_its_buckets(spark, docs_of, before, after):
+    """Another session, to which the table is unknown, opens all of the index."""
+    texts = [f"text {i}" for i in range(40)]
+    docs = docs_of(list(enumerate(texts)))
+    path = f"{work_folder(docs).path}/index"
+    index = exact_dedup.DigestIndex(spark, path, before)
+    assert exact_dedup.deduplicated(docs, index).where("kept").count() == 40
+    spark.sql(f"DROP TABLE {index.table}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(ValueError, match=f"has {before} buckets"):
+            exact_dedup.DigestIndex(spark, path, after)
+        again = exact_dedup.DigestIndex(spark, path)
+        more = docs_of([(100 + i, t) for i, t in enumerate(texts)])
+        assert exact_dedup.deduplicated(more, again).where("kept").count() == 0
+        assert again.read().count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_at_once_add_a_digest_once(spark, docs_of):
+    path = f"{work_folder(docs_of([])).path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+
+    def batch(start):
+        docs = docs_of([(start + i, f"text {i}") for i in range(30)])
+        return exact_dedup.deduplicated(docs, index).collect()
+
+    with ThreadPoolExecutor(3) as pool:
+        found = [row for rows in pool.map(batch, (0, 100, 200)) for row in rows]
+    assert len(found) == 90
+    assert index.read().count() == 30 == sum(r.kept for r in found)
+    assert {r.text_sha256: r.keep_id for r in found if r.kept} == {r.text_sha256: r.keep_id for r in found}
+
+
+def test_a_lock_of_another_driver_is_waited_for(spark, docs_of, monkeypatch):
+    path = f"{work_folder(docs_of([])).path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    monkeypatch.setattr(exact_dedup, "PATIENCE", 0.5)
+    (Path(index.path) / "lock").touch()
+    with pytest.raises(TimeoutError, match="lock"), index.locked():
+        pass
+    (Path(index.path) / "lock").unlink()
+    with index.locked():
+        assert (Path(index.path) / "lock").exists()
+    assert not (Path(index.path) / "lock").exists()
+
+
 def test_the_index_is_joined_without_a_shuffle_of_it(spark, docs_of):
     docs = docs_of([(i, f"t{i}") for i in range(50)])
     index = index_of(spark, docs)
@@ -131,46 +182,58 @@ def test_simhash_links_against_brute_force(spark, docs_of):
             words = list(base)
             words[random.randrange(150)] = "changed"
             rows.append((len(rows), " ".join(words)))
-    rows += [(1000 + i, t) for i, (_, t) in enumerate(AWKWARD) if len(t or "") < 10_000] + [(None, "alone")]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(AWKWARD) ] + [(None, "alone")]
     docs = docs_of(rows).select("doc_id", "text")
-    found = simhash.near_duplicates(docs, work_folder(docs), words=4, width=8, most_bits=4).collect()
+    found = simhash.near_duplicates(docs, work_folder(docs), words=4, most_bits=4).collect()
     check_links(rows, found, 4)
 
 
-def test_crowded_lists_are_cut_and_lose_no_link(spark):
-    """A thousand fingerprints around one, in lists that are cut into blocks."""
-    rng = np.random.default_rng(3)
-    marks = {0}
-    while len(marks) < 1200:
-        flips = rng.choice(64, size=rng.integers(1, 7), replace=False)
-        marks.add(int(sum(1 << int(b) for b in flips)))
-    rows = [(i, m.to_bytes(8, "big")) for i, m in enumerate(sorted(marks))]
-    work = WorkFolder(spark)
-    stored = work.write("marks", spark.createDataFrame(rows, "node long, fingerprint binary"))
-    found = {r.node: r.root for r in simhash.linked_components(stored, 8, 4, simhash.triples(), work).collect()}
-    values = np.array([int.from_bytes(m, "big") for _, m in rows], np.uint64)
+def plain_components(marks):
+    values = np.array(marks, np.uint64)
     label = np.arange(len(values))
     while True:
         new = np.array([label[np.bitwise_count(v ^ values) <= 4].min() for v in values])
         if (new == label).all():
-            break
+            return {i: int(label[i]) for i, v in enumerate(values) if (np.bitwise_count(v ^ values) <= 4).sum() > 1}
         label = new
-    linked = {i for i, v in enumerate(values) if (np.bitwise_count(v ^ values) <= 4).sum() > 1}
-    assert found == {i: label[i] for i in linked}
 
 
-def test_wide_fingerprints_find_near_copies_and_no_others(docs_of):
-    random.seed(9)
-    words = [f"word{i}" for i in range(2000)]
-    rows = []
-    for i in range(60):
-        text = [random.choice(words) for _ in range(300)]
-        near = list(text)
-        near[random.randrange(300)] = "other"
-        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
-    docs = docs_of(rows).select("doc_id", "text")
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, work_folder(docs)).collect()}
-    assert found == {d: d // 2 * 2 for d in range(120)}
+def found_components(spark, marks):
+    rows = [(i, m.to_bytes(8, "big")) for i, m in enumerate(marks)]
+    work = WorkFolder(spark)
+    stored = work.write("marks", spark.createDataFrame(rows, "node long, fingerprint binary"))
+    return {r.node: r.root for r in simhash.linked_components(stored, work).collect()}
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_crowded_lists_lose_no_link(spark, monkeypatch, block):
+    """A thousand fingerprints around one, in lists that are refined and cut into blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    marks = {0}
+    while len(marks) < 1200:
+        flips = rng.choice(64, size=rng.integers(1, 7), replace=False)
+        marks.add(int(sum(1 << int(b) for b in flips)))
+    assert found_components(spark, sorted(marks)) == plain_components(sorted(marks))
+
+
+def test_clusters_that_share_bytes_are_compared_across_blocks(spark, monkeypatch):
+    """All share five bytes, but only some are near each other: no task gets a whole list."""
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    marks = sorted({0x0102030405 << 24 | int(x) for x in rng.integers(0, 1 << 24, 700)})
+    # Thinly spread over batches, lists are counted all the same.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found_components(spark, marks) == plain_components(marks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_looser_limits_are_refused(spark, docs_of):
+    docs = docs_of([(1, "a")])
+    with pytest.raises(ValueError, match="4 differing bits"):
+        simhash.near_duplicates(docs, work_folder(docs), most_bits=5)
 
 
 def plain_cuts(data):
