@@ -30,18 +30,26 @@ class WorkFolder:
     """A fresh sub-folder for the steps of one derivation.
 
     Steps are written as Parquet and read back, which cuts their lineage and tells the
-    planner how large they are. Nothing is kept on a machine of its own.
+    planner how large they are. Nothing is kept on a machine of its own. The folder goes when
+    it is deleted, or else when the session's driver ends.
     """
 
     def __init__(self, spark: SparkSession, parent: str | None = None) -> None:
         self.spark = spark
         self.path = f"{parent or shared_folder(spark)}/work-{uuid.uuid4().hex}"
+        path, files = self._located()
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _located(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def delete(self) -> None:
         """Remove the folder; what was read from it must have been stored elsewhere."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, files = self._located()
         files.delete(path, True)
+        files.cancelDeleteOnExit(path)
 
     def write(
         self, name: str, df: DataFrame, partition_by: Sequence[str] = ()
