@@ -99,10 +99,19 @@ def package_columns(path: Column) -> dict[str, Column]:
 
 
 def load_full(
-    spark: SparkSession, table: str, base: Package, extension: Package | None = None
+    spark: SparkSession,
+    table: str,
+    base: Package,
+    extension: Package | None = None,
+    since: int | None = None,
 ) -> DataFrame:
-    """All versions of a table, base package first; one row per id and date."""
+    """All versions of a table, base package first; one row per id and date.
+
+    With `since` only those after that date, for a release that is added to another.
+    """
     loaded = read_files(spark, table, "Full", base, extension, FULL_TABLES[table])
+    if since is not None:
+        loaded = loaded.where(F.col("effectiveTime") > since)
     return first_loaded(loaded, _ORDER).select(*FULL_TABLES[table].names)
 
 
@@ -165,14 +174,13 @@ def _read(
         for field in schema
         if isinstance(field.dataType, StringType)
     }
-    # A path's place among the sorted ones stands for it in the shuffle. Local paths are
-    # listed with three slashes, but rows have them with one.
-    paths = sorted(re.sub("^file:/+", "file:/", path) for path in rows.inputFiles())
-    place = F.array_position(F.array(*map(F.lit, paths)), F.col("_metadata.file_path"))
+    # Where a pattern stands for several files, rows carry their path and are ordered by it:
+    # the plan does not grow with the number of files, nor are they listed in the driver.
+    several = F.col("_metadata.file_path") if "*" in path else F.lit("")
     position = {
         "_package": F.lit(package),
         "_file": F.lit(file),
-        "_path": place,
+        "_path": several,
         "_block": F.col("_metadata.file_block_start"),
         "_row": F.monotonically_increasing_id(),
     }
