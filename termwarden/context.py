@@ -91,6 +91,12 @@ class CheckContext:
             raise ValueError(f"the stored tables were built with another {', '.join(differing)}")
         return replace(self, **overrides)
 
+    def at_release(self, name: str, overrides: dict) -> CheckContext:
+        """This context at the dates of another release, for tables that are built on these."""
+        date = release_date_of(name)
+        dates = {"release_date": date, "base_release_date": previous_base_release(date)}
+        return replace(self.reopened(overrides), **dates)
+
     def text_key(self, col: Column) -> Column:
         """`col` as a comparison key: binary, or under the configured collation."""
         return F.collate(col, self.collation) if self.collation else col

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termwarden.context import CheckContext
 from termwarden.functions.text import semantic_tag
 from termwarden.operators.versions import first_by
+from termwarden.sources.scratch import WorkFolder
 
 
 def fully_specified_names(descriptions_snap: DataFrame, ctx: CheckContext) -> DataFrame:
@@ -47,6 +48,40 @@ def with_names(
     )
 
 
+def renamed(
+    named_before: DataFrame,
+    concepts_snap: DataFrame,
+    descriptions_snap: DataFrame,
+    descriptions_before: DataFrame,
+    published_concepts: DataFrame,
+    published_descriptions: DataFrame,
+    ctx: CheckContext,
+    work: WorkFolder,
+) -> DataFrame:
+    """`with_names` of the new snapshots, from that of the old ones.
+
+    Only concepts that have new versions, or that a description with new versions names or
+    named, are looked up again.
+    """
+    moved = descriptions_before.join(published_descriptions.select("id"), "id", "left_semi")
+    asked = work.write(
+        "asked",
+        published_concepts.select("id")
+        .unionByName(published_descriptions.select(F.col("conceptId").alias("id")))
+        .unionByName(moved.select(F.col("conceptId").alias("id")))
+        .distinct(),
+    )
+    of_them = asked.select(F.col("id").alias("conceptId"))
+    columns = named_before.columns
+    again = with_names(
+        concepts_snap.join(asked, "id", "left_semi").select(*concepts_snap.columns),
+        descriptions_snap.join(of_them, "conceptId", "left_semi").select(*descriptions_snap.columns),
+        ctx,
+    )
+    kept = named_before.join(asked, "id", "left_anti").select(*columns)
+    return kept.unionByName(again.select(*columns))
+
+
 def with_package_names(
     concepts: DataFrame, descriptions: DataFrame, ctx: CheckContext
 ) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termwarden.context import CheckContext
+
 VERSION_KEY = ("id", "effectiveTime")
 
 
@@ -33,6 +35,29 @@ def snapshot(df: DataFrame) -> DataFrame:
     return first_by(df, ("id",), (F.desc("effectiveTime"),))
 
 
+def merged(snapshot_before: DataFrame, published: DataFrame) -> DataFrame:
+    """The snapshot after `published` versions have been added to the history of another.
+
+    Only components with new versions are ranked. The rest of the snapshot is kept as it
+    is, by a join with the published ids, which is a broadcast where those are few.
+    """
+    ids = published.select("id")
+    columns = snapshot_before.columns
+    touched = snapshot_before.join(ids, "id", "left_semi").select(*columns)
+    kept = snapshot_before.join(ids, "id", "left_anti").select(*columns)
+    return kept.unionByName(snapshot(touched.unionByName(published.select(*columns))))
+
+
+def unpublished(history: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Of `loaded` rows those whose key the history does not hold yet.
+
+    The history is read at the dates of the loaded rows alone, mostly one.
+    """
+    dates = [row.effectiveTime for row in loaded.select("effectiveTime").distinct().collect()]
+    there = history.where(F.col("effectiveTime").isin(dates)).select(*VERSION_KEY)
+    return loaded.join(there, list(VERSION_KEY), "left_anti").select(*loaded.columns)
+
+
 def extension_changes(
     concepts: DataFrame, release_date: int, extension_module: int
 ) -> DataFrame:
@@ -51,3 +76,17 @@ def extension_changes(
         .agg(F.count(F.lit(1)).alias("versions"))
     )
     return versions.join(published, "id").where("active IS NOT NULL")
+
+
+def language_terms(descriptions: DataFrame, ctx: CheckContext) -> DataFrame:
+    """Active versions of extension-language terms per concept, `(conceptId, terms)`."""
+    active = (F.col("active") == 1) & (F.col("languageCode") == ctx.extension_language)
+    return descriptions.where(active).groupBy("conceptId").agg(F.count(F.lit(1)).alias("terms"))
+
+
+def added_counts(before: DataFrame, more: DataFrame, key: str, count: str) -> DataFrame:
+    """Counts by key with others added: only the keys of the latter are summed again."""
+    touched = before.join(more.select(key), key, "left_semi").select(key, count)
+    kept = before.join(more.select(key), key, "left_anti").select(key, count)
+    summed = touched.unionByName(more).groupBy(key).agg(F.sum(count).alias(count))
+    return kept.unionByName(summed)

@@ -22,7 +22,8 @@ class CheckSpec:
 
     A nested check builds a relation with a `param` column and is asked for one value
     of it, or, as a second argument, for the values of a frame with that column.
-    `param_type` converts what callers pass, typically text.
+    `param_type` converts what callers pass, typically text. A check with a `lookup` has a
+    shorter way to the rows of one value.
     """
 
     id: str
@@ -30,7 +31,7 @@ class CheckSpec:
     build: Callable[..., DataFrame]
     nested: bool = False
     param_type: type = str
-    collated_param: bool = False
+    lookup: Callable[[Release, Param], DataFrame] | None = None
     sql: str | None = field(default=None, repr=False)
 
     @property
@@ -79,11 +80,10 @@ class Catalogue:
             return check.build(release)
         if param is None or param == "":
             raise ValueError(f"check {check_id} needs a parameter")
-        value = F.lit(check.param_type(param))
-        column = F.col("param")
-        if check.collated_param:
-            column, value = release.context.text_key(column), release.context.text_key(value)
-        return check.build(release).where(column == value).drop("param")
+        value = check.param_type(param)
+        if check.lookup:
+            return check.lookup(release, value)
+        return check.build(release).where(F.col("param") == F.lit(value)).drop("param")
 
     def explain(
         self,
@@ -200,7 +200,7 @@ CATALOGUE = Catalogue(
             "Concepts that have one term",
             descriptions.concepts_with_term,
             nested=True,
-            collated_param=True,
+            lookup=descriptions.concepts_of_term,
         ),
         CheckSpec(
             "active-langrefset-en-descriptions",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwarden.functions.text import in_namespace
+from termwarden.plans.checks.rowwise import descriptions_for
 from termwarden.plans.release import Release
 
 # Over the versions and the `active` flag of what the extension published.
@@ -129,28 +130,30 @@ def identifiers_outside_namespace(release: Release) -> DataFrame:
     """
     ctx = release.context
 
+    def labelled(kind: str, rows: DataFrame, term: Column) -> DataFrame:
+        return rows.select(
+            F.lit(kind).alias("typ"),
+            F.col("id").cast("string").alias("id"),
+            term.cast("string").alias("term"),
+            "effectiveTime",
+        )
+
     def part(kind: str, table: str, tested: str, term: Column) -> DataFrame:
-        return (
-            release.table(table)
-            .where(
-                (F.col("moduleId") == ctx.extension_module)
-                & (F.col("active") == 1)
-                & ~in_namespace(F.col(tested), ctx.namespaces)
-            )
-            .select(
-                F.lit(kind).alias("typ"),
-                F.col("id").cast("string").alias("id"),
-                term.cast("string").alias("term"),
-                "effectiveTime",
-            )
+        found = release.table(table).where(
+            (F.col("moduleId") == ctx.extension_module)
+            & (F.col("active") == 1)
+            & ~in_namespace(F.col(tested), ctx.namespaces)
         )
+        return labelled(kind, found, term)
 
     component = "referencedComponentId"
     axiom = F.concat_ws(" : ", F.col(component).cast("string"), F.col("owlExpression"))
     # What the kinds are called in the result.
     return (
         part("begrepp", "concepts_snap2", "id", F.col("fsn"))
-        .unionByName(part("beskrivning", "descriptions_snap", "id", F.col("term")))
+        .unionByName(
+            labelled("beskrivning", descriptions_for(release, "se-module-with-non-se-ids"), F.col("term"))
+        )
         .unionByName(part("relation", "relationships_snap", "id", F.col("sourceId")))
         .unionByName(
             part("lang-refset", "languagerefsets_snap", component, F.col(component))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termwarden.functions.text import has_irregular_characters, has_stray_spaces
+from termwarden.operators import terms
 from termwarden.operators.skew import split_join
+from termwarden.plans.checks.rowwise import descriptions_for
 from termwarden.plans.release import Release
 
 
@@ -55,6 +56,7 @@ def new_translations(release: Release) -> DataFrame:
         release.table("concepts")
         .where(F.col("moduleId") != ctx.extension_module)
         .select(F.col("id").alias("conceptId"))
+        .join(per_concept.select("conceptId"), "conceptId", "left_semi")
         .distinct()
     )
     return _total(per_concept.join(elsewhere, "conceptId", "left_semi"), F.col("n"))
@@ -64,18 +66,15 @@ def new_synonyms(release: Release) -> DataFrame:
     """Active descriptions of the release whose concept has several current terms.
 
     The terms are active ones in the extension language; the counted descriptions may
-    be in any language and module.
+    be in any language and module. The snapshot is cut to the release's concepts first.
     """
     ctx = release.context
-    published = (
-        release.table("descriptions")
-        .where((F.col("active") == 1) & (F.col("effectiveTime") == ctx.release_date))
-        .groupBy("conceptId")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    published = _published_per_concept(release)
     several = (
         release.table("descriptions_snap")
         .where((F.col("active") == 1) & (F.col("languageCode") == ctx.extension_language))
+        .select("conceptId")
+        .join(published.select("conceptId"), "conceptId", "left_semi")
         .groupBy("conceptId")
         .agg(F.count(F.lit(1)).alias("terms"))
         .where("terms > 1")
@@ -86,24 +85,22 @@ def new_synonyms(release: Release) -> DataFrame:
 def new_synonyms_over_history(release: Release) -> DataFrame:
     """As `new_synonyms`, but counting all versions of the terms: `(ct)`.
 
-    Both counts come from one pass over the full table.
+    Their numbers are stored with the release, so that the history is not read again.
     """
-    ctx = release.context
-    in_language = F.col("languageCode") == ctx.extension_language
-    per_concept = (
+    several = release.table("language_terms").where("terms > 1").select("conceptId")
+    published = _published_per_concept(release)
+    return _total(published.join(several, "conceptId"), F.col("n"))
+
+
+def _published_per_concept(release: Release) -> DataFrame:
+    """Active descriptions the release published, `(conceptId, n)`."""
+    published = (F.col("active") == 1) & (F.col("effectiveTime") == release.context.release_date)
+    return (
         release.table("descriptions")
-        .where(
-            (F.col("active") == 1)
-            & (in_language | (F.col("effectiveTime") == ctx.release_date))
-        )
+        .where(published)
         .groupBy("conceptId")
-        .agg(
-            F.count_if(F.col("effectiveTime") == ctx.release_date).alias("n"),
-            F.count_if(in_language).alias("terms"),
-        )
-        .where("terms > 1")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return _total(per_concept, F.col("n"))
 
 
 def inactivated_descriptions(release: Release) -> DataFrame:
@@ -123,18 +120,13 @@ def inactivated_descriptions(release: Release) -> DataFrame:
 
 def irregular_characters(release: Release) -> DataFrame:
     """Terms with characters that terms should not have."""
-    found = (
-        _active_extension_terms(release)
-        .where(has_irregular_characters(F.col("term")))
-        .select("id", "conceptId", "term", "languageCode")
-    )
+    found = descriptions_for(release, "funky-chars").select("id", "conceptId", "term", "languageCode")
     return release.in_order(found, "languageCode", "term", "id")
 
 
 def stray_spaces(release: Release) -> DataFrame:
     """Terms with leading, trailing or repeated whitespace, `(id, term)`."""
-    terms = _active_extension_terms(release)
-    return terms.where(has_stray_spaces(F.col("term"))).select("id", "term")
+    return descriptions_for(release, "descriptions-spaces").select("id", "term")
 
 
 def duplicate_terms(release: Release) -> DataFrame:
@@ -175,45 +167,26 @@ def duplicate_terms(release: Release) -> DataFrame:
 
 
 def concepts_with_term(release: Release, params: DataFrame | None = None) -> DataFrame:
-    """Active concepts by active extension term, `(param, id, term, fsn)`."""
-    terms = _active_extension_terms(release).select("id", "conceptId", "term")
-    if params is not None:
-        terms = _having_terms(release, terms, params)
-    concepts = (
-        release.table("concepts_snap2")
-        .where("active = 1")
-        .select(F.col("id").alias("conceptId"), "fsn")
-    )
-    joined = split_join(
-        terms, concepts, ["conceptId"], release.table("hot_concepts_described"), spread="id"
-    )
-    return joined.select(
-        F.col("term").alias("param"), F.col("conceptId").alias("id"), "term", "fsn"
-    )
-
-
-def _having_terms(release: Release, terms: DataFrame, params: DataFrame) -> DataFrame:
-    """`terms` with a term among `params`, under the configured comparison.
+    """Active concepts by active extension term, `(param, id, term, fsn)`.
 
-    Spellings are told apart by how often each occurs, so under a collation a hot term is
-    split by the spelling it has most rows in.
+    With `params` those of the terms in its column `param`, under the configured
+    comparison. Frequent terms are told by their comparison key, whatever their spellings.
     """
-    key = release.context.text_key
-    wanted = params.select(key(F.col("param")).alias("_key")).distinct()
-    hot = (
-        release.table("hot_terms")
-        .groupBy(key(F.col("term")).alias("_key"))
-        .agg(F.max("slices").alias("slices"))
+    index = release.by_term("term_index")
+    if params is not None:
+        wanted = terms.keys_of(params, release.by_term("term_keys"), release.context)
+        hot = release.by_term("hot_terms")
+        index = split_join(index, wanted, ["key"], hot, spread="id", how="left_semi")
+    return index.select(
+        F.col("term").alias("param"), F.col("conceptId").alias("id"), "term", "fsn"
     )
-    keyed = terms.withColumn("_key", key(F.col("term")))
-    return split_join(keyed, wanted, ["_key"], hot, spread="id", how="left_semi").drop("_key")
 
 
-def _active_extension_terms(release: Release) -> DataFrame:
-    return release.table("descriptions_snap").where(
-        (F.col("active") == 1)
-        & (F.col("moduleId") == release.context.extension_module)
-    )
+def concepts_of_term(release: Release, term: str) -> DataFrame:
+    """`concepts_with_term` of one term: read from where the index has its key."""
+    key = terms.key_of(term, release.by_term("term_keys"), release.context)
+    found = release.by_term("term_index").where(F.col("key") == F.lit(key).cast("string"))
+    return found.select(F.col("conceptId").alias("id"), "term", "fsn")
 
 
 def _total(df: DataFrame, value: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwarden.operators.skew import repeat_rows, split_join
+from termwarden.plans.checks.rowwise import descriptions_for
 from termwarden.plans.release import Release
 
 
@@ -99,15 +100,8 @@ def base_language_members(release: Release) -> DataFrame:
         )
         .select("id", "referencedComponentId", "refsetId")
     )
-    descriptions = (
-        release.table("descriptions_snap")
-        .where(
-            (F.col("active") == 1)
-            & (F.col("languageCode") == ctx.base_language)
-            & (F.col("moduleId") == ctx.extension_module)
-        )
-        .select(F.col("id").alias("referencedComponentId"), "term")
-    )
+    found = descriptions_for(release, "active-langrefset-en-descriptions")
+    descriptions = found.select(F.col("id").alias("referencedComponentId"), "term")
     joined = split_join(
         members,
         descriptions,

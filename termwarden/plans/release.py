@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from copy import copy
 from threading import Lock
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termwarden.context import CheckContext
-from termwarden.operators import closure, hierarchies, names, refsets, skew, versions
+from termwarden.operators import closure, hierarchies, names, refsets, skew, terms, versions
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.packages import Package, load_full, release_name
 from termwarden.session import configure
@@ -62,12 +62,69 @@ _DERIVED: dict[str, Callable[[Release, WorkFolder], DataFrame]] = {
     "refset_concepts": lambda r, work: refsets.refset_concepts(
         r.table("refsets"), r.table("concepts_snap2")
     ),
+    "language_terms": lambda r, work: versions.language_terms(r.table("descriptions"), r.context),
+}
+
+#: Tables that hang on how terms are compared.
+_BY_TERM: dict[str, Callable[[Release, WorkFolder], DataFrame]] = {
+    "term_index": lambda r, work: terms.term_index(
+        r.table("descriptions_snap"),
+        r.table("concepts_snap2"),
+        r.table("hot_concepts_described"),
+        r.context,
+        work,
+    ),
+    "term_keys": lambda r, work: terms.term_keys(r.by_term("term_index"), r.context),
+    "hot_terms": lambda r, work: skew.hot_keys(
+        r.by_term("term_index"), "key", r.rows_per_task
+    ).coalesce(1),
+}
+
+#: What a release that was added to another derives from that one and the new rows alone.
+_ADDED: dict[str, Callable[[Release, Release, WorkFolder], DataFrame]] = {
+    **{
+        snapshot: lambda r, before, work, snapshot=snapshot, table=table: versions.merged(
+            before.table(snapshot), r.published(table)
+        )
+        for snapshot, table in _SNAPSHOTS.items()
+    },
+    "concepts_snap2": lambda r, before, work: names.renamed(
+        before.table("concepts_snap2"),
+        r.table("concepts_snap"),
+        r.table("descriptions_snap"),
+        before.table("descriptions_snap"),
+        r.published("concepts"),
+        r.published("descriptions"),
+        r.context,
+        work,
+    ),
+    "transitiveclosure": lambda r, before, work: closure.updated_closure(
+        before.table("transitiveclosure"),
+        closure.changed_subtypes(
+            before.table("concepts_snap"),
+            r.table("concepts_snap"),
+            before.table("relationships_snap"),
+            r.table("relationships_snap"),
+            r.published("concepts"),
+            r.published("relationships"),
+            r.context,
+        ),
+        r.table("concepts_snap"),
+        r.table("relationships_snap"),
+        r.context,
+        work,
+    ),
+    "language_terms": lambda r, before, work: versions.added_counts(
+        before.table("language_terms"),
+        versions.language_terms(r.published("descriptions"), r.context),
+        "conceptId",
+        "terms",
+    ),
 }
 
 #: Columns that checks join row by row, and of which one value may hold many rows.
 _HOT_COLUMNS = {
     "hot_concepts_described": ("descriptions_snap", "conceptId"),
-    "hot_terms": ("descriptions_snap", "term"),
     "hot_language_members": ("languagerefsets_snap", "referencedComponentId"),
     "hot_language_refsets": ("languagerefsets_snap", "refsetId"),
     "hot_simple_members": ("simplerefsets_snap", "referencedComponentId"),
@@ -75,7 +132,7 @@ _HOT_COLUMNS = {
 }
 
 #: Everything a complete release holds, in an order that derives nothing twice.
-TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED, *_HOT_COLUMNS)
+TABLES = (*FULL_TABLES, *_SNAPSHOTS, *_DERIVED, *_HOT_COLUMNS, *_BY_TERM)
 
 _PARTITIONS = (
     dict.fromkeys(FULL_TABLES, ("effectiveTime",))
@@ -89,7 +146,9 @@ class Release:
 
     `full` gives the component tables, as DataFrames or as functions that make them.
     A table is derived when first asked for, stored, and read from the store from then
-    on: checks share the snapshots and the closure instead of repeating them.
+    on: checks share the snapshots and the closure instead of repeating them. Each object
+    that derives tables is a build of its own in the store; other builds of the release
+    are left alone, and `build` lists it in place of the one listed before.
     """
 
     def __init__(
@@ -109,10 +168,16 @@ class Release:
         self.store = store or ReleaseStore(spark, self.own_folder().path)
         self.rows_per_task = rows_per_task
         self.ordered = True
+        #: Rows of checks that share a scan, once it has been made.
+        self.shared: DataFrame | None = None
+        self._built_collation = self.context.collation
         self._full = full
         self._tables: dict[str, DataFrame] = {}
         self._locks: defaultdict[str, Lock] = defaultdict(Lock)
-        self._withdrawn = False
+        self._build_id = self.store.new_build()
+        self._before: Release | None = None
+        self._earlier: tuple[tuple[str, str], ...] = ()
+        self._published: dict[str, DataFrame] = {}
 
     @classmethod
     def load(
@@ -131,6 +196,41 @@ class Release:
         }
         return cls(spark, name, full, CheckContext.for_release(name, **overrides), store)
 
+    @classmethod
+    def load_next(
+        cls, before: Release, base: Package, extension: Package | None = None, **overrides
+    ) -> Release:
+        """The release after `before`, from package folders.
+
+        Of their full tables only rows since `before`'s last base release are ranked.
+        """
+        since = before.context.base_release_date
+        published = {
+            table: lambda table=table: load_full(before.spark, table, base, extension, since)
+            for table in FULL_TABLES
+        }
+        return cls.added(before, release_name(base, extension), published, **overrides)
+
+    @classmethod
+    def added(
+        cls,
+        before: Release,
+        name: str,
+        published: Mapping[str, DataFrame | Callable[[], DataFrame]],
+        **overrides,
+    ) -> Release:
+        """The release that `published` rows make of the stored release `before`.
+
+        Its full tables are those of `before` and the rows whose keys are new, which alone
+        are stored. Snapshots, names and the closure are changed where the new rows ask for
+        it; the history is not ranked again. What they were built with cannot change.
+        """
+        context = before.context.at_release(name, overrides)
+        release = cls(before.spark, name, published, context, before.store, before.rows_per_task)
+        release._before = before
+        release._earlier = (*before._earlier, (before.name, before._build_id))
+        return release
+
     @classmethod
     def open(cls, store: Store, name: str, **overrides) -> Release:
         """A release the store holds complete, with the context it was built with.
@@ -138,34 +238,42 @@ class Release:
         `overrides` may change what only checks read; another value for a field that
         stored tables depend on raises.
         """
-        context = store.context(name)
-        if context is None:
+        listing = store.listing(name)
+        if listing is None:
             raise KeyError(f"no such release: {name}")
-        context = CheckContext.from_json(context).reopened(overrides)
-        release = cls(store.spark, name, {}, context, store)
+        built = CheckContext.from_json(listing.context)
+        release = cls(store.spark, name, {}, built.reopened(overrides), store)
+        release._built_collation = built.collation
+        release._build_id, release._earlier = listing.build, listing.earlier
         for table in TABLES:
-            release._tables[table] = store.read(table, name, _schema_of(table))
+            release._tables[table] = store.read(table, name, _schema_of(table), listing)
         return release
 
     def table(self, name: str) -> DataFrame:
         """A stored table; the first caller derives it, others wait for that table only."""
         with self._locks[name]:
             if name not in self._tables:
-                with self._locks[""]:
-                    if not self._withdrawn:
-                        self.store.withdraw(self.name)
-                        self._withdrawn = True
                 work = self.work()
-                self._tables[name] = self.store.write(
+                stored = self.store.write(
                     name,
                     self.name,
+                    self._build_id,
                     self._derive(name, work),
                     _PARTITIONS.get(name, ()),
                     gather=name in FULL_TABLES,
                 )
+                if name in FULL_TABLES and self._before is not None:
+                    self._published[name] = stored
+                    stored = self._before.table(name).unionByName(stored)
+                self._tables[name] = stored
                 work.delete()
             return self._tables[name]
 
+    def published(self, table: str) -> DataFrame:
+        """The rows of a full table that this release adds to the one before."""
+        self.table(table)
+        return self._published[table]
+
     def build(self, parallel: int = 4) -> Release:
         """Derive and store every table, then list the release as complete.
 
@@ -174,7 +282,9 @@ class Release:
         """
         with ThreadPoolExecutor(parallel) as pool:
             list(pool.map(self.table, TABLES))
-        self.store.add_release(self.name, self.context.to_json())
+        self.store.add_release(
+            self.name, self.context.to_json(), self._build_id, self._earlier
+        )
         return self
 
     def unordered(self) -> Release:
@@ -196,13 +306,28 @@ class Release:
             self._own = self.work()
         return self._own
 
-    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def kept(
+        self, name: str, make: Callable[[], DataFrame], partition_by: Sequence[str] = ()
+    ) -> DataFrame:
         """A result stored beside the release, made when first asked for."""
         with self._locks[f"kept {name}"]:
             if name not in self._tables:
-                self._tables[name] = self.own_folder().write(name, make())
+                self._tables[name] = self.own_folder().write(name, make(), partition_by)
             return self._tables[name]
 
+    def by_term(self, name: str) -> DataFrame:
+        """A table of terms under the comparison of this release's context.
+
+        Those stored have the comparison of the build; under another one they are made
+        anew and kept beside the release.
+        """
+        if self.context.collation == self._built_collation:
+            return self.table(name)
+        work = self.work()
+        made = self.kept(f"{name} {self.context.collation}", lambda: _BY_TERM[name](self, work))
+        work.delete()
+        return made
+
     def close(self) -> None:
         """Remove what was stored for this object alone."""
         if self._own is not None:
@@ -212,11 +337,18 @@ class Release:
     def _derive(self, name: str, work: WorkFolder) -> DataFrame:
         if name in self._full:
             source = self._full[name]
-            return source() if callable(source) else source
+            rows = source() if callable(source) else source
+            if self._before is not None:
+                return versions.unpublished(self._before.table(name), work.write("loaded", rows))
+            return rows
+        if self._before is not None and name in _ADDED:
+            return _ADDED[name](self, self._before, work)
         if name in _SNAPSHOTS:
             return versions.snapshot(self.table(_SNAPSHOTS[name]))
         if name in _DERIVED:
             return _DERIVED[name](self, work)
+        if name in _BY_TERM:
+            return _BY_TERM[name](self, work)
         if name in _HOT_COLUMNS:
             table, column = _HOT_COLUMNS[name]
             # At most a five-millionth of the rows: one file, which joins broadcast.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from termwarden.plans.catalogue import CATALOGUE, Catalogue, CheckSpec, Param
+from termwarden.plans.checks.rowwise import sharing_scans
 from termwarden.plans.release import Release
 
 
@@ -64,9 +65,9 @@ def run_all(
 
     Rows are counted while they are written. Shared tables are stored before the checks
     start; some checks then run side by side, so that small ones do not leave a cluster
-    idle.
+    idle. Checks that look at single descriptions share one scan of them.
     """
-    release.build()
+    release = sharing_scans(release.build())
 
     def write(check: CheckSpec) -> tuple[str, int]:
         seen = Observation()
