@@ -21,6 +21,7 @@ from termwarden.functions.dates import previous_base_release_column, release_dat
 from termwarden.operators import closure, hierarchies, names, refsets, versions
 from termwarden.plans import report
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS, Catalogue, sql_check
+from termwarden.plans.checks import descriptions
 from termwarden.plans.release import TABLES, Release
 from termwarden.schemas import FULL_TABLES, SNAPSHOT_PACKAGE_TABLES
 from termwarden.sources.packages import load_full, load_snapshot, package_columns
@@ -37,6 +38,12 @@ PARAMETERS = {
     "multi-desc-lang-refset": 1000052105,
 }
 
+#: A release is cut here into one that is stored and what another one adds to it.
+SPLIT = 20001130
+BEFORE, AFTER = "snomed_full_SE1000052_20001130", "snomed_full_SE1000052_20011130"
+#: How terms are compared in the collated form of the lookups.
+COLLATION = "UTF8_LCASE"
+
 #: Stored under other context than the fixtures', to see that it is kept.
 OTHER_MODULE = CORE_MODULE
 #: A hot key in the sliced form of the checks has more rows than this.
@@ -44,6 +51,7 @@ SLICE = 20
 
 _releases: dict[tuple[str, str], Release] = {}
 _packages: dict[tuple[str, str], FixturePackages] = {}
+_extended: dict[str, Release] = {}
 
 
 def release_of(spark: SparkSession, sf_dir: str) -> Release:
@@ -86,6 +94,11 @@ def queries() -> dict[str, Query]:
         registered[f"sliced_{check_id.replace('-', '_')}"] = _on_release(
             lambda r, check_id=check_id: CATALOGUE.run(check_id, _sliced(r), PARAMETERS.get(check_id))
         )
+    for table in FULL_TABLES:
+        if table != "owlrefsets":
+            registered[f"extended_snapshot_{table}"] = _on_release(
+                lambda r, table=table: extended_of(r).table(f"{table}_snap")
+            )
     for check in STATISTICS:
         registered[f"stat_{check.id.replace('-', '_')}"] = _on_release(check.build)
     return registered
@@ -115,6 +128,65 @@ def _stored(release: Release, store, name: str, **overrides) -> Release:
     return Release(release.spark, name, full, replace(release.context, **overrides), store)
 
 
+def extended_of(release: Release) -> Release:
+    """The fixture's release, made by adding its last dates to a stored one without them."""
+    key = release.own_folder().path
+    if key not in _extended:
+        store = ReleaseStore(release.spark, WorkFolder(release.spark).path)
+        time = F.col("effectiveTime")
+        part = lambda rows: {t: release.table(t).where(rows) for t in FULL_TABLES}
+        dates = {"release_date": SPLIT, "base_release_date": 20000131}
+        context = replace(release.context, **dates)
+        Release(release.spark, BEFORE, part(time <= SPLIT), context, store).build()
+        # What is loaded again with the new rows, as from full files, is there already.
+        _extended[key] = Release.added(
+            Release.open(store, BEFORE), AFTER, part(time >= SPLIT)
+        ).build()
+    return _extended[key]
+
+
+def _reopened_extension(release: Release) -> DataFrame:
+    """Rows by date of a table that is stored in the parts of two builds."""
+    extended = extended_of(release)
+    opened = Release.open(extended.store, extended.name)
+    rows = opened.table("descriptions").groupBy("effectiveTime")
+    return rows.agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _read_while_rebuilt(release: Release, kind: str) -> DataFrame:
+    """Active concepts that readers see who opened a release before and after a rebuild."""
+    spark, folder = release.spark, WorkFolder(release.spark).path
+    store = ReleaseStore(spark, folder) if kind == "files" else CatalogStore(spark, folder, 4)
+    name = f"a{folder.rpartition('-')[2]}_snomed_full_{SPLIT}"
+    rows = lambda r, reader: r.table("concepts_snap").where("active = 1").agg(
+        F.lit(reader).alias("reader"), F.count(F.lit(1)).alias("concepts")
+    )
+    first = _stored(release, store, name)
+    first._full["concepts"] = release.table("concepts").where(F.col("effectiveTime") <= SPLIT)
+    first.build()
+    early = Release.open(store, name)
+    _stored(release, store, name).build()
+    late = Release.open(store, name)
+    return rows(early, "before").unionByName(rows(late, "after"))
+
+
+def _collated(release: Release) -> Release:
+    """The sliced release with terms compared without regard to case."""
+    collated = _sliced(release)
+    collated.context = replace(release.context, collation=COLLATION)
+    return collated
+
+
+def _collated_lookup(release: Release) -> DataFrame:
+    """Concepts of terms that are asked for in capitals, as drill-downs ask."""
+    asked = release.table("concepts_snap2").where("id % 3 = 0")
+    terms = release.table("descriptions_snap").join(
+        asked.select(F.col("id").alias("conceptId")), "conceptId", "left_semi"
+    )
+    params = terms.select(F.upper("term").alias("param")).distinct()
+    return descriptions.concepts_with_term(_collated(release), params)
+
+
 def _reopened_changes(release: Release) -> DataFrame:
     """Changes of another module's concepts, from a release that was stored and opened."""
     store = ReleaseStore(release.spark, WorkFolder(release.spark).path)
@@ -262,6 +334,17 @@ _OPERATORS: dict[str, Callable[[Release], DataFrame]] = {
     "run_all_checks": _run_all,
     "sql_check_published": lambda r: _own_checks().run("published", r),
     "sql_check_terms_of": lambda r: _own_checks().run("terms-of", r, 20001000052105),
+    "extended_closure": lambda r: extended_of(r).table("transitiveclosure"),
+    "extended_named_concepts": lambda r: extended_of(r).table("concepts_snap2"),
+    "extended_language_terms": lambda r: extended_of(r).table("language_terms"),
+    "extended_rows_reopened": _reopened_extension,
+    "read_while_rebuilt_files": lambda r: _read_while_rebuilt(r, "files"),
+    "read_while_rebuilt_catalog": lambda r: _read_while_rebuilt(r, "catalog"),
+    "collated_concept_duplicate": lambda r: CATALOGUE.run(
+        "concept-duplicate", _collated(r), PARAMETERS["concept-duplicate"].upper()
+    ),
+    "collated_concepts_with_terms": _collated_lookup,
+    "term_index": lambda r: r.table("term_index"),
     "release_dates": _release_dates,
     "matching_releases": _matching_releases,
     "named_concepts": lambda r: names.with_names(

@@ -206,6 +206,17 @@ CHECKS = {
         GROUP BY ALL""",
     "stat_new_concepts_by_term": _new_per_hierarchy("term"),
     "stat_new_synonyms": _synonyms("descriptions"),
+    "term_index": f"""
+        SELECT d.term AS key, d.id, d.conceptId, d.term, c.fsn
+        FROM concepts_snap2 c JOIN descriptions_snap d ON d.conceptId = c.id
+        WHERE c.active = 1 AND d.active = 1 AND d.moduleId = {SE}""",
+    "collated_concept_duplicate": f"""
+        SELECT * EXCLUDE (param) FROM ({_TERM_CONCEPTS})
+        WHERE lower(param) = 'red widget (economy)'""",
+    "collated_concepts_with_terms": f"""
+        SELECT * FROM ({_TERM_CONCEPTS}) WHERE upper(param) IN (
+            SELECT upper(d.term) FROM descriptions_snap d JOIN concepts_snap2 c ON c.id = d.conceptId
+            WHERE c.id % 3 = 0)""",
 } | {
     name: f"SELECT * EXCLUDE (param) FROM ({sql}) WHERE param = {value}"
     for name, (sql, value) in NESTED.items()

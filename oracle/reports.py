@@ -53,6 +53,16 @@ def reports(checks: dict[str, str]) -> dict[str, str]:
         name: "SELECT true AS complete, count(*) AS concepts FROM concepts"
         for name in ("listed_releases_files", "listed_releases_catalog")
     }
+    rebuilt = {
+        f"read_while_rebuilt_{kind}": """
+            SELECT 'before' AS reader, count(*) AS concepts FROM (
+                FROM concepts SELECT id, active WHERE effectiveTime <= 20001130
+                QUALIFY row_number() OVER (PARTITION BY id ORDER BY effectiveTime DESC) = 1)
+            WHERE active = 1
+            UNION ALL
+            SELECT 'after', count(*) FROM concepts_snap WHERE active = 1"""
+        for kind in ("files", "catalog")
+    }
     own = {
         "sql_check_published": f"""
             SELECT moduleId, count(*) AS ct FROM concepts
@@ -62,4 +72,4 @@ def reports(checks: dict[str, str]) -> dict[str, str]:
             WHERE conceptId = 20001000052105 AND effectiveTime < {RELEASE_DATE}""",
     }
     all_of_them = {"all_envelopes": envelopes, "check_counts": counts, "run_all_checks": run_all}
-    return all_of_them | drills | sliced | stored | own
+    return all_of_them | drills | sliced | stored | rebuilt | own

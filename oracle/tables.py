@@ -206,7 +206,15 @@ _DESCENDANTS = """
 
 DERIVED = (
     {f"snapshot_{table}": f"SELECT * FROM {table}_snap" for table in COLUMNS if table != "owlrefsets"}
+    | {f"extended_snapshot_{table}": f"SELECT * FROM {table}_snap" for table in COLUMNS if table != "owlrefsets"}
     | {
+        "extended_closure": "SELECT * FROM transitiveclosure",
+        "extended_named_concepts": "SELECT * FROM concepts_snap2",
+        "extended_language_terms": """
+            SELECT conceptId, count(*) AS terms FROM descriptions
+            WHERE active = 1 AND languageCode = 'sv' GROUP BY conceptId""",
+        "extended_rows_reopened": """
+            SELECT effectiveTime, count(*) AS rows FROM descriptions GROUP BY effectiveTime""",
         "keyed_descriptions": "SELECT * FROM descriptions",
         "named_concepts": "SELECT * FROM concepts_snap2",
         "ambiguous_names": f"""

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import random
+from copy import copy
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,9 +11,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termwarden.operators import closure, hierarchies, names, ranking, refsets, skew, versions
+from termwarden.plans.catalogue import CATALOGUE
+from termwarden.plans.checks import rowwise
+from termwarden.plans.release import Release
+from termwarden.schemas import FULL_TABLES
 from termwarden.sources.scratch import WorkFolder
 from tests.micro import (
-    CORE, FSN, R, ROOT, SE, SYN, concept, description, frame, is_a, language, make_release, rows,
+    CORE, FSN, IS, R, ROOT, SE, SYN, concept, description, frame, is_a, language, make_release, rows,
     simple,
 )
 
@@ -83,14 +90,13 @@ def test_package_names_keep_all_concepts(spark):
     assert sorted(rows(named)) == [(1, "one (a)", "a"), (2, "two (b)", None), (3, "", "")]
 
 
-def run_closure(spark, concepts, edges, known_every=closure.KNOWN_EVERY):
+def run_closure(spark, concepts, edges):
     relationships = [is_a(i, a, b) for i, (a, b) in enumerate(edges)]
     result = closure.transitive_closure(
         frame(spark, "concepts", concepts),
         frame(spark, "relationships", relationships),
         make_release(spark).context,
         WorkFolder(spark),
-        known_every,
     )
     found = rows(result)
     assert len({pair[:2] for pair in found}) == len(found)
@@ -135,11 +141,10 @@ def test_closure_without_edges(spark):
     assert run_closure(spark, [concept(1)], []) == [(1, 1, 0)]
 
 
-@pytest.mark.parametrize("known_every", [2, 3, 16])
-def test_closure_ends_on_cycles(spark, known_every):
+def test_closure_ends_on_cycles(spark):
     edges = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (3, 6)]
     active = [1, 2, 4]
-    found = run_closure(spark, [concept(i) for i in active], edges, known_every)
+    found = run_closure(spark, [concept(i) for i in active], edges)
     assert found == shortest_paths(active, edges)
 
 
@@ -151,10 +156,75 @@ def test_closure_ends_on_cycles(spark, known_every):
     active=st.sets(st.integers(1, 7)),
 )
 def test_closure_of_any_graph(spark, edges, active):
-    found = run_closure(spark, [concept(i) for i in active], sorted(edges), known_every=4)
+    found = run_closure(spark, [concept(i) for i in active], sorted(edges))
     assert found == shortest_paths(sorted(active), edges)
 
 
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    """The rounds grow with the logarithm of the depth."""
+    depth, written = 1000, []
+    chain = spark.range(depth).selectExpr("id + 2 AS subtypeId", "id + 1 AS supertypeId")
+    write = WorkFolder.write
+    monkeypatch.setattr(
+        WorkFolder, "write", lambda self, name, *rest: written.append(name) or write(self, name, *rest)
+    )
+    pairs = closure.walks(chain, WorkFolder(spark))
+    assert len([name for name in written if name.startswith("length_")]) <= 12
+    assert pairs.count() == depth * (depth + 1) // 2
+    assert pairs.where("pathLength <> subtypeId - supertypeId").isEmpty()
+
+
+def release_steps(rng, nodes):
+    """Random versions of concepts and relationships at two dates, cycles included."""
+    def versions(make, ids, time):
+        return [make(i, time) for i in ids if rng.random() < 0.7]
+
+    def some_concept(i, time):
+        return concept(i, time=time, active=int(rng.random() < 0.8))
+
+    def some_edge(i, time):
+        ends = rng.randrange(1, nodes + 1), rng.randrange(1, nodes + 1)
+        return is_a(i, *ends, active=int(rng.random() < 0.8), time=time, type=IS if rng.random() < 0.9 else 7)
+
+    concepts = versions(some_concept, range(1, nodes + 1), 20100131)
+    edges = versions(some_edge, range(2 * nodes), 20100131)
+    new_concepts = [some_concept(i, 20100731) for i in rng.sample(range(1, nodes + 3), 2)]
+    new_edges = [some_edge(i, 20100731) for i in rng.sample(range(2 * nodes + 2), rng.randrange(4))]
+    return concepts, edges, new_concepts, new_edges
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_updated_closure_of_any_change(spark, seed):
+    rng = random.Random(seed)
+    concepts, edges, new_concepts, new_edges = release_steps(rng, 9)
+    ctx = make_release(spark).context
+    full = {
+        "before": (frame(spark, "concepts", concepts), frame(spark, "relationships", edges)),
+        "new": (frame(spark, "concepts", new_concepts), frame(spark, "relationships", new_edges)),
+    }
+    before = [versions.snapshot(df) for df in full["before"]]
+    after = [versions.merged(old, new) for old, new in zip(before, full["new"])]
+    old = closure.transitive_closure(*before, ctx, WorkFolder(spark))
+    changed = closure.changed_subtypes(
+        before[0], after[0], before[1], after[1], full["new"][0], full["new"][1], ctx
+    )
+    found = rows(closure.updated_closure(old, changed, *after, ctx, WorkFolder(spark)))
+    assert sorted(found) == sorted(rows(closure.transitive_closure(*after, ctx, WorkFolder(spark))))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merged_snapshot_is_that_of_all_versions(spark, seed):
+    """Versions may also come late, and for components that are new."""
+    rng = random.Random(seed)
+    dates = [20100131, 20100731, 20110131]
+    drawn = {(rng.randrange(20), rng.choice(dates)): rng.randrange(2) for _ in range(40)}
+    split = {key: rng.random() < 0.5 for key in drawn}
+    made = lambda late: [concept(i, time=t, active=a) for (i, t), a in drawn.items() if split[i, t] == late]
+    before, new = (frame(spark, "concepts", made(late)) for late in (False, True))
+    merged = versions.merged(versions.snapshot(before), new)
+    assert sorted(rows(merged)) == sorted(rows(versions.snapshot(before.unionByName(new))))
+
+
 def test_descendants_include_the_concept(spark):
     concepts = frame(spark, "concepts", [concept(1), concept(2), concept(3, active=0)])
     pairs = spark.createDataFrame(
@@ -248,8 +318,8 @@ def test_hot_rows_are_spread_over_slices(spark):
     assert "_slice" in plan
 
 
-def test_known_pairs_leave_the_frontier(spark):
-    """A ladder with many path lengths: rows entering a round stay below all pairs."""
+def test_every_pair_is_found_in_one_round(spark):
+    """A ladder with many ways of each length: rounds write what is new, and only that."""
     edges = [(i, i - 1) for i in range(2, 31)] + [(i, i - 2) for i in range(3, 31)]
     work = WorkFolder(spark)
     found = closure.transitive_closure(
@@ -259,9 +329,92 @@ def test_known_pairs_leave_the_frontier(spark):
         work,
     )
     assert sorted(rows(found)) == shortest_paths(range(1, 31), edges)
-    entered = [
-        spark.read.parquet(f"{work.path}/length_{n}").where("grows").count() for n in range(2, 15)
-    ]
-    # Without comparisons each round would hold hundreds of pairs met before.
-    assert sum(entered) < 3 * len(shortest_paths(range(1, 31), edges))
-    assert entered[-1] < max(entered)
+    written = [spark.read.parquet(f"{work.path}/length_{n}").count() for n in (1, 2, 4, 8, 16)]
+    assert sum(written) == len(shortest_paths(range(1, 31), edges)) - 30
+    assert all(written)
+
+
+def test_every_date_added_makes_the_same_release(spark, release):
+    """Snapshots, names, closure and counts of each date, added one after the other."""
+    time = F.col("effectiveTime")
+    dates = sorted(r[0] for r in release.table("concepts").select("effectiveTime").distinct().collect())
+    tables = ("concepts_snap", "descriptions_snap", "relationships_snap", "concepts_snap2",
+              "transitiveclosure", "language_terms")
+
+    def part(rows):
+        return {t: release.table(t).where(rows) for t in FULL_TABLES}
+
+    name = lambda date: f"snomed_full_SE1000052_{date}"
+    step = Release(spark, name(dates[-5]), part(time <= dates[-5]), release.context)
+    for before, date in zip(dates[-5:], dates[-4:]):
+        step = Release.added(step, name(date), part((time > before) & (time <= date)))
+        whole = Release(spark, name(date), part(time <= date), release.context)
+        for table in tables:
+            assert step.table(table).exceptAll(whole.table(table)).isEmpty(), (date, table)
+            assert step.table(table).count() == whole.table(table).count(), (date, table)
+
+
+def test_additions_read_new_dates_alone(spark, release):
+    history = release.table("descriptions")
+    new = release.work().write("new", history.where("effectiveTime = 20011130"))
+    plan = versions.unpublished(history, new)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [effectiveTime" in plan or "isnotnull(effectiveTime" in plan
+    assert "= 20011130" in plan
+    merged = versions.merged(release.table("descriptions_snap"), new)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    # The published ids are broadcast, and only the touched rows are shuffled and ranked.
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning(id") == 1
+
+
+def test_terms_are_looked_up_under_a_collation(spark):
+    """Spellings that compare equal have one key, however many there are and in any case."""
+    spellings = ["Ärm (x)", "ärm (X)", "ÄRM (x)  "]
+    release = make_release(
+        spark,
+        rows_per_task=5,
+        overrides={"collation": "UNICODE_CI_RTRIM"},
+        concepts=[concept(i) for i in range(1, 40)],
+        descriptions=[description(100 + i, i, f"name {i} (x)", "en", FSN) for i in range(1, 40)]
+        + [description(200 + i, i, spellings[i % 3]) for i in range(1, 40)],
+    )
+    assert release.table("term_index").where("id >= 200").select("key").distinct().count() == 1
+    # No spelling is frequent enough by itself.
+    assert [r.slices for r in release.table("hot_terms").collect()] == [8]
+    for term in (*spellings, "ärm (x)"):
+        assert CATALOGUE.run("concept-duplicate", release, term).count() == 39
+    assert CATALOGUE.run("concept-duplicate", release, "none").count() == 0
+    asked = spark.createDataFrame([("ÄRM (X)",), ("ärm (x)",), ("name 3 (X)",)], "param string")
+    assert CATALOGUE.get("concept-duplicate").build(release, asked).count() == 40
+    # Another comparison than that of the build has tables of its own.
+    exact = copy(release)
+    exact.context = replace(release.context, collation=None)
+    assert CATALOGUE.run("concept-duplicate", exact, "Ärm (x)").count() == 13
+    release.close()
+
+
+def test_a_term_is_read_from_few_row_groups(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        release = make_release(
+            spark,
+            concepts=[concept(i) for i in range(4000)],
+            descriptions=[description(i, i, f"term {i} (x)", "en", FSN) for i in range(4000)],
+        )
+        found = CATALOGUE.run("concept-duplicate", release, "term 77 (x)")
+        assert rows(found) == [(77, "term 77 (x)", "term 77 (x)")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert "PushedFilters: [IsNotNull(key), EqualTo(key,term 77 (x))]" in scan.toString()
+    assert scan.metrics().apply("numOutputRows").value() < 4000 / 2
+
+
+def test_checks_of_single_descriptions_share_a_scan(release):
+    shared = rowwise.sharing_scans(release)
+    assert rowwise.sharing_scans(shared) is shared
+    assert release.shared is None
+    for check_id in rowwise.CONDITIONS:
+        together, alone = CATALOGUE.run(check_id, shared), CATALOGUE.run(check_id, release)
+        assert sorted(map(str, together.collect())) == sorted(map(str, alone.collect()))
+        assert not any("/descriptions_snap/" in file for file in together.inputFiles())
+        assert any("/descriptions_snap/" in file for file in alone.inputFiles())

@@ -132,6 +132,21 @@ def test_simple_refsets_are_loaded_in_file_order(spark, packages):
     assert sorted(rows(loaded)) == [("s1", 100), ("s2", 1)]
 
 
+def test_plans_do_not_grow_with_the_number_of_files(spark, tmp_path):
+    """Many files of a pattern are ordered by their paths, not by a list in the plan."""
+    def loaded(number):
+        folder = tmp_path / str(number) / EXTENSION
+        for i in range(number):
+            put(folder, f"Full/Refset/Content/der2_Refset_S{i:05}Full_x.txt",
+                [HEADER + "refsetId\treferencedComponentId", line(f"s{i % 7}", R, 1, SE, 7, i)])
+        return load_full(spark, "simplerefsets", Package.extension(str(folder)))
+
+    few, many = loaded(2), loaded(1500)
+    assert sorted(r.referencedComponentId for r in many.collect()) == list(range(7))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(few) - size(many)) < 100
+
+
 def test_missing_files(spark, packages):
     assert load_full(spark, "owlrefsets", *packages).count() == 0
     # What is not said to be absent has to be there.
@@ -202,13 +217,77 @@ def test_stores(spark, release, tmp_path, kind):
     assert Release.open(store, release.name, core_module=1).context.core_module == 1
     with pytest.raises(ValueError, match="extension_module"):
         Release.open(store, release.name, extension_module=CORE)
-    # A rebuild takes the release off the list until it is complete again.
-    again = Release(spark, release.name, full, release.context, store)
+    # A rebuild leaves what is listed alone until it is complete, and its readers after that.
+    fewer = full | {"concepts": release.table("concepts").where("id % 3 = 0")}
+    again = Release(spark, release.name, fewer, release.context, store)
     again.table("concepts")
+    assert rows(Release.open(store, release.name).table("concepts").agg(F.count("*"))) == rows(
+        release.table("concepts").agg(F.count("*"))
+    )
+    again.build()
+    assert opened.table("concepts").exceptAll(release.table("concepts")).isEmpty()
+    assert opened.table("transitiveclosure").count() == release.table("transitiveclosure").count()
+    later = Release.open(store, release.name)
+    assert later.table("concepts").where("id % 3 <> 0").isEmpty()
+    if kind == "catalog":
+        assert spark.table(f"{release.name}.concepts").count() == later.table("concepts").count()
+    # Builds that are not listed are removed on request.
+    assert len(store.prune(release.name)) == 1 and store.prune(release.name) == []
+    assert Release.open(store, release.name).table("concepts").count() == later.table("concepts").count()
+    store.withdraw(release.name)
     assert not store.has(release.name)
     assert release.name.lower() not in [r.release.lower() for r in store.releases().collect()]
 
 
+@pytest.mark.parametrize("kind", ["files", "catalog"])
+def test_a_release_added_to_another(spark, release, tmp_path, kind):
+    """Only new rows are stored, and the earlier build is kept as long as it is part of it."""
+    root = str(tmp_path / "added")
+    store = ReleaseStore(spark, root) if kind == "files" else CatalogStore(spark, root, 4)
+    time, split = F.col("effectiveTime"), 20001130
+    part = lambda rows: {t: release.table(t).where(rows) for t in FULL_TABLES}
+    first, second = f"b{kind}_snomed_full_20001130", f"b{kind}_snomed_full_20011130"
+    Release(spark, first, part(time <= split), release.context, store).build()
+    added = Release.added(Release.open(store, first), second, part(time >= split)).build()
+    assert added.context.release_date == 20011130 and added.context.base_release_date == 20010131
+    assert added.context.root_concept == release.context.root_concept
+    opened = Release.open(store, second)
+    assert added.published("descriptions").where(time <= split).isEmpty()
+    for table in FULL_TABLES:
+        assert opened.table(table).exceptAll(release.table(table)).isEmpty()
+        assert opened.table(table).count() == release.table(table).count()
+    whole = Release(spark, second, {t: release.table(t) for t in FULL_TABLES}, added.context)
+    for check in ("new-concepts", "descriptions", "duplicate-descriptions"):
+        assert rows(CATALOGUE.run(check, opened)) == rows(CATALOGUE.run(check, whole))
+    if kind == "catalog":
+        assert spark.table(f"{second}.concepts").count() == release.table("concepts").count()
+    store.withdraw(first)
+    assert store.prune(first) == []
+    with pytest.raises(ValueError, match="is_a"):
+        Release.added(opened, "snomed_full_20020531", {}, is_a=1)
+
+
+def test_the_next_release_from_packages(spark, folders, packages, tmp_path):
+    """The same packages again add nothing; a new one adds its rows."""
+    store = ReleaseStore(spark, str(tmp_path / "next"))
+    before = Release.load(spark, *packages, store=store).build()
+    later = tmp_path / EXTENSION.replace("20180531", "20181130")
+    for table in ("Relationship", "Concept"):
+        put(later, f"Full/Terminology/sct2_{table}_Full_SE1000052_20181130.txt", [HEADER + "definitionStatusId"])
+    head = HEADER + "definitionStatusId"
+    put(later, "Full/Terminology/sct2_Concept_Full_SE1000052_20181130.txt",
+        [head, line(900000000000000017, R, 1, SE, 3), line(900000000000000017, 20181130, 0, SE, 3)])
+    missing = set(FULL_TABLES) - {"concepts"}
+    base = Package.base(packages[0].path, without=missing)
+    extension = Package.extension(str(later), without=missing)
+    after = Release.load_next(before, base, extension)
+    assert after.name == "snomed_full_SE1000052_20181130"
+    assert rows(after.published("concepts")) == [(900000000000000017, 20181130, 0, SE, 3)]
+    assert after.table("concepts").count() == before.table("concepts").count() + 1
+    changed = {r.id: r.active for r in after.table("concepts_snap").collect()}
+    assert changed[900000000000000017] == 0 and changed[1] == 1
+
+
 @pytest.mark.parametrize("kind", ["files", "catalog"])
 def test_open_keeps_the_context_of_the_build(spark, release, tmp_path, kind):
     root = str(tmp_path / "other")
