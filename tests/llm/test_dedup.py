@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from termwarden.llm import chunking, exact_dedup, queries, simhash
-from termwarden.llm.common import work_folder
+from termwarden.llm.common import numbered, with_facts, work_folder
 from termwarden.llm.components import components
 from termwarden.sources.scratch import WorkFolder
 from tests.llm.conftest import AWKWARD
@@ -306,6 +306,104 @@ def test_repeats_within_a_document_are_reported(spark, tmp_path, docs_of):
     assert sorted((r.doc_id, r.kept) for r in found) == [(1, False), (1, True)]
 
 
+def plain_passages(texts):
+    """`(row, start, end, chunks, repeats, first row, kept)` from lists of chunks."""
+    chunks, seen = [], defaultdict(list)
+    for row, text in enumerate(texts):
+        data, last = (text or "").encode().translate(chunking.BLANKS), 0
+        chunks.append([])
+        for end in plain_cuts(data) if data else []:
+            seen[data[last:end]].append((row, len(chunks[row])))
+            chunks[row].append((last, end, data[last:end]))
+            last = end
+    out = []
+    for row, parts in enumerate(chunks):
+        runs = [[]]
+        for at, (_, _, digest) in enumerate(parts):
+            if len(seen[digest]) > 1:
+                runs[-1].append(at)
+            elif runs[-1]:
+                runs.append([])
+        for run in filter(None, runs):
+            if parts[run[-1]][1] - parts[run[0]][0] < chunking.PASSAGE:
+                continue
+            first = [seen[parts[at][2]][0] == (row, at) for at in run]
+            start = 0
+            for at in range(1, len(run) + 1):
+                if at == len(run) or first[at] != first[start]:
+                    span = run[start:at]
+                    firsts = min(seen[parts[x][2]][0][0] for x in span)
+                    out.append((row, parts[span[0]][0], parts[span[-1]][1], len(span), 0 if first[start] else len(span), firsts, first[start]))
+                    start = at
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_against_plain_chunks(spark, docs_of, seed):
+    """Shared passages among random texts: the same spans, and nearly all that were planted."""
+    rng = random.Random(seed)
+    some = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    passages = [some(60) for _ in range(12)]
+    texts, planted = [], 0
+    for i in range(90):
+        parts = [some(rng.randrange(1, 80))]
+        for passage in rng.sample(passages, rng.randrange(3)):
+            parts += [passage, some(rng.randrange(1, 40))]
+        texts.append(" ".join(parts))
+    texts += [None, "", texts[3], texts[4].replace(" ", "\n")]
+    docs = docs_of(list(enumerate(texts))).coalesce(1).withColumn("_row", F.col("doc_id"))
+    found = chunking.repeated_passages(docs, work_folder(docs)).collect()
+    names = ("_row", "start", "end", "chunks", "repeats", "first_row", "kept")
+    assert sorted(tuple(r[n] for n in names) for r in found) == plain_passages(texts)
+    spans = defaultdict(list)
+    for r in found:
+        spans[r._row].append((r.start, r.end))
+    caught = 0
+    for row, text in enumerate(texts):
+        for passage in passages:
+            if text and passage in text and sum(passage in (t or "") for t in texts) > 1:
+                at, planted = text.index(passage), planted + 1
+                caught += any(a < at + len(passage) and b > at for a, b in spans[row])
+    assert planted > 50 and caught >= 0.95 * planted
+
+
+def test_repeats_are_cut_whatever_ids_and_columns_there_are(spark, docs_of):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"é{rng.randrange(10**5)}x" for _ in range(n))
+    passage = some(90)
+    rows = [(None, some(30) + " " + passage), ("b", passage + " " + some(30)), ("b", None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    docs = docs.withColumns({n: F.lit(n) for n in ("_spans", "_row", "_doc", "_text", "end", "kept")})
+    cut = chunking.without_repeats(docs, work_folder(docs))
+    assert cut.columns == docs.columns
+    found = [tuple(r) for r in cut.collect()]
+    assert [r[2:] for r in found] == [("_spans", "_row", "_doc", "_text", "end", "kept")] * 4
+    assert found[0][:2] == rows[0] and found[2][:2] == rows[2] and found[3][:2] == rows[3]
+    assert rows[1][1].endswith(found[1][1][-60:]) and len(found[1][1]) < len(rows[1][1]) - 300
+    assert chunking.without_repeats(docs.limit(0), work_folder(docs)).count() == 0
+
+
+def test_facts_are_looked_up_without_a_shuffle_of_rows(spark):
+    rows = spark.range(1000, numPartitions=7).selectExpr("id", "concat('t', id) AS text")
+    work = work_folder(rows)
+    stored = numbered(rows, work)
+    even = stored.where("_doc.id % 2 = 0").select("_row", F.col("_doc.id").alias("copy"))
+    found = with_facts(stored, even, work, "even")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.text, r.copy) for r in found.collect()) == [(i, f"t{i}", i) for i in range(0, 1000, 2)]
+    every = with_facts(stored, even, work, "every", every=True).collect()
+    assert {r.id: r.copy for r in every} == {i: None if i % 2 else i for i in range(1000)}
+    nothing = with_facts(stored, even.limit(0), work, "nothing")
+    assert nothing.count() == 0 and nothing.columns == ["id", "text", "copy"]
+    with pytest.raises(ValueError, match="_doc"):
+        with_facts(stored, even.withColumnRenamed("copy", "_doc"), work, "clash")
+    files = work_folder(rows)
+    gone = with_facts(stored, even, files, "gone")
+    files.delete()
+    with pytest.raises(Exception, match="no such folder"):
+        gone.count()
+
+
 def test_chunks_of_awkward_rows(awkward):
     docs = awkward.withColumn("_row", F.monotonically_increasing_id())
     chunks = chunking.chunks(docs).groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()

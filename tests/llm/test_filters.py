@@ -1,15 +1,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import string
+import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from termwarden.llm import decontamination, oracle, secrets, urls
+from termwarden.sources.scratch import WorkFolder
 from tests.llm.conftest import AWKWARD
 
 QUESTION = (
@@ -74,6 +79,107 @@ def test_documents_without_items_stay_whole(docs_of, benchmark):
     assert decontamination.leaked_items(docs.limit(0), benchmark).count() == 0
 
 
+def plain_windows(text, lengths):
+    """`{length: [(words, template, slots, open)]}` of a text's windows, by place."""
+    tokens = decontamination.Tokens(pa.array([text or ""], pa.large_string()))
+    values = tokens.values.to_pylist()
+    words = [(values[i], int(k)) for i, k in zip(tokens.index, tokens.kind)]
+    out = {}
+    for size in lengths:
+        found = []
+        for at in range(len(words) - size + 1):
+            part = words[at : at + size]
+            literal = sum(k == 0 for _, k in part)
+            template = tuple(w if k == 0 else f"<{k}>" for w, k in part)
+            slots = tuple(f"{k}:{w}" for w, k in part if k)
+            open_ = literal * 8 >= 5 * size and size >= decontamination.SHORTEST
+            found.append((tuple(w for w, _ in part), template, slots, open_))
+        out[size] = found
+    return out, len(words)
+
+
+def plain_leaks(docs, items):
+    """Every document against every item, window by window."""
+    out = {}
+    for item in sorted({t for _, t in items if t is not None}):
+        ids = [i for i, t in items if t == item]
+        _, size = plain_windows(item, [])
+        length = min(size, decontamination.WINDOW)
+        if not length:
+            continue
+        own = plain_windows(item, [length])[0][length]
+        for doc_id, text in docs:
+            theirs = plain_windows(text, [length])[0][length]
+            exact, lines = set(), {}
+            for (p, (w, t, s, o)), (q, (w2, t2, s2, o2)) in itertools.product(enumerate(own), enumerate(theirs)):
+                if w == w2:
+                    exact.add(p)
+                if t == t2 and s and s2 and o and o2:
+                    lines.setdefault(q - p, []).append((p, s, s2))
+            places, other = set(exact), set()
+            for line in lines.values():
+                pairs = {pair for _, s, s2 in line for pair in zip(s, s2)}
+                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                    places |= {p for p, _, _ in line}
+                    other |= {p for p, s, s2 in line if s != s2}
+            n, opens = len(own), sum(o for *_, o in own)
+            of_open = sum(own[p][3] for p in places)
+            enough = len(places) >= math.ceil(n / 2) or len(places) >= decontamination.ENOUGH
+            if enough or of_open and of_open >= math.ceil(opens / 2):
+                known = [i for i in ids if i is not None]
+                key = (doc_id, min(known) if known else None)
+                out[key] = (len(ids), len(places), n, bool(other))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaks_against_all_pairs(spark, docs_of, seed):
+    """Items that share windows with many others are neither lost nor found for those alone."""
+    rng = random.Random(seed)
+    words = ["the", "box", "of", "Anna", "Boris", "12", "7", "30", "kg", "days", "holds", "red", "blue", "cost", "goes", "in"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    prompts = [some(9), some(14), some(22)]
+    items = [(i, f"{rng.choice(prompts)} {some(rng.randrange(1, 25))}") for i in range(14)]
+    items += [(20 + i, some(rng.randrange(1, 12))) for i in range(6)] + [(None, items[0][1]), (2, items[1][1]), (None, "a null id of its own is no fault")]
+    docs = []
+    for i in range(60):
+        parts = [some(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)[1].split()
+            if rng.random() < 0.5:  # other numbers and names, or a part
+                swap = {"12": "99", "7": "8", "Anna": "Maria", "Boris": rng.choice(["Boris", "Maria"])}
+                item = [swap.get(w, w) for w in item][rng.randrange(4) :]
+            parts += [" ".join(item), some(rng.randrange(8))]
+        docs.append((i, " ".join(parts)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {
+        (r.doc_id, r.item_id): (r.copies, r.matched, r.windows, r.reparameterised)
+        for r in decontamination.leaked_items(docs_of(docs), benchmark).collect()
+    }
+    assert found == plain_leaks(docs, items) and len(found) > 20
+
+
+def test_a_prompt_of_all_items_brings_no_pairs_together(spark, docs_of, monkeypatch):
+    """500 items and 400 documents that share eight words: rows in proportion to both."""
+    rng = random.Random(1)
+    prompt = "please answer the following question about natural science carefully"
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(f"item-{i}", f"{prompt} {some(30)}") for i in range(500)]
+    docs = [(i, f"{some(20)} {prompt} {some(20)}") for i in range(400)] + [(999, f"{some(9)} {items[7][1]}")]
+    rows = {}
+    write = WorkFolder.write
+    monkeypatch.setattr(
+        WorkFolder, "write", lambda self, name, df, *r: rows.setdefault(name, write(self, name, df, *r))
+    )
+    found = decontamination.leaked_items(docs_of(docs), spark.createDataFrame(items, "item_id string, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(999, "item-7")]
+    assert rows["candidates"].count() == 1 and rows["matched"].count() < 100
+    members = decontamination.item_members(
+        spark.createDataFrame([*items, (None, items[7][1])], "item_id string, text string"), rows["benchmark"]
+    )
+    assert members.groupBy("item").count().where("count > 1").count() == 1 and members.count() == 501
+
+
 def plain_spans(text):
     text = text or ""
     assign = re.compile(
@@ -122,6 +228,34 @@ def test_secrets_against_sql_and_plain_patterns(docs_of):
     assert sum("entropy" in r.spans for r in found.values()) > 20
 
 
+def test_allow_listed_parts_suppress_windows_alone(docs_of):
+    random.seed(5)
+    some = lambda n: "".join(random.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = [f"{some(40)}example{some(45)}", f"{some(12)}example{some(12)}", "sample" * 9 + some(30), some(60)]
+    found = {r.doc_id: r.spans for r in secrets.span_digests(docs_of(list(enumerate(texts)))).collect()}
+    spans = {i: [tuple(map(int, s.split(":")[1:])) for s in x.split(",") if s] for i, x in found.items()}
+    assert spans[1] == [] and spans[0] and spans[2] and spans[3]
+    assert all(end <= 40 or start >= 47 for start, end in spans[0])
+    assert any(end <= 40 for _, end in spans[0]) and any(start >= 47 for start, _ in spans[0])
+    assert all(start >= 54 for start, _ in spans[2])
+
+
+def test_long_candidates_take_time_in_proportion(docs_of):
+    random.seed(6)
+    letters = string.ascii_letters + string.digits + "+/"
+    texts = [
+        " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)),
+        "".join(random.choices(letters, k=150_000)),
+        "a1b2" * 30_000,
+        "example7" * 20_000,
+    ]
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in secrets.span_digests(docs_of(list(enumerate(texts)))).collect()}
+    assert time.perf_counter() - start < 60
+    assert found[0].n_hex == 20_000 and "entropy" not in found[0].spans
+    assert found[1].spans and found[2].n_hex == 1 and found[3].spans == ""
+
+
 def test_secret_scans_stay_in_one_projection(docs_of):
     docs = docs_of([(1, "a")]).withColumns({"base": F.lit(1), "found": F.lit(2)})
     found = secrets.scanned(docs)
@@ -181,6 +315,10 @@ def test_verdicts_follow_rules_and_links(spark):
         page(6, "farm.org", links=["bad.net"]), page(7, "friend.org", links=["other.org"]), page(8, "lone.org"),
         page(9, "example.com", "/en/a"), page(10, "www.example.com", "/en/a"), page(11, "m.example.com", "/en/a"),
         page(12, "loop.org", links=["ring.org"]), page(13, "ring.org", links=["loop.org", "bad.net"]),
+        # A hub, hosts without links of their own, and a host that links to itself alone.
+        page(14, "hub.org", links=["good.com", "bad.net", *(f"leaf{i}.org" for i in range(12))]),
+        *(page(20 + i, f"leaf{i}.org") for i in range(6)), page(40, "good.com", links=["hub.org", "good.com"]),
+        page(41, "self.org", links=["self.org"]),
     ]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     found = {r.page_id: r for r in urls.judged(frame, tolerance=1e-9).collect()}
