@@ -31,11 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_language_model(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     """Scores of every text by a model of the texts that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_of(F.col("doc_id")) == 1
-    model = language_model.train(docs.where(~held_out))
+    model = language_model.train(docs.where(~held_out), order)
     return language_model.scored(docs, model).select(
         "doc_id",
         held_out.alias("held_out"),
@@ -48,6 +48,11 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_model_order_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by trigrams."""
+    return op1_language_model(spark, sf_dir, 3)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, with how much of each."""
     docs = table(spark, sf_dir, "documents")
@@ -156,5 +161,6 @@ def queries() -> dict[str, Query]:
         "op11_personal_data": op11_personal_data,
         "op12_conversations": op12_conversations,
         "op13_vector_codes": op13_vector_codes,
+        "language_model_order_three": language_model_order_three,
         "pipeline": pipeline,
     }
