@@ -221,7 +221,8 @@ def linked_components(marks: DataFrame, work: WorkFolder, most_bits: int = MOST_
     def as_list(entries: DataFrame) -> DataFrame:
         return entries.withColumns({"pair": whole, "root": F.col("node")})
 
-    listed = _listed(marks)
+    # Nodes are few bytes each, their twenty entries are not: deal them before they are listed.
+    listed = _listed(marks.repartition(parts, "node"))
     crowded = _crowded(listed, work, "crowded")
     found = compared(as_list(listed.join(crowded, "list", "left_anti")))
     if crowded.isEmpty():
