@@ -41,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,11 +258,11 @@ def _merge(folder: str, ranges: int, level: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["n"] < 0:
-                    yield _summary(*np.frombuffer(row["data"], np.int64, 1), row["range"], *np.frombuffer(row["data"], np.int64)[1:])
-                else:
-                    found.setdefault(row["range"], []).append(_unpacked(row["n"], row["data"]))
+            about_files = pc.less(batch.column("n"), 0)
+            if pc.any(about_files).as_py():
+                yield batch.filter(about_files)
+            for row in batch.filter(pc.invert(about_files)).to_pylist():
+                found.setdefault(row["range"], []).append(_unpacked(row["n"], row["data"]))
         while found:
             r, parts = found.popitem()
             keys, words, values = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -327,7 +328,8 @@ def train(texts: DataFrame, order: int = 2) -> NgramModel:
         raise ValueError("a model has n-grams of two words at least")
     spark = texts.sparkSession
     shared = shared_folder(spark)
-    folder = local_path(shared) and local_path(WorkFolder(spark, shared).path)
+    local_path(shared)
+    folder = local_path(WorkFolder(spark, shared).path)
     work = WorkFolder(spark, shared)
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts.select("text").mapInArrow(_count(order, ranges), PACKED)
