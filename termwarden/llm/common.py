@@ -81,9 +81,32 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, work: WorkFolder, name: str = "numbered") -> DataFrame:
-    """`(_doc, _row)`: rows as structs with a number of their own, stored so that it stays."""
-    rows = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    return work.write(name, rows)
+    """`(_doc, _row)`: rows as structs with a number of their own that stays.
+
+    Rows that are read from files as they are have the number of their file and their place in
+    it, and are not written again; others are stored with numbers first.
+    """
+    if not _read_from_files(docs):
+        rows = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+        return work.write(name, rows)
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    # One row per file, as many as the planner lists.
+    found = sorted(r[0] for r in docs.select(path).distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(found)), "_file long, _path string")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), path.alias("_path"), place.alias("_place"))
+    number = F.shiftleft("_file", ROWS_OF_PART) + F.col("_place")
+    return rows.join(F.broadcast(files), "_path").select("_doc", number.alias("_row"))
+
+
+def _read_from_files(docs: DataFrame) -> bool:
+    """Whether these are the rows of Parquet files, once each and all of them."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        columns = plan.projectList()
+        if any(columns.apply(i).getClass().getSimpleName() != "AttributeReference" for i in range(columns.size())):
+            return False
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
 
 
 def with_facts(
@@ -94,47 +117,54 @@ def with_facts(
     With `every` all rows, with nulls for those that have none.
 
     `stored` comes from `numbered`; `facts` has one row per `_row` at most. A row's number
-    tells which task wrote it, so facts are stored by that task, sorted, and whoever reads
-    rows looks their facts up in that file: rows as wide as texts are never shuffled. A file
-    holds the facts of the rows of one task that read the input.
+    tells which file it is in or which task stored it, so facts are stored by that, sorted,
+    and whoever reads rows looks their facts up there: rows as wide as texts are never shuffled.
+    What a task holds are the facts of the rows of one file.
     """
+    facts = facts if len(facts.columns) > 1 else facts.withColumn("_there", F.lit(True))
     added = [c for c in facts.columns if c != "_row"]
     if clash := set(added) & {"_doc", "_row"}:
         raise ValueError(f"facts cannot be called {', '.join(sorted(clash))}")
     path = f"{work.path}/{name}"
     listed = facts.withColumn("_part", F.shiftright("_row", ROWS_OF_PART))
     listed.repartition("_part").sortWithinPartitions("_part", "_row").write.partitionBy("_part").parquet(path)
-    schema = StructType([stored.schema["_doc"]])
-    for column in added:
-        schema = schema.add(column, facts.schema[column].dataType)
+    kind = StructType([facts.schema[column] for column in added])
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(kind)
+    def fact_of(rows: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [to_arrow_type(schema[c].dataType) for c in added]
-        held: dict[int, pa.Table] = {}
-        for batch in batches:
-            rows = batch.column("_row").to_numpy()
-            for part in np.unique(rows >> ROWS_OF_PART).tolist():
-                if part not in held:
-                    held.clear()
-                    held[part] = read_part(path, part, ["_row", *added])
-                known = held[part].column("_row").to_numpy()
-                at = np.searchsorted(known, rows)
-                there = at < len(known)
-                there[there] = known[at[there]] == rows[there]
-                if every:
-                    # Another task's rows of the batch get their turn with their own part.
-                    mine = rows >> ROWS_OF_PART == part
-                    wanted, taken = pa.array(at[mine], mask=~there[mine]), pa.array(mine)
-                else:
-                    wanted, taken = pa.array(at[there]), pa.array(there)
-                found = held[part].take(wanted)
-                doc = batch.column("_doc").filter(taken)
-                facts = [found.column(c).combine_chunks().cast(t) for c, t in zip(added, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([doc, *facts], names=schema.names)
-
-    return stored.select("_doc", "_row").mapInArrow(look_up, schema).select("_doc.*", *added)
+        fields = list(to_arrow_type(kind))
+        number = rows.to_numpy()
+        of_part = []
+        bounds = np.flatnonzero(np.diff(number >> ROWS_OF_PART)) + 1
+        for run in np.split(number, bounds):
+            known = _part_of(path, int(run[0] >> ROWS_OF_PART) if len(run) else 0, ("_row", *added))
+            there = known.column("_row").to_numpy()
+            at = np.minimum(np.searchsorted(there, run), max(len(there) - 1, 0))
+            missing = there[at] != run if len(there) else np.ones(len(run), bool)
+            found = known.take(pa.array(at, mask=missing))
+            columns = [found.column(f.name).combine_chunks().cast(f.type) for f in fields]
+            of_part.append(pa.StructArray.from_arrays(columns, fields=fields, mask=pa.array(missing)))
+        return pa.concat_arrays(of_part)
+
+    # Only numbers go to Python; rows wait for their facts where they are.
+    found = stored.withColumn("_fact", fact_of.asNondeterministic()("_row"))
+    if not every:
+        found = found.where("_fact IS NOT NULL")
+    return found.select("_doc.*", *(f"_fact.{c}" for c in added if c != "_there"))
+
+
+_held: dict[tuple[str, int, tuple[str, ...]], pa.Table] = {}
+
+
+def _part_of(path: str, part: int, columns: tuple[str, ...]) -> pa.Table:
+    """The facts of a part; a worker holds those that it read last."""
+    key = (path, part, columns)
+    if key not in _held:
+        _held.clear()
+        _held[key] = read_part(path, part, columns)
+    return _held[key]
 
 
 def read_part(path: str, part: int, columns: Sequence[str]) -> pa.Table:
