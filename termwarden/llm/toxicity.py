@@ -114,13 +114,21 @@ def folded_texts(piece: pa.RecordBatch) -> Iterator[tuple[str, int]]:
         yield " ".join(distinct[part]), len(part)
 
 
-def term_pairs(words: FoldedWords, number_of: dict[str, int], grow: bool) -> np.ndarray:
-    """Distinct `(row, term)` of the texts; with `grow`, new terms get a number."""
+def term_pairs(
+    words: FoldedWords,
+    number_of: dict[str, int],
+    grow: bool,
+    bitmap: bytes | None = None,
+) -> np.ndarray:
+    """Distinct `(row, term)` of the texts; with `grow`, new terms get a number, those alone
+    that may be in the bitmap if there is one."""
     pairs = np.unique(words.row * len(words.distinct) + words.number)
     row, number = np.divmod(pairs, len(words.distinct))
     found = []
     for size in (0, *PREFIXES):
         names = (w if not size else f"{w[:size]}*" if len(w) >= size else "" for w in words.distinct)
+        if bitmap is not None:
+            names = (t if t and _may_hold(bitmap, t) else "" for t in names)
         if grow:
             ids = (number_of.setdefault(t, len(number_of)) if t else -1 for t in names)
         else:
@@ -254,27 +262,27 @@ def learn(
 def _document_counts(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
     """`(term, docs)`: texts that have each term; with a bitmap only terms that may be in it."""
 
+    held = None if bitmap is None else bitmap.tobytes()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 number_of: dict[str, int] = {}
-                pairs = term_pairs(fold_words(texts_of(piece)), number_of, True)
+                pairs = term_pairs(fold_words(texts_of(piece)), number_of, True, held)
                 seen, counts = np.unique(pairs[:, 1], return_counts=True)
                 names = list(number_of)
-                names = [names[i] for i in seen]
-                if bitmap is not None:
-                    hashes = np.fromiter(
-                        (xxhash.xxh64_intdigest(t.encode(), 42) >> (64 - BITS) for t in names), np.int64, len(names)
-                    )
-                    there = (bitmap[hashes >> 3] >> (hashes & 7).astype(np.uint8)) & 1 == 1
-                    names, counts = [t for t, x in zip(names, there, strict=True) if x], counts[there]
-                columns = [pa.array(names, pa.string()), pa.array(counts)]
+                columns = [pa.array([names[i] for i in seen], pa.string()), pa.array(counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
 
     counted = rows.select("text").mapInArrow(count, "term string, docs long")
     return counted.groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
+def _may_hold(bitmap: bytes, term: str) -> bool:
+    place = xxhash.xxh64_intdigest(term.encode(), 42) >> (64 - BITS)
+    return bool(bitmap[place >> 3] >> (place & 7) & 1)
+
+
 def _bitmap(terms: DataFrame) -> np.ndarray:
     """Where the hashes of the terms lie among 2^BITS, in a map of that size."""
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
