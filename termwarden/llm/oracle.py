@@ -212,7 +212,7 @@ taken AS (
     SELECT *,
         coalesce(max(stop) OVER (PARTITION BY r ORDER BY start, kind, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS furthest,
         coalesce(min(start) FILTER (based) OVER (PARTITION BY r ORDER BY start, kind, stop ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), stop) AS nearest
-    FROM scored WHERE CASE WHEN based THEN good ELSE score >= 60 END
+    FROM scored WHERE good AND (based OR score >= 60)
 ),
 joined AS (
     SELECT r,

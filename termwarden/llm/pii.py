@@ -2,8 +2,8 @@
 
 Patterns propose maximal spans; what a span's text has to fulfil (numbers in range, a
 count of digits, the Luhn sum of cards and personal numbers, mod-97 of account numbers)
-confirms it; words just before and after it raise or lower its score. Emails, addresses,
-cards and phone numbers that are confirmed are base spans and stay whatever their score.
+confirms it, else it is dropped; words just before and after it raise or lower its score.
+Emails, addresses, cards and phone numbers are base spans and stay whatever their score.
 Account numbers, social security numbers, personal numbers and phone numbers without a
 country code are added if their score reaches `LEAST_SCORE` and they touch no base span
 and none that begins before them. A proposal that fails is not tried again at another place.
@@ -137,10 +137,8 @@ def _proposed(text: Column, number: int) -> Column:
 
     def scored(match: Column) -> Column:
         around = F.lower(F.concat_ws(" ", match["before"], match["after"]))
-        good = _confirmed(kind.name, match)
         score = (
-            F.lit(kind.proposed)
-            + F.when(good, kind.confirmed).otherwise(0)
+            F.lit(kind.proposed + kind.confirmed)
             + F.when(around.rlike(kind.words), kind.named).otherwise(0)
             - F.when(around.rlike(AGAINST), LESS).otherwise(0)
         )
@@ -149,9 +147,8 @@ def _proposed(text: Column, number: int) -> Column:
         )
 
     found = located(text, kind.pattern, 0, BEFORE, AFTER)
-    if number < BASE:
-        return F.transform(F.filter(found, lambda m: _confirmed(kind.name, m)), scored)
-    return F.filter(F.transform(found, scored), lambda s: s["score"] >= LEAST_SCORE)
+    confirmed = F.transform(F.filter(found, lambda m: _confirmed(kind.name, m)), scored)
+    return confirmed if number < BASE else F.filter(confirmed, lambda s: s["score"] >= LEAST_SCORE)
 
 
 def _apart(spans: Column) -> Column:
