@@ -46,6 +46,9 @@ BLOCK, LEAF = 4096, 48
 SLACK = 1e-9
 
 
+_UNEVEN = "all vectors must have {} components, as the first one"
+
+
 @dataclass
 class Tree:
     """Balls over the rows `lo` to `hi` of `points`; `left` is -1 for those without children."""
@@ -294,6 +297,8 @@ def compressed(
         empty = vectors.sparkSession.createDataFrame([], out)
         return Codes([], empty)
     length = len(start[0])
+    if any(len(vector) != length for vector in start):
+        raise ValueError(_UNEVEN.format(length))
     if length % parts:
         raise ValueError(f"vectors of {length} components do not make {parts} equal parts")
     books = whole(np.array(start), scale).reshape(len(start), parts, length // parts).transpose(1, 0, 2)
@@ -323,7 +328,7 @@ def _trees(kept: DataFrame, out: StructType, parts: int, length: int, scale: int
             vectors = table.column("embedding").combine_chunks()
             sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
             if (sizes != length).any():
-                raise ValueError(f"all vectors must have {length} components, as the first one")
+                raise ValueError(_UNEVEN.format(length))
             values = whole(vectors.flatten().to_numpy(zero_copy_only=False), scale)
             cut = values.reshape(table.num_rows, parts, length // parts)
             trees = [planted(np.ascontiguousarray(cut[:, p])).packed() for p in range(parts)]
