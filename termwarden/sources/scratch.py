@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+#: Folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the one the session names.
@@ -21,9 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="termwarden-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="termwarden-")
+    return _local[application]
 
 
 class WorkFolder:
