@@ -7,6 +7,7 @@ size, because one batch may hold many long texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -54,6 +55,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         stop = max(stop, start + 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system: workers live on and share a machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
