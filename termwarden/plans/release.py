@@ -77,7 +77,7 @@ _BY_TERM: dict[str, Callable[[Release, WorkFolder], DataFrame]] = {
     "term_keys": lambda r, work: terms.term_keys(r.by_term("term_index"), r.context),
     "hot_terms": lambda r, work: skew.hot_keys(
         r.by_term("term_index"), "key", r.rows_per_task
-    ).coalesce(1),
+    ).repartition(1),
 }
 
 #: What a release that was added to another derives from that one and the new rows alone.
@@ -351,8 +351,9 @@ class Release:
             return _BY_TERM[name](self, work)
         if name in _HOT_COLUMNS:
             table, column = _HOT_COLUMNS[name]
-            # At most a five-millionth of the rows: one file, which joins broadcast.
-            return skew.hot_keys(self.table(table), column, self.rows_per_task).coalesce(1)
+            # At most a five-millionth of the rows: one file, which joins broadcast. They are
+            # shuffled for it, as one task would otherwise count the values of all rows.
+            return skew.hot_keys(self.table(table), column, self.rows_per_task).repartition(1)
         raise KeyError(f"no such table: {name}; there are {', '.join(TABLES)}")
 
 

@@ -318,6 +318,19 @@ def test_hot_rows_are_spread_over_slices(spark):
     assert "_slice" in plan
 
 
+@pytest.mark.parametrize("name", ["hot_concepts_described", "hot_terms"])
+def test_hot_keys_are_not_counted_in_the_task_that_stores_them(spark, capsys, name):
+    terms = [description(10 + i, 1 + i % 3, f"term {i % 4}") for i in range(20)]
+    named = [description(50 + i, 1 + i, f"name {i} (tag)", type=FSN) for i in range(3)]
+    concepts = [concept(1 + i) for i in range(3)]
+    release = make_release(spark, rows_per_task=2, concepts=concepts, descriptions=[*terms, *named])
+    derived = release._derive(name, release.work())
+    derived.explain()
+    assert "Coalesce 1" not in capsys.readouterr().out
+    assert derived.rdd.getNumPartitions() == 1
+    assert {row.slices for row in release.table(name).collect()} == ({4} if "concepts" in name else {3})
+
+
 def test_every_pair_is_found_in_one_round(spark):
     """A ladder with many ways of each length: rounds write what is new, and only that."""
     edges = [(i, i - 1) for i in range(2, 31)] + [(i, i - 2) for i in range(3, 31)]
