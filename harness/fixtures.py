@@ -47,6 +47,14 @@ def release(spark: SparkSession, sf_dir: str) -> Release:
     return made
 
 
+def input_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Size of the files that the release tables are derived from."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "part", "nation")]
+    located = [spark._jvm.org.apache.hadoop.fs.Path(path) for path in paths]
+    conf = spark._jsc.hadoopConfiguration()
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in located)
+
+
 def full_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A component table with its key enforced."""
     rows = raw_table(spark, sf_dir, table)

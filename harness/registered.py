@@ -22,8 +22,9 @@ from termwarden.operators import closure, hierarchies, names, refsets, versions
 from termwarden.plans import report
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS, Catalogue, sql_check
 from termwarden.plans.checks import descriptions
-from termwarden.plans.release import TABLES, Release
+from termwarden.plans.release import Release
 from termwarden.schemas import FULL_TABLES, SNAPSHOT_PACKAGE_TABLES
+from termwarden.session import configure, stored_tasks, widen_shuffles
 from termwarden.sources.packages import load_full, load_snapshot, package_columns
 from termwarden.sources.catalog import CatalogStore
 from termwarden.sources.scratch import WorkFolder
@@ -49,16 +50,23 @@ OTHER_MODULE = CORE_MODULE
 #: A hot key in the sliced form of the checks has more rows than this.
 SLICE = 20
 
+#: Buckets of a small release in a catalog; a larger one has as many as it is dealt to tasks.
+BUCKETS = 4
+
 _releases: dict[tuple[str, str], Release] = {}
 _packages: dict[tuple[str, str], FixturePackages] = {}
 _extended: dict[str, Release] = {}
+_buckets: dict[str, int] = {}
 
 
 def release_of(spark: SparkSession, sf_dir: str) -> Release:
     """The release of a folder, shared by the queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _releases:
+        size = fixtures.input_bytes(spark, sf_dir)
+        widen_shuffles(spark, size)
         _releases[key] = fixtures.release(spark, sf_dir)
+        _buckets[_releases[key].own_folder().path] = max(BUCKETS, stored_tasks(size))
     return _releases[key]
 
 
@@ -66,6 +74,8 @@ def packages_of(spark: SparkSession, sf_dir: str) -> FixturePackages:
     """The packages of a folder, shared by the queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _packages:
+        configure(spark)
+        widen_shuffles(spark, fixtures.input_bytes(spark, sf_dir))
         _packages[key] = FixturePackages(spark, sf_dir)
     return _packages[key]
 
@@ -117,37 +127,53 @@ SLICED = (
 
 def _sliced(release: Release) -> Release:
     """The release with so low a bound on the rows of a task that many keys are cut."""
-    sliced = Release(release.spark, release.name, {}, release.context, rows_per_task=SLICE)
-    sliced._tables |= {t: release.table(t) for t in TABLES if not t.startswith("hot_")}
-    return sliced
+    return release.cut_at(SLICE)
 
 
 def _stored(release: Release, store, name: str, **overrides) -> Release:
     """The release's full tables under another name and context."""
-    full = {table: release.table(table) for table in FULL_TABLES}
-    return Release(release.spark, name, full, replace(release.context, **overrides), store)
+    full = {table: partial(release.table, table) for table in FULL_TABLES}
+    context = replace(release.context, **overrides)
+    return Release(release.spark, name, full, context, store, dated=True)
+
+
+def _store_of(release: Release, kind: str) -> ReleaseStore | CatalogStore:
+    """A store of its own, in files or in the catalog."""
+    folder = WorkFolder(release.spark).path
+    if kind == "files":
+        return ReleaseStore(release.spark, folder)
+    return CatalogStore(release.spark, folder, _buckets[release.own_folder().path])
+
+
+def _mark(store: ReleaseStore | CatalogStore) -> str:
+    """What names in the catalog, which stores share, begin with to be this store's own."""
+    folder = store.root if isinstance(store, ReleaseStore) else store.location
+    return folder.rpartition("-")[2]
 
 
 def extended_of(release: Release) -> Release:
-    """The fixture's release, made by adding its last dates to a stored one without them."""
+    """The fixture's release, made by adding its last dates to a stored one without them.
+
+    Tables of both are stored when they are asked for.
+    """
     key = release.own_folder().path
     if key not in _extended:
         store = ReleaseStore(release.spark, WorkFolder(release.spark).path)
         time = F.col("effectiveTime")
-        part = lambda rows: {t: release.table(t).where(rows) for t in FULL_TABLES}
+        part = lambda rows: {
+            t: lambda t=t: release.table(t).where(rows) for t in FULL_TABLES
+        }
         dates = {"release_date": SPLIT, "base_release_date": 20000131}
         context = replace(release.context, **dates)
-        Release(release.spark, BEFORE, part(time <= SPLIT), context, store).build()
+        before = Release(release.spark, BEFORE, part(time <= SPLIT), context, store, dated=True)
         # What is loaded again with the new rows, as from full files, is there already.
-        _extended[key] = Release.added(
-            Release.open(store, BEFORE), AFTER, part(time >= SPLIT)
-        ).build()
+        _extended[key] = Release.added(before, AFTER, part(time >= SPLIT), dated=True)
     return _extended[key]
 
 
 def _reopened_extension(release: Release) -> DataFrame:
     """Rows by date of a table that is stored in the parts of two builds."""
-    extended = extended_of(release)
+    extended = extended_of(release).build()
     opened = Release.open(extended.store, extended.name)
     rows = opened.table("descriptions").groupBy("effectiveTime")
     return rows.agg(F.count(F.lit(1)).alias("rows"))
@@ -155,14 +181,15 @@ def _reopened_extension(release: Release) -> DataFrame:
 
 def _read_while_rebuilt(release: Release, kind: str) -> DataFrame:
     """Active concepts that readers see who opened a release before and after a rebuild."""
-    spark, folder = release.spark, WorkFolder(release.spark).path
-    store = ReleaseStore(spark, folder) if kind == "files" else CatalogStore(spark, folder, 4)
-    name = f"a{folder.rpartition('-')[2]}_snomed_full_{SPLIT}"
+    store = _store_of(release, kind)
+    name = f"a{_mark(store)}_snomed_full_{SPLIT}"
     rows = lambda r, reader: r.table("concepts_snap").where("active = 1").agg(
         F.lit(reader).alias("reader"), F.count(F.lit(1)).alias("concepts")
     )
     first = _stored(release, store, name)
-    first._full["concepts"] = release.table("concepts").where(F.col("effectiveTime") <= SPLIT)
+    first._full["concepts"] = lambda: release.table("concepts").where(
+        F.col("effectiveTime") <= SPLIT
+    )
     first.build()
     early = Release.open(store, name)
     _stored(release, store, name).build()
@@ -196,10 +223,8 @@ def _reopened_changes(release: Release) -> DataFrame:
 
 def _listed_releases(release: Release, kind: str) -> DataFrame:
     """Releases of a store in which of two one is complete, with their concepts."""
-    spark, folder = release.spark, WorkFolder(release.spark).path
-    # The catalog is shared by stores, so its names are this store's own.
-    mark = folder.rpartition("-")[2]
-    store = ReleaseStore(spark, folder) if kind == "files" else CatalogStore(spark, folder, 4)
+    store = _store_of(release, kind)
+    mark = _mark(store)
     complete, partial_name = f"a{mark}_snomed_full_one", f"a{mark}_snomed_full_two"
     _stored(release, store, complete).build()
     _stored(release, store, partial_name).table("concepts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termwarden.context import CheckContext
 from termwarden.operators.names import preferred_terms
 from termwarden.operators.ranking import numbered
+from termwarden.operators.versions import snapshot_naming
 from termwarden.sources.scratch import WorkFolder
 
 
@@ -33,25 +34,28 @@ def top_concepts(
 def hierarchies(
     spark: SparkSession,
     relationships_snap: DataFrame,
-    descriptions_snap: DataFrame,
-    languagerefsets_snap: DataFrame,
+    descriptions: DataFrame,
+    languagerefsets: DataFrame,
     ctx: CheckContext,
     work: WorkFolder,
 ) -> DataFrame:
     """`(conceptId, fsn, term, displayOrder)`, names null where there is none.
 
-    Small steps are stored before they meet a large table, so that their known size
-    lets the planner broadcast them instead of shuffling all descriptions.
+    Descriptions and language refsets may be snapshots or histories; the latter are cut to
+    the few components asked about before they are ranked. Small steps are stored before they
+    meet a large table, so that their known size lets the planner broadcast them.
     """
     tops = work.write("top_concepts", top_concepts(spark, relationships_snap, ctx, work))
-    described = work.write(
-        "top_descriptions",
-        descriptions_snap.where(F.col("active") == 1).join(
-            tops.select("conceptId"), "conceptId", "left_semi"
-        ),
+    latest = snapshot_naming(
+        descriptions, "conceptId", tops.select("conceptId"), work, "top_components"
+    )
+    described = work.write("top_descriptions", latest.where("active = 1"))
+    component = described.select(F.col("id").alias("referencedComponentId"))
+    members = snapshot_naming(
+        languagerefsets, "referencedComponentId", component, work, "top_members"
     )
     terms = (
-        preferred_terms(described, languagerefsets_snap, ctx, active_members_only=True)
+        preferred_terms(described, members, ctx, active_members_only=True)
         .groupBy("conceptId")
         .agg(F.min_by("term", "id").alias("term"))
     )

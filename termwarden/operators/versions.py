@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termwarden.context import CheckContext
+from termwarden.sources.scratch import WorkFolder
 
 VERSION_KEY = ("id", "effectiveTime")
 
@@ -35,6 +36,19 @@ def snapshot(df: DataFrame) -> DataFrame:
     return first_by(df, ("id",), (F.desc("effectiveTime"),))
 
 
+def snapshot_naming(
+    history: DataFrame, column: str, wanted: DataFrame, work: WorkFolder, name: str
+) -> DataFrame:
+    """The rows of `snapshot` that name one of `wanted` in `column`; `wanted` is few rows.
+
+    The history is cut to the components of which any version does before it is ranked.
+    """
+    ids = history.join(wanted, column, "left_semi").select(F.col("id").alias("_id")).distinct()
+    asked = work.write(name, ids)
+    versions = history.join(asked, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return snapshot(versions).join(wanted, column, "left_semi").select(*history.columns)
+
+
 def merged(snapshot_before: DataFrame, published: DataFrame) -> DataFrame:
     """The snapshot after `published` versions have been added to the history of another.
 

@@ -265,6 +265,41 @@ def test_hierarchies(spark):
     assert sorted(rows(tops)) == [(5, 2), (7, 3), (ROOT, 1)]
 
 
+def test_hierarchies_of_histories_are_those_of_snapshots(spark):
+    """A term that went to another concept, a name that ended, a mark that moved and null ids."""
+    concepts = [concept(ROOT), concept(1), concept(2)]
+    edges = [is_a(1, 1, ROOT), is_a(2, 2, ROOT)]
+    described = [
+        description(11, 1, "old", time=R - 1), description(11, 2, "moved"),
+        description(12, 1, "ended", "en", FSN, time=R - 1), description(12, 1, "ended", "en", FSN, active=0),
+        description(13, 1, "kept", "en", FSN, time=R - 1), description(14, 9, "came", time=R - 1),
+        description(14, 1, "came"), (None, *description(15, 2, "nobody", "en", FSN)[1:]),
+    ]
+    members = [
+        language("a", 5, 11), language("b", 5, 14, time=R - 1), language("b", 5, 11),
+        language("c", 5, 14, time=R - 1), language(None, 5, 14, time=R - 1), language(None, 5, 99),
+    ]
+    release = make_release(
+        spark, concepts=concepts, relationships=edges, descriptions=described, languagerefsets=members
+    )
+    made = sorted(rows(release.table("hierarchies")), key=str)
+    of_snapshots = hierarchies.hierarchies(
+        spark, *(release.table(f"{t}_snap") for t in ("relationships", "descriptions", "languagerefsets")),
+        release.context, release.work(),
+    )
+    assert made == sorted(rows(of_snapshots), key=str)
+    assert (1, "kept", "came", 2) in made and (2, None, "moved", 3) in made
+    assert not {"descriptions_snap", "languagerefsets_snap"} & stored_for_hierarchies(release)
+
+
+def stored_for_hierarchies(release) -> set[str]:
+    """Tables a fresh build of the release has stored once its hierarchies are there."""
+    full = {table: release.table(table) for table in FULL_TABLES}
+    fresh = Release(release.spark, release.name, full, release.context)
+    fresh.table("hierarchies")
+    return set(fresh._tables)
+
+
 def test_numbers_are_consecutive_over_ranges(spark):
     ids = spark.range(0, 3000, 3).select((F.col("id") * 7919 % 3001).alias("k"))
     ids = ids.repartition(4)

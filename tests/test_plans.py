@@ -11,7 +11,8 @@ import pytest
 from harness import registered
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS
 from termwarden.plans.release import TABLES
-from termwarden.session import settings_for
+from termwarden.session import FIRST_PARTITIONS, settings_for, stored_tasks, widen_shuffles
+from termwarden.sources.store import ReleaseStore
 
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
@@ -171,3 +172,46 @@ def test_without_hot_values_only_the_usual_rows_are_joined(spark):
     execution.executedPlan().executeCollect()
     final = execution.executedPlan().toString().partition("Initial Plan")[0]
     assert "_slice" not in final and "Union" not in final
+
+
+def test_sliced_and_extended_releases_derive_what_is_asked(spark):
+    release = registered.fixtures.release(spark, MEDIUM)
+    registered._sliced(release).table("simplerefsets_snap")
+    assert set(release._tables) == {"simplerefsets", "simplerefsets_snap"}
+    extended = registered.extended_of(release)
+    extended.table("refsetdescriptors_snap")
+    assert set(extended._tables) == {"refsetdescriptors", "refsetdescriptors_snap"}
+    assert set(extended._before._tables) == set(extended._tables)
+
+
+def test_stored_input_is_dealt_to_tasks_by_its_size(spark):
+    release = registered.release_of(spark, MEDIUM)
+    assert registered._store_of(release, "catalog").buckets == 4
+    key, before = release.own_folder().path, spark.conf.get(FIRST_PARTITIONS, None)
+    small, registered._buckets[key] = registered._buckets[key], stored_tasks(6 << 30)
+    try:
+        assert registered._store_of(release, "catalog").buckets == 384
+        widen_shuffles(spark, 6 << 30)
+        widen_shuffles(spark, 1 << 20)
+        assert spark.conf.get(FIRST_PARTITIONS) == "384"
+    finally:
+        registered._buckets[key] = small
+        spark.conf.unset(FIRST_PARTITIONS)
+        if before:
+            spark.conf.set(FIRST_PARTITIONS, before)
+
+
+def test_rows_stored_by_date_are_not_shuffled_to_be_stored_again(spark, monkeypatch, tmp_path):
+    release, gathered = registered.fixtures.release(spark, MEDIUM), {}
+    store = ReleaseStore(spark, str(tmp_path / "dated"))
+    write = store.write
+
+    def seen(table, *args, gather=False, **options):
+        gathered[table] = gather
+        return write(table, *args, gather=gather, **options)
+
+    monkeypatch.setattr(store, "write", seen)
+    copied = registered._stored(release, store, release.name).table("concepts")
+    assert copied.exceptAll(release.table("concepts")).isEmpty()
+    assert copied.count() == release.table("concepts").count()
+    assert gathered == {"concepts": False}
