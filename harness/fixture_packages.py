@@ -38,7 +38,7 @@ class FixturePackages:
         if (table, kind) not in self._written:
             parts = self._full(table) if kind == "Full" else self._snapshot(table)
             for path, rows, order in parts:
-                _write(path, rows, order)
+                _write(path, rows, order, "none" if kind == "Full" else "gzip")
             self._written.add((table, kind))
         return self
 
@@ -52,18 +52,24 @@ class FixturePackages:
 
     def _snapshot(self, table: str) -> Iterator[tuple[str, DataFrame, tuple[str, ...]]]:
         source = "relationships" if table == "stated" else table
+        paths = self._paths(table, "Snapshot")
+        work = WorkFolder(self.spark)
+        latest = fixtures.snapshot_table(self.spark, self.sf_dir, source)
+        if len(paths) > 2:
+            # Several files are cut from it.
+            latest = work.write(table, latest)
         full = fixtures.full_table(self.spark, self.sf_dir, source)
-        latest = snapshot(full)
         earlier = snapshot(
             full.where(
                 (F.col("moduleId") == CORE_MODULE)
                 & (F.col("effectiveTime") <= fixtures.CONTEXT.base_release_date)
             )
         )
-        for file, path in enumerate(self._paths(table, "Snapshot")):
+        for file, path in enumerate(paths):
             rows = earlier if file == 0 else latest
             language = path.rpartition("/")[2].partition("-")[2][:2]
             yield path, rows.where(_language_of(source) == language) if language else rows, ()
+        work.delete()
 
     def _paths(self, table: str, kind: str) -> list[str]:
         """Files of a table in load order."""
@@ -96,7 +102,7 @@ def _language_of(table: str) -> Column:
     return F.when(line % 2 == 1, "en").otherwise("sv")
 
 
-def _write(path: str, rows: DataFrame, order: tuple[str, ...]) -> None:
+def _write(path: str, rows: DataFrame, order: tuple[str, ...], compression: str) -> None:
     if order:
         columns = [c for c in rows.columns if not c.startswith(("o_", "l_"))]
         rows = rows.orderBy(*order).select(*columns)
@@ -105,6 +111,7 @@ def _write(path: str, rows: DataFrame, order: tuple[str, ...]) -> None:
         .option("header", True)
         .option("quote", "")
         .option("escapeQuotes", False)
+        .option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

@@ -7,8 +7,10 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from harness import registered
+from termwarden.operators import versions
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS
 from termwarden.plans.release import TABLES
 from termwarden.session import FIRST_PARTITIONS, settings_for, stored_tasks, widen_shuffles
@@ -215,3 +217,22 @@ def test_rows_stored_by_date_are_not_shuffled_to_be_stored_again(spark, monkeypa
     assert copied.exceptAll(release.table("concepts")).isEmpty()
     assert copied.count() == release.table("concepts").count()
     assert gathered == {"concepts": False}
+
+
+def test_snapshots_of_packages_take_one_shuffle(spark, tmp_path):
+    rows = [
+        (8, 1, "F", "1995-01-01", 1.0), (9, 2, "O", "1995-02-01", 2.0), (8, 4, "O", "1996-01-01", 3.0),
+        (9, 6, "F", "1996-02-01", 4.0), (10, 8, "P", None, 5.0), (11, 10, "O", "1994-01-01", 6.0),
+        (None, 12, "F", "1994-01-01", 7.0), (None, 14, "O", "1997-01-01", 8.0),
+    ]
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_totalprice double"
+    orders = spark.createDataFrame(rows, columns).withColumn("o_orderdate", F.to_date("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = registered.fixtures.snapshot_table(spark, str(tmp_path), "concepts")
+    usual = versions.snapshot(registered.fixtures.full_table(spark, str(tmp_path), "concepts"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, usual.collect()))
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        found.explain("simple")
+    initial = shown.getvalue().rpartition("== Initial Plan ==")[2]
+    assert initial.count("Exchange hashpartitioning") == 1
