@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from termwarden.schemas import FULL_TABLES
-from termwarden.sources.store import RELEASE_NAME, Listing, Store, matching_releases
+from termwarden.sources.store import COMPRESSION, RELEASE_NAME, Listing, Store, matching_releases
 
 BUCKET_COLUMNS = {
     "concepts_snap": "id",
@@ -67,7 +67,7 @@ class CatalogStore(Store):
             df = df.repartition(self.buckets, bucket)
         elif gather:
             df = df.hint("rebalance", *partition_by)
-        writer = df.write.mode("overwrite").format("parquet")
+        writer = df.write.mode("overwrite").format("parquet").option("compression", COMPRESSION)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         if bucket:

@@ -34,6 +34,9 @@ from termwarden.schemas import FULL_TABLES
 # Fixed value: how names of release databases look; not anchored at either end.
 RELEASE_NAME = r"x?(_beta_)?snomed_.*full_"
 
+#: Identifiers and terms are a quarter smaller with it than with the default.
+COMPRESSION = "zstd"
+
 REGISTRY_SCHEMA = StructType(
     [
         StructField("number", LongType()),
@@ -128,16 +131,16 @@ class ReleaseStore(Store):
     ) -> DataFrame:
         """Store a table of a build and return it as stored.
 
-        `gather` is for columns of many values: rows are brought together by value
-        first, so that a task does not open a file for each of them. The rebalance
-        splits values that hold many rows.
+        A task sorts its rows by the partition columns and writes a file per value it has, one
+        after the other. `gather` is for columns of so many values that files would be too
+        many: rows are brought together by value first, in a shuffle of all of them. The
+        rebalance splits values that hold many rows.
         """
         schema = df.schema
         if gather:
             df = df.hint("rebalance", *partition_by)
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(
-            self.path(table, release, build)
-        )
+        writer = df.write.mode("overwrite").option("compression", COMPRESSION)
+        writer.partitionBy(*partition_by).parquet(self.path(table, release, build))
         return self.read_part(table, release, build, schema)
 
     def read_part(

@@ -219,6 +219,21 @@ def test_rows_stored_by_date_are_not_shuffled_to_be_stored_again(spark, monkeypa
     assert gathered == {"concepts": False}
 
 
+def test_full_tables_are_not_shuffled_by_date_to_be_stored(spark, monkeypatch, tmp_path):
+    release, gathered = registered.fixtures.release(spark, MEDIUM), {}
+    write = release.store.write
+
+    def seen(table, *args, gather=False, **options):
+        gathered[table] = gather
+        return write(table, *args, gather=gather, **options)
+
+    monkeypatch.setattr(release.store, "write", seen)
+    release.table("simplerefsets")
+    release.gathered = True
+    release.table("concepts")
+    assert gathered == {"simplerefsets": False, "concepts": True}
+
+
 def test_snapshots_of_packages_take_one_shuffle(spark, tmp_path):
     rows = [
         (8, 1, "F", "1995-01-01", 1.0), (9, 2, "O", "1995-02-01", 2.0), (8, 4, "O", "1996-01-01", 3.0),
