@@ -130,9 +130,13 @@ def _sliced(release: Release) -> Release:
     return release.cut_at(SLICE)
 
 
-def _stored(release: Release, store, name: str, **overrides) -> Release:
-    """The release's full tables under another name and context."""
-    full = {table: partial(release.table, table) for table in FULL_TABLES}
+def _stored(release: Release, store, name: str, once: bool = True, **overrides) -> Release:
+    """The release's full tables under another name and context.
+
+    Those copied more than `once` are stored first, so that they are derived once only.
+    """
+    read = release.source if once else release.table
+    full = {table: partial(read, table) for table in FULL_TABLES}
     context = replace(release.context, **overrides)
     return Release(release.spark, name, full, context, store, dated=True)
 
@@ -186,13 +190,13 @@ def _read_while_rebuilt(release: Release, kind: str) -> DataFrame:
     rows = lambda r, reader: r.table("concepts_snap").where("active = 1").agg(
         F.lit(reader).alias("reader"), F.count(F.lit(1)).alias("concepts")
     )
-    first = _stored(release, store, name)
+    first = _stored(release, store, name, once=False)
     first._full["concepts"] = lambda: release.table("concepts").where(
         F.col("effectiveTime") <= SPLIT
     )
     first.build()
     early = Release.open(store, name)
-    _stored(release, store, name).build()
+    _stored(release, store, name, once=False).build()
     late = Release.open(store, name)
     return rows(early, "before").unionByName(rows(late, "after"))
 

@@ -292,6 +292,16 @@ class Release:
         other._shared_tables = self
         return other
 
+    def source(self, table: str) -> DataFrame:
+        """Rows of a full table given to this release: read if they are stored already.
+
+        For a copy made once, which would otherwise have them stored twice.
+        """
+        if table in self._tables or table not in self._full:
+            return self.table(table)
+        given = self._full[table]
+        return given() if callable(given) else given
+
     def published(self, table: str) -> DataFrame:
         """The rows of a full table that this release adds to the one before."""
         self.table(table)

@@ -234,6 +234,19 @@ def test_full_tables_are_not_shuffled_by_date_to_be_stored(spark, monkeypatch, t
     assert gathered == {"simplerefsets": False, "concepts": True}
 
 
+def test_a_copy_made_once_does_not_store_what_it_copies(spark, tmp_path):
+    release = registered.fixtures.release(spark, MEDIUM)
+    store = ReleaseStore(spark, str(tmp_path / "copies"))
+    for table in ("simplerefsets", "relationships"):
+        copied = registered._stored(release, store, "snomed_full_once").table(table)
+        assert table not in release._tables
+        assert copied.exceptAll(release.table(table)).isEmpty()
+        assert release.table(table).exceptAll(copied).isEmpty()
+    twice = registered._stored(release, store, "snomed_full_twice", once=False)
+    twice.table("owlrefsets")
+    assert "owlrefsets" in release._tables
+
+
 def test_snapshots_of_packages_take_one_shuffle(spark, tmp_path):
     rows = [
         (8, 1, "F", "1995-01-01", 1.0), (9, 2, "O", "1995-02-01", 2.0), (8, 4, "O", "1996-01-01", 3.0),
