@@ -164,14 +164,15 @@ def extended_of(release: Release) -> Release:
     if key not in _extended:
         store = ReleaseStore(release.spark, WorkFolder(release.spark).path)
         time = F.col("effectiveTime")
+        # Each row is copied into one of the two, so the fixture's own copy is not stored.
         part = lambda rows: {
-            t: lambda t=t: release.table(t).where(rows) for t in FULL_TABLES
+            t: lambda t=t: release.source(t).where(rows) for t in FULL_TABLES
         }
         dates = {"release_date": SPLIT, "base_release_date": 20000131}
         context = replace(release.context, **dates)
         before = Release(release.spark, BEFORE, part(time <= SPLIT), context, store, dated=True)
         # What is loaded again with the new rows, as from full files, is there already.
-        _extended[key] = Release.added(before, AFTER, part(time >= SPLIT), dated=True)
+        _extended[key] = Release.added(before, AFTER, part(time >= SPLIT))
     return _extended[key]
 
 

@@ -122,6 +122,17 @@ _ADDED: dict[str, Callable[[Release, Release, WorkFolder], DataFrame]] = {
     ),
 }
 
+#: Full tables whose new rows decide how much of a table of `_ADDED` changes.
+_ADDED_BY = {snapshot: (table,) for snapshot, table in _SNAPSHOTS.items()} | {
+    "concepts_snap2": ("concepts", "descriptions"),
+    "transitiveclosure": ("concepts", "relationships"),
+    "language_terms": ("descriptions",),
+}
+
+#: Up to so many new rows their ids are broadcast. With more, what they leave as it was would be
+#: shuffled several times to be told apart: such tables are derived from the full ones.
+FEW_ROWS = 500_000
+
 #: Columns that checks join row by row, and of which one value may hold many rows.
 _HOT_COLUMNS = {
     "hot_concepts_described": ("descriptions_snap", "conceptId"),
@@ -234,7 +245,8 @@ class Release:
 
         Its full tables are those of `before` and the rows whose keys are new, which alone
         are stored. Snapshots, names and the closure are changed where the new rows ask for
-        it; the history is not ranked again. What they were built with cannot change.
+        it; the history is not ranked again unless they are more than `FEW_ROWS`. What they
+        were built with cannot change.
         """
         context = before.context.at_release(name, overrides)
         options = {"rows_per_task": before.rows_per_task, "dated": dated}
@@ -307,6 +319,9 @@ class Release:
         self.table(table)
         return self._published[table]
 
+    def _adds_few(self, tables: Sequence[str]) -> bool:
+        return all(self.published(table).count() <= FEW_ROWS for table in tables)
+
     def build(self, parallel: int = 4) -> Release:
         """Derive and store every table, then list the release as complete.
 
@@ -375,7 +390,7 @@ class Release:
                 loaded = rows if self.dated else work.write("loaded", rows)
                 return versions.unpublished(self._before.table(name), loaded)
             return rows
-        if self._before is not None and name in _ADDED:
+        if self._before is not None and name in _ADDED and self._adds_few(_ADDED_BY[name]):
             return _ADDED[name](self, self._before, work)
         if name in _SNAPSHOTS:
             return versions.snapshot(self.table(_SNAPSHOTS[name]))

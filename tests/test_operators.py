@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termwarden.operators import closure, hierarchies, names, ranking, refsets, skew, versions
+from termwarden.plans import release as release_plans
 from termwarden.plans.catalogue import CATALOGUE
 from termwarden.plans.checks import rowwise
 from termwarden.plans.release import Release
@@ -402,6 +403,25 @@ def test_every_date_added_makes_the_same_release(spark, release):
             assert step.table(table).count() == whole.table(table).count(), (date, table)
 
 
+def test_many_new_rows_are_not_told_apart_from_the_rest(spark, release, monkeypatch):
+    monkeypatch.setattr(release_plans, "FEW_ROWS", 100)
+    time = F.col("effectiveTime")
+
+    def part(rows):
+        return {t: release.table(t).where(rows) for t in FULL_TABLES}
+
+    before = Release(spark, "snomed_full_SE1000052_20001130", part(time <= 20001130), release.context)
+    after = Release.added(before, "snomed_full_SE1000052_20011130", part(time > 20001130))
+    whole = Release(spark, after.name, part(time > 0), release.context)
+    derived = ("descriptions_snap", "concepts_snap2", "transitiveclosure", "language_terms")
+    for table in derived:
+        assert after.table(table).exceptAll(whole.table(table)).isEmpty(), table
+        assert after.table(table).count() == whole.table(table).count(), table
+    assert not set(derived) & set(before._tables)
+    after.table("refsetdescriptors_snap")
+    assert "refsetdescriptors_snap" in before._tables
+
+
 def test_additions_read_new_dates_alone(spark, release):
     history = release.table("descriptions")
     new = release.work().write("new", history.where("effectiveTime = 20011130"))

@@ -186,6 +186,15 @@ def test_sliced_and_extended_releases_derive_what_is_asked(spark):
     assert set(extended._before._tables) == set(extended._tables)
 
 
+def test_extended_releases_do_not_store_what_they_copy(spark):
+    release = registered.fixtures.release(spark, MEDIUM)
+    extended = registered.extended_of(release)
+    rows = extended.table("owlrefsets")
+    assert not release._tables
+    assert rows.exceptAll(release.table("owlrefsets")).isEmpty()
+    assert release.table("owlrefsets").exceptAll(rows).isEmpty()
+
+
 def test_stored_input_is_dealt_to_tasks_by_its_size(spark):
     release = registered.release_of(spark, MEDIUM)
     assert registered._store_of(release, "catalog").buckets == 4
