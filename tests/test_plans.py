@@ -13,7 +13,13 @@ from harness import registered
 from termwarden.operators import versions
 from termwarden.plans.catalogue import CATALOGUE, STATISTICS
 from termwarden.plans.release import TABLES
-from termwarden.session import FIRST_PARTITIONS, settings_for, stored_tasks, widen_shuffles
+from termwarden.session import (
+    FIRST_PARTITIONS,
+    configure,
+    settings_for,
+    stored_tasks,
+    widen_shuffles,
+)
 from termwarden.sources.store import ReleaseStore
 
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
@@ -195,6 +201,22 @@ def test_extended_releases_do_not_store_what_they_copy(spark):
     assert release.table("owlrefsets").exceptAll(rows).isEmpty()
 
 
+def test_tasks_of_shuffles_are_small_unless_the_session_says_otherwise(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    try:
+        spark.conf.unset(size)
+        configure(spark)
+        assert spark.conf.get(size) == "16m"
+        spark.conf.set(size, "8m")
+        configure(spark)
+        assert spark.conf.get(size) == "8m"
+    finally:
+        spark.conf.unset(size)
+        if before:
+            spark.conf.set(size, before)
+
+
 def test_stored_input_is_dealt_to_tasks_by_its_size(spark):
     release = registered.release_of(spark, MEDIUM)
     assert registered._store_of(release, "catalog").buckets == 4
