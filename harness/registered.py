@@ -191,13 +191,16 @@ def _read_while_rebuilt(release: Release, kind: str) -> DataFrame:
     rows = lambda r, reader: r.table("concepts_snap").where("active = 1").agg(
         F.lit(reader).alias("reader"), F.count(F.lit(1)).alias("concepts")
     )
-    first = _stored(release, store, name, once=False)
+    first = _stored(release, store, name)
     first._full["concepts"] = lambda: release.table("concepts").where(
         F.col("effectiveTime") <= SPLIT
     )
     first.build()
     early = Release.open(store, name)
-    _stored(release, store, name, once=False).build()
+    # What both hold is copied from the first, so that it is derived and stored once before.
+    second = _stored(early, store, name)
+    second._full["concepts"] = partial(release.table, "concepts")
+    second.build()
     late = Release.open(store, name)
     return rows(early, "before").unionByName(rows(late, "after"))
 

@@ -201,6 +201,15 @@ def test_extended_releases_do_not_store_what_they_copy(spark):
     assert release.table("owlrefsets").exceptAll(rows).isEmpty()
 
 
+def test_rebuilt_releases_store_tables_once_a_build(spark):
+    release = registered.fixtures.release(spark, "/root/testdata/sf0.001")
+    counted = {r.reader: r.concepts for r in registered._read_while_rebuilt(release, "files").collect()}
+    active = release.table("concepts_snap").where("active = 1").count()
+    assert counted["after"] == active and set(counted) == {"before", "after"}
+    # Relationships are made of all concepts.
+    assert set(release._tables) == {"concepts", "concepts_snap"}
+
+
 def test_tasks_of_shuffles_are_small_unless_the_session_says_otherwise(spark):
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size, None)
