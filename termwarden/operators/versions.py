@@ -62,6 +62,16 @@ def merged(snapshot_before: DataFrame, published: DataFrame) -> DataFrame:
     return kept.unionByName(snapshot(touched.unionByName(published.select(*columns))))
 
 
+def reranked(history_before: DataFrame, published: DataFrame) -> DataFrame:
+    """What `merged` gives, from the histories: for more published rows than are broadcast.
+
+    As there, rows without an id replace none of those loaded before.
+    """
+    unknown = F.col("id").isNull()
+    known = history_before.where(~unknown).unionByName(published)
+    return snapshot(history_before.where(unknown)).unionByName(snapshot(known))
+
+
 def unpublished(history: DataFrame, loaded: DataFrame) -> DataFrame:
     """Of `loaded` rows those whose key the history does not hold yet.
 

@@ -393,7 +393,10 @@ class Release:
         if self._before is not None and name in _ADDED and self._adds_few(_ADDED_BY[name]):
             return _ADDED[name](self, self._before, work)
         if name in _SNAPSHOTS:
-            return versions.snapshot(self.table(_SNAPSHOTS[name]))
+            table = _SNAPSHOTS[name]
+            if self._before is not None:
+                return versions.reranked(self._before.table(table), self.published(table))
+            return versions.snapshot(self.table(table))
         if name in _DERIVED:
             return _DERIVED[name](self, work)
         if name in _BY_TERM:

@@ -226,6 +226,17 @@ def test_merged_snapshot_is_that_of_all_versions(spark, seed):
     assert sorted(rows(merged)) == sorted(rows(versions.snapshot(before.unionByName(new))))
 
 
+def test_ranking_all_again_keeps_what_merging_keeps(spark):
+    schema = "id long, effectiveTime int, active int"
+    before = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (None, 1, 1), (None, 2, 0)], schema)
+    new = spark.createDataFrame([(1, 3, 0), (3, 3, 1), (None, 3, 1)], schema)
+    expected = [(1, 3, 0), (2, 1, 1), (3, 3, 1), (None, 2, 0), (None, 3, 1)]
+    merged = versions.merged(versions.snapshot(before), new)
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(expected, key=str)
+    again = versions.reranked(before, new)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_descendants_include_the_concept(spark):
     concepts = frame(spark, "concepts", [concept(1), concept(2), concept(3, active=0)])
     pairs = spark.createDataFrame(
