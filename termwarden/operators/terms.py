@@ -31,18 +31,22 @@ def term_index(
     ).select("id", "conceptId", "term")
     concepts = named_concepts.where("active = 1").select(F.col("id").alias("conceptId"), "fsn")
     found = split_join(terms, concepts, ["conceptId"], hot_concepts, spread="id")
-    keyed = found.withColumn("key", F.col("term"))
-    if ctx.collation:
-        # One row per spelling, so that a frequent one is split by the adaptive skew join.
-        spellings = work.write("spellings", terms.select("term").distinct())
-        of_group = F.min("term").alias("key")
-        groups = spellings.groupBy(ctx.text_key(F.col("term")).alias("_group")).agg(of_group)
-        compared = ctx.text_key(F.col("term")) == F.col("_group")
-        keys = work.write("keys", spellings.join(groups, compared).select("term", "key"))
-        keyed = found.join(keys, "term")
+    columns = ("id", "conceptId", "term", "fsn")
+    if not ctx.collation:
+        # The key is the term, and goes through the shuffle once.
+        order = ("term", "id")
+        ranged = found.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+        return ranged.select(F.col("term").alias("key"), *columns)
+    # One row per spelling, so that a frequent one is split by the adaptive skew join.
+    spellings = work.write("spellings", terms.select("term").distinct())
+    of_group = F.min("term").alias("key")
+    groups = spellings.groupBy(ctx.text_key(F.col("term")).alias("_group")).agg(of_group)
+    compared = ctx.text_key(F.col("term")) == F.col("_group")
+    keys = work.write("keys", spellings.join(groups, compared).select("term", "key"))
+    keyed = found.join(keys, "term")
     order = ("key", "id")
     return (
-        keyed.select("key", "id", "conceptId", "term", "fsn")
+        keyed.select("key", *columns)
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )

@@ -237,6 +237,19 @@ def test_ranking_all_again_keeps_what_merging_keeps(spark):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(expected, key=str)
 
 
+def test_concepts_without_subtypes_are_followed_in_one_join(spark):
+    """A chain and a cycle with many concepts below them, some of those below two."""
+    inner = [(i, i - 1) for i in range(2, 6)] + [(7, 8), (8, 7), (8, 3)]
+    lowest = [(100 + i, 1 + i % 8) for i in range(40)] + [(100 + i, 1 + i % 5) for i in range(0, 40, 3)]
+    edges = sorted({*inner, *lowest})
+    work = WorkFolder(spark)
+    found = closure.walks(spark.createDataFrame(edges, "subtypeId long, supertypeId long"), work)
+    # Nothing is active, so that cycles are pairs as well.
+    assert sorted(rows(found)) == shortest_paths([], edges)
+    # Rounds are made for the others alone.
+    assert spark.read.parquet(f"{work.path}/length_1").count() == len(inner)
+
+
 def test_descendants_include_the_concept(spark):
     concepts = frame(spark, "concepts", [concept(1), concept(2), concept(3, active=0)])
     pairs = spark.createDataFrame(
@@ -378,6 +391,20 @@ def test_hot_keys_are_not_counted_in_the_task_that_stores_them(spark, capsys, na
     assert {row.slices for row in release.table(name).collect()} == ({4} if "concepts" in name else {3})
 
 
+def test_hot_keys_count_what_may_be_hot_alone(spark, capsys):
+    rng = random.Random(3)
+    keys = [rng.choice(["a"] * 30 + ["b"] * 20 + [None] * 15 + [f"k{i}" for i in range(60)]) for _ in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(7)
+    counts = {k: keys.count(k) for k in set(keys)}
+    for most in (1, 20, 100, 400, 2999, 5000):
+        expected = {(k, -(-n // most)) for k, n in counts.items() if n > most}
+        assert set(rows(skew.hot_keys(df, "k", most))) == expected
+    skew.hot_keys(df, "k", 400).explain()
+    assert "Filter" in capsys.readouterr().out
+    empty = skew.hot_keys(df.limit(0), "k", 20)
+    assert rows(empty) == [] and empty.columns == ["k", "slices"]
+
+
 def test_every_pair_is_found_in_one_round(spark):
     """A ladder with many ways of each length: rounds write what is new, and only that."""
     edges = [(i, i - 1) for i in range(2, 31)] + [(i, i - 2) for i in range(3, 31)]
