@@ -43,7 +43,7 @@ class FixturePackages:
         return self
 
     def _full(self, table: str) -> Iterator[tuple[str, DataFrame, tuple[str, ...]]]:
-        raw = fixtures.raw_table(self.spark, self.sf_dir, table)
+        raw = fixtures.completed(fixtures.raw_table(self.spark, self.sf_dir, table), table)
         columns = FULL_TABLES[table].names
         order = fixtures.LOAD_ORDER[table]
         rows = raw.select(*columns, *(c for c in order if c not in columns))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termwarden.context import CORE_MODULE, EXTENSION_MODULE, IS_A, PREFERRED, CheckContext
 from termwarden.context import FULLY_SPECIFIED_NAME
-from termwarden.operators.versions import first_by, first_loaded
+from termwarden.operators.versions import LATEST, first_by, first_loaded, marked
 from termwarden.plans.release import Release
 from termwarden.schemas import FULL_TABLES
 
@@ -41,9 +41,15 @@ LOAD_ORDER = {
 
 def release(spark: SparkSession, sf_dir: str) -> Release:
     """A release over the derived tables."""
-    full = {table: lambda table=table: full_table(spark, sf_dir, table) for table in FULL_TABLES}
+    full = {table: lambda table=table: marked_table(spark, sf_dir, table) for table in FULL_TABLES}
     made = Release(spark, RELEASE, full, CONTEXT)
-    full["relationships"] = lambda: _typed(_relationships(made.table("concepts")), "relationships")
+
+    def relationships() -> DataFrame:
+        # They are versions of a concept's edges, of which the latest are those of the latest.
+        made.table("concepts")
+        return _typed(_relationships(made.marked("concepts"), LATEST), "relationships", LATEST)
+
+    full["relationships"] = relationships
     return made
 
 
@@ -63,6 +69,13 @@ def full_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return _typed(rows, table)
 
 
+def marked_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """`full_table`, with latest versions marked where rows are shuffled to enforce the key."""
+    if not LOAD_ORDER[table]:
+        return full_table(spark, sf_dir, table)
+    return _typed(marked(raw_table(spark, sf_dir, table), LOAD_ORDER[table]), table, LATEST)
+
+
 def snapshot_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Latest version of every component, of equal versions the one loaded first.
 
@@ -73,7 +86,10 @@ def snapshot_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def raw_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Rows of a component table before its key is enforced, with its order columns."""
+    """Rows of a component table before its key is enforced, with its order columns.
+
+    What follows from other columns of a row is left to `completed`, so that it is not shuffled.
+    """
     if table == "relationships":
         return _relationships(full_table(spark, sf_dir, "concepts"))
 
@@ -89,9 +105,14 @@ def raw_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return make[table](read("orders"))
 
 
-def _typed(rows: DataFrame, table: str) -> DataFrame:
-    return rows.select(
-        *(F.col(field.name).cast(field.dataType) for field in FULL_TABLES[table])
+def completed(rows: DataFrame, table: str) -> DataFrame:
+    """Raw rows with the columns that follow from others."""
+    return rows.withColumns(_LATER.get(table, dict)())
+
+
+def _typed(rows: DataFrame, table: str, *more: str) -> DataFrame:
+    return completed(rows, table).select(
+        *(F.col(field.name).cast(field.dataType) for field in FULL_TABLES[table]), *more
     )
 
 
@@ -142,24 +163,37 @@ def _descriptions(lines: DataFrame, parts: DataFrame) -> DataFrame:
         .when(F.col("l_suppkey") % 13 == 0, "! ")
         .otherwise(" ")
     )
-    return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
-        _description_id().alias("id"),
+    versions = lines.select(
         _release_of("l_shipdate").alias("effectiveTime"),
         _flag(F.col("l_returnflag") != "R").alias("active"),
-        _line_module().alias("moduleId"),
-        _concept_id(_half("l_orderkey")).alias("conceptId"),
-        F.when(F.col("l_linenumber") % 2 == 1, "en").otherwise("sv").alias("languageCode"),
-        F.when(F.col("l_linenumber") == 1, FULLY_SPECIFIED_NAME)
-        .otherwise(SYNONYM)
-        .alias("typeId"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+    )
+    return versions.join(parts, versions["l_partkey"] == parts["p_partkey"]).select(
+        _description_id().alias("id"),
+        "effectiveTime",
+        "active",
         F.concat("p_name", separator, F.lit("("), F.lower("p_type"), F.lit(")")).alias("term"),
-        F.lit(900000000000448009).alias("caseSignificanceId"),
+        "l_orderkey",
+        "l_linenumber",
         "l_partkey",
         "l_suppkey",
     )
 
 
-def _relationships(concepts: DataFrame) -> DataFrame:
+def _of_descriptions() -> dict[str, Column]:
+    return {
+        "moduleId": _line_module(),
+        "conceptId": _concept_id(_half("l_orderkey")),
+        "languageCode": F.when(F.col("l_linenumber") % 2 == 1, "en").otherwise("sv"),
+        "typeId": F.when(F.col("l_linenumber") == 1, FULLY_SPECIFIED_NAME).otherwise(SYNONYM),
+        "caseSignificanceId": F.lit(900000000000448009),
+    }
+
+
+def _relationships(concepts: DataFrame, *more: str) -> DataFrame:
     k = F.col("k")
     parents = F.array(
         F.struct(F.lit(0).alias("j"), F.expr("(k - 1) div 8").alias("parent")),
@@ -174,6 +208,7 @@ def _relationships(concepts: DataFrame) -> DataFrame:
             "active",
             "moduleId",
             "k",
+            *more,
             F.inline(parents),
         )
         .where("j = 0 OR k % 3 = 0")
@@ -190,6 +225,7 @@ def _relationships(concepts: DataFrame) -> DataFrame:
             F.lit(IS_A).alias("typeId"),
             F.lit(900000000000011006).alias("characteristicTypeId"),
             F.lit(900000000000451002).alias("modifierId"),
+            *more,
         )
     )
 
@@ -206,8 +242,6 @@ def _languagerefsets(lines: DataFrame) -> DataFrame:
         ).alias("id"),
         _release_of("l_shipdate").alias("effectiveTime"),
         _flag(F.col("l_discount") > 0.02).alias("active"),
-        _line_module().alias("moduleId"),
-        _concept_id(F.col("l_suppkey") % 6).alias("refsetId"),
         _description_id().alias("referencedComponentId"),
         F.when(F.col("l_quantity") >= 25, PREFERRED).otherwise(ACCEPTABLE).alias("acceptabilityId"),
         "l_partkey",
@@ -216,6 +250,10 @@ def _languagerefsets(lines: DataFrame) -> DataFrame:
     )
 
 
+def _of_languagerefsets() -> dict[str, Column]:
+    return {"moduleId": _line_module(), "refsetId": _concept_id(F.col("l_suppkey") % 6)}
+
+
 def _simplerefsets(orders: DataFrame) -> DataFrame:
     group = F.col("o_custkey") % 12
     key = F.col("o_orderkey")
@@ -256,3 +294,7 @@ def _owlrefsets(orders: DataFrame) -> DataFrame:
         _concept_id(_half("o_orderkey")).alias("referencedComponentId"),
         F.concat(F.lit("SubClassOf(:"), "o_custkey", F.lit(")")).alias("owlExpression"),
     )
+
+
+#: Columns that follow from others of a row, made after rows are ranked.
+_LATER = {"descriptions": _of_descriptions, "languagerefsets": _of_languagerefsets}

@@ -135,7 +135,7 @@ def _stored(release: Release, store, name: str, once: bool = True, **overrides)
 
     Those copied more than `once` are stored first, so that they are derived once only.
     """
-    read = release.source if once else release.table
+    read = release.marked if once else release.table
     full = {table: partial(read, table) for table in FULL_TABLES}
     context = replace(release.context, **overrides)
     return Release(release.spark, name, full, context, store, dated=True)
@@ -199,7 +199,7 @@ def _read_while_rebuilt(release: Release, kind: str) -> DataFrame:
     early = Release.open(store, name)
     # What both hold is copied from the first, so that it is derived and stored once before.
     second = _stored(early, store, name)
-    second._full["concepts"] = partial(release.table, "concepts")
+    second._full["concepts"] = partial(release.marked, "concepts")
     second.build()
     late = Release.open(store, name)
     return rows(early, "before").unionByName(rows(late, "after"))

@@ -17,6 +17,9 @@ from termwarden.sources.scratch import WorkFolder
 
 VERSION_KEY = ("id", "effectiveTime")
 
+#: Column of full rows that says which are the latest version of their component.
+LATEST = "_latest"
+
 
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of every `key` in `order`."""
@@ -31,6 +34,30 @@ def first_loaded(
     return first_by(df, key, order)
 
 
+def marked(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """`first_loaded` with a column `LATEST`, which marks the rows of its `snapshot`.
+
+    Rows are shuffled once, by id, for both. A component has few versions; rows without an id
+    may be any number, so they are cut to one per date on the map side first.
+    """
+    unknown = first_loaded(df.where("id IS NULL"), order)
+    return _marked(df.where("id IS NOT NULL"), order).unionByName(_marked(unknown, order))
+
+
+def _marked(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    versions = Window.partitionBy("id").orderBy(F.desc("effectiveTime"), *order)
+    newer = F.lag("effectiveTime").over(versions)
+    placed = df.withColumns({LATEST: F.row_number().over(versions) == 1, "_newer": newer})
+    return placed.where(
+        F.col(LATEST) | ~F.col("effectiveTime").eqNullSafe(F.col("_newer"))
+    ).drop("_newer")
+
+
+def latest(df: DataFrame) -> DataFrame:
+    """The snapshot of `marked` rows, in the order of ids where a task has them together."""
+    return df.where(LATEST).drop(LATEST).sortWithinPartitions("active", "id")
+
+
 def snapshot(df: DataFrame) -> DataFrame:
     """Latest version of every component."""
     return first_by(df, ("id",), (F.desc("effectiveTime"),))

@@ -18,7 +18,7 @@ from termwarden.sources.packages import Package, load_full, release_name
 from termwarden.session import configure
 from termwarden.sources.catalog import CatalogStore
 from termwarden.sources.scratch import WorkFolder, shared_folder
-from termwarden.sources.store import ReleaseStore
+from termwarden.sources.store import WRITING, ReleaseStore
 
 Store = ReleaseStore | CatalogStore
 
@@ -190,6 +190,8 @@ class Release:
         self._built_collation = self.context.collation
         self._full = full
         self._tables: dict[str, DataFrame] = {}
+        #: Full tables whose rows are stored with the mark of latest versions.
+        self._marked: dict[str, DataFrame] = {}
         self._locks: defaultdict[str, Lock] = defaultdict(Lock)
         self._build_id = self.store.new_build()
         self._before: Release | None = None
@@ -212,7 +214,7 @@ class Release:
         """Release from package folders; `overrides` go to its context."""
         name = release_name(base, extension)
         full = {
-            table: lambda table=table: load_full(spark, table, base, extension)
+            table: lambda table=table: load_full(spark, table, base, extension, marks=True)
             for table in FULL_TABLES
         }
         return cls(spark, name, full, CheckContext.for_release(name, **overrides), store)
@@ -291,6 +293,9 @@ class Release:
                 if name in FULL_TABLES and self._before is not None:
                     self._published[name] = stored
                     stored = self._before.table(name).unionByName(stored)
+                if versions.LATEST in stored.columns:
+                    self._marked[name] = stored
+                    stored = stored.drop(versions.LATEST)
                 self._tables[name] = stored
                 work.delete()
             return self._tables[name]
@@ -309,10 +314,24 @@ class Release:
 
         For a copy made once, which would otherwise have them stored twice.
         """
-        if table in self._tables or table not in self._full:
-            return self.table(table)
-        given = self._full[table]
-        return given() if callable(given) else given
+        return self.marked(table).drop(versions.LATEST)
+
+    def marked(self, table: str) -> DataFrame:
+        """`source` with the mark of latest versions, where rows come with it."""
+        if self._shared_tables is not None:
+            return self._shared_tables.marked(table)
+        if table not in self._tables and table in self._full:
+            given = self._full[table]
+            return given() if callable(given) else given
+        rows = self.table(table)
+        if table not in self._full and not self._earlier and table not in self._marked:
+            # Of an opened release; one that was added to another has no marks of its own.
+            stored = self.store.read_part(table, self.name, self._build_id)
+            if versions.LATEST in stored.columns:
+                fields = [*FULL_TABLES[table], stored.schema[versions.LATEST]]
+                stored = self.store.read_part(table, self.name, self._build_id, StructType(fields))
+                self._marked[table] = stored
+        return self._marked.get(table, rows)
 
     def published(self, table: str) -> DataFrame:
         """The rows of a full table that this release adds to the one before."""
@@ -346,7 +365,7 @@ class Release:
 
     def work(self) -> WorkFolder:
         """A fresh folder for the steps of one derivation."""
-        return WorkFolder(self.spark, shared_folder(self.spark))
+        return WorkFolder(self.spark, shared_folder(self.spark), WRITING)
 
     def own_folder(self) -> WorkFolder:
         """The folder of what lives as long as this object."""
@@ -387,6 +406,7 @@ class Release:
             source = self._full[name]
             rows = source() if callable(source) else source
             if self._before is not None:
+                rows = rows.drop(versions.LATEST)
                 loaded = rows if self.dated else work.write("loaded", rows)
                 return versions.unpublished(self._before.table(name), loaded)
             return rows
@@ -396,7 +416,10 @@ class Release:
             table = _SNAPSHOTS[name]
             if self._before is not None:
                 return versions.reranked(self._before.table(table), self.published(table))
-            return versions.snapshot(self.table(table))
+            rows = self.table(table)
+            if table in self._marked:
+                return versions.latest(self._marked[table])
+            return versions.snapshot(rows)
         if name in _DERIVED:
             return _DERIVED[name](self, work)
         if name in _BY_TERM:

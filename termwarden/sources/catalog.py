@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from termwarden.schemas import FULL_TABLES
-from termwarden.sources.store import COMPRESSION, RELEASE_NAME, Listing, Store, matching_releases
+from termwarden.sources.store import RELEASE_NAME, WRITING, Listing, Store, matching_releases
 
 BUCKET_COLUMNS = {
     "concepts_snap": "id",
@@ -67,7 +67,7 @@ class CatalogStore(Store):
             df = df.repartition(self.buckets, bucket)
         elif gather:
             df = df.hint("rebalance", *partition_by)
-        writer = df.write.mode("overwrite").format("parquet").option("compression", COMPRESSION)
+        writer = df.write.mode("overwrite").format("parquet").options(**WRITING)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         if bucket:
@@ -99,9 +99,10 @@ class CatalogStore(Store):
         )
         self.spark.sql(f"ALTER DATABASE `{release}` SET DBPROPERTIES ('{BUILD_PROPERTY}' = '{build}')")
         for found in self.spark.sql(f"SHOW TABLES IN `{self.database(release, build)}`").collect():
-            parts = earlier if found.tableName in FULL_TABLES else ()
+            full = FULL_TABLES.get(found.tableName)
+            parts, columns = (earlier, ", ".join(full.names)) if full else ((), "*")
             query = " UNION ALL ".join(
-                f"SELECT * FROM `{self.database(r, b)}`.{found.tableName}"
+                f"SELECT {columns} FROM `{self.database(r, b)}`.{found.tableName}"
                 for r, b in (*parts, (release, build))
             )
             self.spark.sql(f"CREATE OR REPLACE VIEW `{release}`.{found.tableName} AS {query}")

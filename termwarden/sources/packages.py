@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from termwarden.operators.versions import first_loaded
+from termwarden.operators.versions import LATEST, first_loaded, marked
 from termwarden.schemas import FULL_TABLES, SNAPSHOT_PACKAGE_TABLES
 
 # Where the release format keeps the file of each table, below the folder
@@ -104,14 +104,18 @@ def load_full(
     base: Package,
     extension: Package | None = None,
     since: int | None = None,
+    marks: bool = False,
 ) -> DataFrame:
     """All versions of a table, base package first; one row per id and date.
 
-    With `since` only those after that date, for a release that is added to another.
+    With `since` only those after that date, for a release that is added to another; with
+    `marks` latest versions are marked.
     """
     loaded = read_files(spark, table, "Full", base, extension, FULL_TABLES[table])
     if since is not None:
         loaded = loaded.where(F.col("effectiveTime") > since)
+    if marks:
+        return marked(loaded, _ORDER).select(*FULL_TABLES[table].names, LATEST)
     return first_loaded(loaded, _ORDER).select(*FULL_TABLES[table].names)
 
 

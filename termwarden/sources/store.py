@@ -34,8 +34,9 @@ from termwarden.schemas import FULL_TABLES
 # Fixed value: how names of release databases look; not anchored at either end.
 RELEASE_NAME = r"x?(_beta_)?snomed_.*full_"
 
-#: Identifiers and terms are a quarter smaller with it than with the default.
-COMPRESSION = "zstd"
+#: How tables are written. Identifiers and terms are a quarter smaller with `zstd` than with the
+#: default; the second version of the format stores differences of identifiers, which halves them.
+WRITING = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 REGISTRY_SCHEMA = StructType(
     [
@@ -96,6 +97,8 @@ class Store:
         listing = listing or self.listing(release)
         if listing is None:
             raise KeyError(f"no such release: {release}")
+        # What else is stored with the rows of a full table is no column of it.
+        schema = schema or FULL_TABLES.get(table)
         earlier = listing.earlier if table in FULL_TABLES else ()
         parts = [self.read_part(table, r, b, schema) for r, b in (*earlier, (release, listing.build))]
         return reduce(DataFrame.unionByName, parts)
@@ -139,7 +142,7 @@ class ReleaseStore(Store):
         schema = df.schema
         if gather:
             df = df.hint("rebalance", *partition_by)
-        writer = df.write.mode("overwrite").option("compression", COMPRESSION)
+        writer = df.write.mode("overwrite").options(**WRITING)
         writer.partitionBy(*partition_by).parquet(self.path(table, release, build))
         return self.read_part(table, release, build, schema)
 

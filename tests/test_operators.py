@@ -17,6 +17,7 @@ from termwarden.plans.checks import rowwise
 from termwarden.plans.release import Release
 from termwarden.schemas import FULL_TABLES
 from termwarden.sources.scratch import WorkFolder
+from termwarden.sources.store import ReleaseStore
 from tests.micro import (
     CORE, FSN, IS, R, ROOT, SE, SYN, concept, description, frame, is_a, language, make_release, rows,
     simple,
@@ -49,6 +50,43 @@ def test_choosing_rows_limits_groups_before_the_shuffle(spark, capsys):
     assert "Partial" in plan[exchange:] and "Final" in plan[:exchange]
 
 
+def test_marked_rows_are_those_of_both_rankings(spark, capsys):
+    rng = random.Random(5)
+    loaded = spark.createDataFrame(
+        [
+            (rng.choice([None, *range(30)]), rng.choice([None, 10, 11, 12]), rng.randint(0, 1), place)
+            for place in range(400)
+        ],
+        "id long, effectiveTime int, active int, place int",
+    )
+    marked = versions.marked(loaded, ("place",))
+    full = versions.first_loaded(loaded, ("place",))
+    assert sorted(map(str, marked.drop(versions.LATEST).collect())) == sorted(map(str, full.collect()))
+    latest = versions.latest(marked)
+    assert sorted(map(str, latest.collect())) == sorted(map(str, versions.snapshot(full).collect()))
+    versions._marked(loaded, ("place",)).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(id") == 1
+
+
+def test_copies_of_marked_tables_are_not_ranked_again(spark, tmp_path, capsys):
+    versions_of = [concept(i, time) for i in range(1, 9) for time in (20100131, 20110131, R)[: 1 + i % 3]]
+    loaded = frame(spark, "concepts", versions_of)
+    made = make_release(spark)
+    made._full["concepts"] = versions.marked(loaded, ("moduleId",))
+    for store in (ReleaseStore(spark, str(tmp_path / "r")), made.store):
+        copy_of = Release(spark, made.name, {"concepts": lambda: made.marked("concepts")}, made.context, store)
+        again = Release(spark, made.name, {"concepts": lambda c=copy_of: c.marked("concepts")}, made.context, store)
+        assert versions.LATEST not in copy_of.table("concepts").columns
+        again.table("concepts")
+        derived = again._derive("concepts_snap", again.work())
+        derived.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        expected = versions.snapshot(loaded)
+        assert sorted(rows(derived)) == sorted(rows(expected))
+    cut = Release(spark, made.name, {"concepts": made.table("concepts").where("effectiveTime < 20110131")}, made.context)
+    assert {r.effectiveTime for r in cut.table("concepts_snap").collect()} == {20100131}
+
+
 def test_extension_changes(spark):
     table = frame(spark, "concepts", [
         concept(1), concept(2, 20100131), concept(2), concept(3, 20100131, module=CORE),
