@@ -80,6 +80,33 @@ def corpus():
     return rows
 
 
+def test_contexts_are_not_looked_up_again(spark, monkeypatch):
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} again w{i % 11}" for i in range(60)] + ["", "one"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, asked, look_up = lm.train(frame, order=3), [], lm.Reader.look_up
+
+    def counted(reader, level, keys):
+        asked.append(len(keys))
+        return look_up(reader, level, keys)
+
+    monkeypatch.setattr(lm.Reader, "look_up", counted)
+    found = model.reader().score(pa.array(texts, pa.large_string()))
+    # Of a token's three n-grams each, and the two contexts that texts begin with.
+    assert sum(asked) == 3 * found["n_tokens"].sum() + 2 * len(texts)
+    plain = PlainModel(texts, 3)
+    assert found["score"] == pytest.approx([plain.score(t) for t in texts])
+
+
+def test_words_are_lowered_in_slices_as_in_whole():
+    texts = ["AZ@[`{ az", "ÄÖ Σ İ K", "", "x" * 40 + " É"] * 3
+    whole = pa.array(texts, pa.large_string())
+    for start, length in ((0, 12), (1, 5), (3, 1), (2, 1), (5, 0)):
+        part = whole.slice(start, length)
+        expected = [t.encode().lower().decode() for t in texts[start : start + length]]
+        assert lm._lowered(part).to_pylist() == expected
+        assert list(lm._each(part)) == [t.encode() for t in texts[start : start + length]]
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores_are_those_of_the_formulas(docs_of, order):
     rows = corpus()
